@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedge.llm.canon import to_canonical
 from sedge.llm.frequency import useless_values
 from sedge.llm.grouping import assign_splits, chained_rows
+from sedge.llm.overlap import cross_split_pairs, overlap_report
 from sedge.sources.tables import table
 
 NAMED_FIELDS = ["HTL_stack_sequence", "ETL_stack_sequence", "Perovskite_deposition_procedure"]
@@ -22,6 +23,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return useless_values(table(spark, d, "devices"), COUNTED_FIELDS)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_pairs(table(spark, d, "chat_examples"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(table(spark, d, "chat_examples"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return chained_rows(table(spark, d, "devices"), "row_id", "Ref_DOI_number", "split_key")
 
@@ -31,7 +40,7 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_splits": p6_splits}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits}
 _MISSING = "regexp_full_match(lower(coalesce({0}, '')), '(\\s*(unknown|nan|none|null|n/a)?\\s*)([;|](\\s*(unknown|nan|none|null|n/a)?\\s*))*')"
 SQL: dict[str, str] = {
     "p4_found": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS column_name, trim(\"{f}\", ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS item FROM devices WHERE NOT {_MISSING.format(chr(34) + f + chr(34))}" for f in COUNTED_FIELDS) + """),
