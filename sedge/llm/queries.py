@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from sedge.llm.canon import to_canonical
 from sedge.llm.frequency import useless_values
 from sedge.llm.grouping import assign_splits, chained_rows
+from sedge.llm.leakage import leak_report, leaked
 from sedge.llm.overlap import cross_split_pairs, overlap_report
+from sedge.llm.packing import containers, fill_report
+from sedge.llm.spam import spam_pages
 from sedge.sources.tables import table
 
 NAMED_FIELDS = ["HTL_stack_sequence", "ETL_stack_sequence", "Perovskite_deposition_procedure"]
@@ -40,7 +43,27 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(containers(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak_report(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 _MISSING = "regexp_full_match(lower(coalesce({0}, '')), '(\\s*(unknown|nan|none|null|n/a)?\\s*)([;|](\\s*(unknown|nan|none|null|n/a)?\\s*))*')"
 SQL: dict[str, str] = {
     "p4_found": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS column_name, trim(\"{f}\", ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS item FROM devices WHERE NOT {_MISSING.format(chr(34) + f + chr(34))}" for f in COUNTED_FIELDS) + """),
