@@ -11,6 +11,7 @@ from sedge.llm.grouping import assign_splits, chained_rows
 from sedge.llm.leakage import leak_report, leaked
 from sedge.llm.overlap import cross_split_pairs, overlap_report
 from sedge.llm.packing import containers, fill_report
+from sedge.llm.scans import repairs
 from sedge.llm.spam import spam_pages
 from sedge.sources.tables import table
 
@@ -22,6 +23,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return to_canonical(table(spark, d, "devices"), "row_id", NAMED_FIELDS, table(spark, d, "canon_terms"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return repairs(table(spark, d, "parsed_papers"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return useless_values(table(spark, d, "devices"), COUNTED_FIELDS)
 
@@ -63,7 +68,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 _MISSING = "regexp_full_match(lower(coalesce({0}, '')), '(\\s*(unknown|nan|none|null|n/a)?\\s*)([;|](\\s*(unknown|nan|none|null|n/a)?\\s*))*')"
 SQL: dict[str, str] = {
     "p4_found": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS column_name, trim(\"{f}\", ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS item FROM devices WHERE NOT {_MISSING.format(chr(34) + f + chr(34))}" for f in COUNTED_FIELDS) + """),
