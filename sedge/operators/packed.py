@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.missing import MISSING_TOKENS, is_missing_text
+from sedge.sources.tables import cut
 
 #: Kinds of delimiter; the last is a run of blanks.
 KINDS = ("|", ";", "|;", ",", "/", "→", ">", "\t", "\n", " ")
@@ -190,11 +191,11 @@ def learn(df: DataFrame, fields: list[str], rounds: int = 3) -> dict[str, Model]
     Only the model comes to the driver: at most MODEL_VALUES values and len(KINDS) + 1 kinds a field.
     """
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("cell")) for f in fields))).alias("x")).select("x.*")
-    cells = cells.where("cell IS NOT NULL AND length(trim(cell)) > 0").distinct()
+    cells = cut(cells.where("cell IS NOT NULL AND length(trim(cell)) > 0").distinct())
     models: dict[str, Model] | None = None
     for _ in range(rounds):
         known = models
-        sums = cells.mapInArrow(lambda it, known=known: _expected(it, known), "field_name string, what string, item string, w double").groupBy("field_name", "what", "item").agg(F.sum("w").alias("w"))
+        sums = cut(cells.mapInArrow(lambda it, known=known: _expected(it, known), "field_name string, what string, item string, w double").groupBy("field_name", "what", "item").agg(F.sum("w").alias("w")))
         parts = [sums.where((F.col("field_name") == f) & ((F.col("what") == "k") | (F.col("w") >= 0.05))).orderBy(F.col("what"), F.desc("w"), "item").limit(MODEL_VALUES) for f in fields]
         rows = reduce(DataFrame.unionByName, parts).collect()
         models = {f: Model({r["item"]: r["w"] for r in rows if r["field_name"] == f and r["what"] == "v"}, {r["item"]: r["w"] for r in rows if r["field_name"] == f and r["what"] == "k"}) for f in fields}
