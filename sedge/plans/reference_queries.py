@@ -1,15 +1,29 @@
-"""Queries of the dataset, retrieval and evaluation operators, each with its SQL twin."""
+"""Queries of the dataset, retrieval and evaluation operators, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.functions.jsons import parse_object
+from sedge.functions.missing import MISSING_TOKENS, meaningful
+from sedge.functions.numbers import parse_float
 from sedge.functions.splits import split_name
+from sedge.operators import attention as att
+from sedge.operators import evaluation as ev
+from sedge.operators import grounding, ingest, models, profile, prompts, records, retrieval, sequences, targets, voting
+from sedge.plans import sqltext as q
 from sedge.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+SYSTEM = "Answer with JSON that follows the requested schema for the described cell."
+#: The string columns of a device row, in file order.
+DEVICE_COLUMNS = [
+    "Ref_ID", "Ref_DOI_number", "Ref_lead_author", "Ref_journal", "source", "Cell_architecture", "Cell_stack_sequence", "Cell_area_measured", "Perovskite_composition_short_form", "Perovskite_composition_long_form", "Perovskite_composition_a_ions", "Perovskite_composition_a_ions_coefficients",
+    "Perovskite_band_gap", "Perovskite_thickness", "Perovskite_deposition_procedure", "Perovskite_deposition_solvents", "Perovskite_deposition_thermal_annealing_temperature", "Perovskite_deposition_thermal_annealing_time", "ETL_stack_sequence", "HTL_stack_sequence", "Backcontact_stack_sequence",
+    "Backcontact_thickness_list", "JV_light_intensity", "JV_default_PCE", "JV_default_Voc", "JV_default_Jsc", "JV_default_FF", "split_key",
+]
 
 
 def query(sql: str | None = None):
@@ -22,11 +36,549 @@ def query(sql: str | None = None):
     return register
 
 
-BUCKET = "(('0x' || substr(sha256('17:' || {0}), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551615.0"
+# --- splits ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH s AS (SELECT lang, {BUCKET.format('source')} AS b FROM documents WHERE source IS NOT NULL)
-SELECT CASE WHEN b < 0.8 THEN 'train' WHEN b < 0.9 THEN 'validation' ELSE 'test' END AS split, lang, count(*) AS n FROM s GROUP BY ALL""")
+@query(f"SELECT {q.split('source')} AS split, lang, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL")
 def split_by_source(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("source IS NOT NULL")
     return t.groupBy(split_name(F.col("source"), 0.8, 0.1, 17).alias("split"), "lang").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT o_custkey, {q.split('CAST(o_custkey AS VARCHAR)')} AS split FROM orders), s AS (SELECT o_custkey, count(DISTINCT split) AS n FROM k GROUP BY 1)
+SELECT split, count(*) AS n_keys, count_if(n > 1) AS n_shared FROM k JOIN s USING (o_custkey) GROUP BY split""")
+def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "orders").select("o_custkey", split_name(F.col("o_custkey").cast("string"), 0.8, 0.1, 17).alias("split")).distinct()
+    s = k.groupBy("o_custkey").agg(F.countDistinct("split").alias("n"))
+    return k.join(s, "o_custkey").groupBy("split").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_shared"))
+
+
+@query(f"""WITH v AS ({q.VALID}), k AS (SELECT coalesce({q.given('Ref_DOI_number')}, {q.given('Ref_ID')}) AS key FROM v)
+SELECT coalesce({q.split('key')}, 'none') AS split, count(*) AS n_written FROM k WHERE key IS NOT NULL GROUP BY ALL""")
+def dataset_splits(spark: SparkSession, d: str) -> DataFrame:
+    v = targets.valid_rows(table(spark, d, "devices")).withColumn("key", F.coalesce(meaningful(F.col("Ref_DOI_number")), meaningful(F.col("Ref_ID")))).where("key IS NOT NULL")
+    return v.groupBy(split_name(F.col("key"), 0.8, 0.1, 17).alias("split")).agg(F.count("*").alias("n_written"))
+
+
+# --- profile and rare features --------------------------------------------------------------------------------------
+
+_CELLS = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS column_name, {q.given(chr(34) + c + chr(34))} AS value FROM devices" for c in DEVICE_COLUMNS) + ") WHERE value IS NOT NULL"
+
+
+@query(f"SELECT column_name, CAST(sum(n) AS BIGINT) AS nonempty, count(*) AS n_distinct FROM (SELECT column_name, value, count(*) AS n FROM ({_CELLS}) GROUP BY ALL) GROUP BY column_name")
+def column_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.nonempty_counts(profile.value_counts(table(spark, d, "devices"), DEVICE_COLUMNS))
+
+
+@query(f"SELECT column_name, value, count(*) AS value_count FROM ({_CELLS}) WHERE column_name IN ('Cell_architecture', 'source', 'JV_light_intensity', 'Perovskite_deposition_solvents') GROUP BY ALL")
+def column_values(spark: SparkSession, d: str) -> DataFrame:
+    return profile.value_counts(table(spark, d, "devices"), ["Cell_architecture", "source", "JV_light_intensity", "Perovskite_deposition_solvents"])
+
+
+_USED = ("Cell_architecture", "Cell_stack_sequence", "Perovskite_composition_long_form")
+_RARE = [c for c in DEVICE_COLUMNS if not profile.leaks(c) and c not in _USED]
+_RARE_SQL = f"""WITH c AS ({_CELLS}), m AS (SELECT * FROM c WHERE column_name IN ({', '.join(f"'{c}'" for c in _RARE)})), v AS (SELECT column_name, value, count(*) AS vc FROM m GROUP BY ALL), n AS (SELECT column_name, sum(vc) AS ne FROM v GROUP BY ALL),
+f AS (SELECT row_id, column_name, value, CAST(row_number() OVER (PARTITION BY row_id ORDER BY ne, vc, column_name) AS INTEGER) AS position FROM m JOIN v USING (column_name, value) JOIN n USING (column_name), (SELECT count(*) AS t FROM devices)
+WHERE lower(value) NOT IN ('false', '0', '0.0') AND (ne / t < 0.2 OR vc / t < 0.02 OR lower(value) = 'true' OR regexp_matches(lower(column_name), '{'|'.join(profile.RARE_KEYWORDS)}')))"""
+
+
+@query(f"{_RARE_SQL} SELECT row_id, position, column_name, value FROM f WHERE position <= 60")
+def rare_features(spark: SparkSession, d: str) -> DataFrame:
+    return profile.rare_features(table(spark, d, "devices"), "row_id", DEVICE_COLUMNS, _USED)
+
+
+# --- prompts --------------------------------------------------------------------------------------------------------
+
+
+def _lines(columns) -> str:
+    return ", ".join(f"'- {prompts.label(c)}: ' || ({q.given(chr(34) + c + chr(34))})" for c in columns)
+
+
+_PRIMARY = [c for c in prompts.PRIMARY_COLUMNS if c in DEVICE_COLUMNS]
+_SECONDARY = [c for c in prompts.SECONDARY_COLUMNS if c in DEVICE_COLUMNS]
+_CORE = f"concat_ws(chr(10), '{prompts.HEADER}', '', 'Core device recipe:', {_lines(_PRIMARY)})"
+
+
+@query(f"SELECT row_id, {_CORE} AS prompt FROM devices")
+def prompt_core(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "devices")
+    return t.select("row_id", prompts.core_prompt(t).alias("prompt"))
+
+
+@query(f"SELECT row_id, concat_ws(chr(10), {_CORE}, '', 'Secondary process and measurement details:', {_lines(_SECONDARY)}) AS prompt FROM devices")
+def prompt_core_secondary(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "devices")
+    return t.select("row_id", prompts.core_secondary_prompt(t).alias("prompt"))
+
+
+_FEATURES = f"{_RARE_SQL}, g AS (SELECT row_id, string_agg('- ' || lower(replace(column_name, '_', ' ')) || ': ' || value, chr(10) ORDER BY position) AS lines FROM f WHERE position <= 60 GROUP BY row_id)"
+
+
+@query(f"{_FEATURES} SELECT row_id, {_CORE} || coalesce(chr(10) || chr(10) || 'Activated rare or special features:' || chr(10) || lines, '') AS prompt FROM devices LEFT JOIN g USING (row_id)")
+def prompt_core_rare(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "devices")
+    t = prompts.with_rare_features(t, "row_id", profile.rare_features(t, "row_id", DEVICE_COLUMNS, _USED))
+    return t.select("row_id", prompts.core_rare_prompt(t).alias("prompt"))
+
+
+def _sections() -> str:
+    parts = []
+    for title, prefixes in prompts.SECTIONS.items():
+        columns = [c for c in DEVICE_COLUMNS if c.startswith(prefixes) and not profile.leaks(c) and (c in prompts.PRIMARY_COLUMNS or c in prompts.SECONDARY_COLUMNS)]
+        if columns:
+            parts.append(f"chr(10) || '{title}:' || chr(10) || nullif(concat_ws(chr(10), {_lines(columns)}), '')")
+    return ", ".join(parts)
+
+
+_UNPLACED = f"{_RARE_SQL}, g AS (SELECT row_id, string_agg('- ' || lower(replace(column_name, '_', ' ')) || ': ' || value, chr(10) ORDER BY position) AS lines FROM f WHERE position <= 60 AND column_name = 'split_key' OR position <= 60 AND column_name = 'source' GROUP BY row_id)"
+
+
+@query(f"{_UNPLACED} SELECT row_id, concat_ws(chr(10), '{prompts.HEADER}', {_sections()}, chr(10) || 'Other activated features:' || chr(10) || lines) AS prompt FROM devices LEFT JOIN g USING (row_id)")
+def prompt_hierarchical(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "devices")
+    t = prompts.with_rare_features(t, "row_id", profile.rare_features(t, "row_id", DEVICE_COLUMNS, _USED))
+    return t.select("row_id", prompts.hierarchical_prompt(t).alias("prompt"))
+
+
+@query()
+def chat_dataset(spark: SparkSession, d: str) -> DataFrame:
+    v = targets.valid_rows(table(spark, d, "devices")).withColumn("key", F.coalesce(meaningful(F.col("Ref_DOI_number")), meaningful(F.col("Ref_ID"))))
+    answer = F.to_json(targets.target_struct())
+    return v.select("row_id", split_name(F.col("key"), 0.8, 0.1, 17).alias("split"), prompts.messages(SYSTEM, prompts.core_prompt(v), answer).alias("messages"), "key")
+
+
+# --- targets --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT row_id, pce, voc, jsc, ff FROM ({q.VALID})")
+def quality_filter(spark: SparkSession, d: str) -> DataFrame:
+    return targets.valid_rows(table(spark, d, "devices")).select("row_id", *targets.FIELDS)
+
+
+@query(f"SELECT row_id, {', '.join(f'{q.binned(f, f)} AS {f}_bin' for f in targets.FIELDS)} FROM ({q.TARGETS})")
+def target_bins(spark: SparkSession, d: str) -> DataFrame:
+    t = targets.with_targets(table(spark, d, "devices"))
+    return t.select("row_id", *(targets.make_bin(f, F.col(f)).alias(f"{f}_bin") for f in targets.FIELDS))
+
+
+_LACKING = " + ".join(f"""(coalesce(lower({q.stripped(chr(34) + c + chr(34))}), '') IN ({', '.join(repr(t) for t in MISSING_TOKENS)}))::INT""" for c in targets.PROCESS_COLUMNS)
+
+
+@query(f"SELECT row_id, CASE WHEN {q.ERROR} <= 0.5 AND {_LACKING} <= 2 THEN 'high' WHEN {q.ERROR} <= 2 AND {_LACKING} <= 4 THEN 'medium' ELSE 'low' END AS confidence FROM ({q.VALID})")
+def target_confidence(spark: SparkSession, d: str) -> DataFrame:
+    v = targets.valid_rows(table(spark, d, "devices"))
+    return v.select("row_id", targets.confidence(targets.consistency_error(*(F.col(f) for f in targets.FIELDS))).alias("confidence"))
+
+
+def _said(c: str) -> str:
+    return f"nullif({q.stripped(chr(34) + c + chr(34))}, '')"
+
+
+@query(f"""SELECT row_id, array_to_string(list_filter(['The device architecture is ' || {_said('Cell_architecture')} || '.', 'The absorber composition is recorded as ' || coalesce({_said('Perovskite_composition_long_form')}, {_said('Perovskite_composition_short_form')}) || '.',
+CASE WHEN {_said('Cell_stack_sequence')} IS NOT NULL THEN 'The layer stack provides device context for transport and contact layers.' END, 'The perovskite deposition procedure is ' || {_said('Perovskite_deposition_procedure')} || '.',
+CASE WHEN coalesce({_said('Perovskite_deposition_thermal_annealing_temperature')}, {_said('Perovskite_deposition_thermal_annealing_time')}) IS NOT NULL THEN 'Annealing conditions are present in the input recipe.' END], lambda x: x IS NOT NULL), ' ') AS sentences FROM ({q.VALID})""")
+def target_justification(spark: SparkSession, d: str) -> DataFrame:
+    v = targets.valid_rows(table(spark, d, "devices"))
+    said = targets.justification(targets.consistency_error(*(F.col(f) for f in targets.FIELDS)))
+    # the sentence with the formatted number is tested apart, as SQL formats it otherwise
+    return v.select("row_id", F.array_join(F.filter(said, lambda x: ~x.startswith("The predicted metrics")), " ").alias("sentences"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+
+def paired(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded targets with a plain rule's predictions: consistency for PCE, lines in the band gap for Voc and Jsc."""
+    t = targets.with_targets(table(spark, d, "devices")).withColumn("gap", parse_float(F.col("Perovskite_band_gap")))
+    rule = {"pce": F.col("voc") * F.col("jsc") * F.col("ff"), "voc": F.col("gap") * 0.6, "jsc": 30 - 5 * F.col("gap"), "ff": F.when(F.col("pce").isNotNull(), 0.7)}
+    return t.select("row_id", *(F.col(f).alias(f"t_{f}") for f in targets.FIELDS), *(c.alias(f"p_{f}") for f, c in rule.items()))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+
+
+_BOTH = "truth IS NOT NULL AND pred IS NOT NULL"
+_METRICS = f"count_if({_BOTH}) AS n, round(avg(abs(pred - truth)), 6) AS mae, round(sqrt(avg((pred - truth) ^ 2)), 6) AS rmse, round(1 - sum((pred - truth) ^ 2) / nullif(regr_sxx(pred, truth), 0), 6) AS r2"
+
+
+@query(f"SELECT field, {_METRICS} FROM ({q.LONG}) GROUP BY field")
+def regression_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.regression_metrics(ev.pairs(paired(spark, d))), "mae", "rmse", "r2")
+
+
+@query(f"SELECT field, count_if({_BOTH}) AS n, round(count_if({_BOTH} AND {q.binned_by_field('truth')} = {q.binned_by_field('pred')}) / nullif(count_if({_BOTH}), 0), 6) AS accuracy FROM ({q.LONG}) GROUP BY field")
+def bin_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.bin_accuracy(ev.pairs(paired(spark, d))), "accuracy")
+
+
+_RATES = {"prediction_validity_rate": "pred IS NOT NULL", "truth_validity_rate": "truth IS NOT NULL", "comparable_rate": _BOTH, "missing_rate": "pred IS NULL"}
+
+
+@query(f"SELECT field, count(pred) AS predicted_count, count(truth) AS truth_count, count_if({_BOTH}) AS comparable_count, {', '.join(f'round(count_if({c}) / count(*), 6) AS {n}' for n, c in _RATES.items())} FROM ({q.LONG}) GROUP BY field")
+def field_validity(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.field_validity(ev.pairs(paired(spark, d))), *_RATES)
+
+
+_LABELS = " UNION ALL ".join(f"SELECT '{f}' AS field, unnest([{', '.join(repr(x) for x in targets.bin_labels(f))}]) AS bin" for f in targets.FIELDS)
+
+
+@query(f"""WITH l AS ({_LABELS}), c AS (SELECT field, {q.binned_by_field('truth')} AS truth_bin, {q.binned_by_field('pred')} AS pred_bin, count(*) AS n FROM ({q.LONG}) WHERE {_BOTH} GROUP BY ALL)
+SELECT a.field, a.bin AS truth_bin, b.bin AS pred_bin, coalesce(n, 0) AS n FROM l a JOIN l b ON a.field = b.field LEFT JOIN c ON c.field = a.field AND truth_bin = a.bin AND pred_bin = b.bin""")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return ev.confusion_matrix(ev.pairs(paired(spark, d)))
+
+
+@query(f"""WITH g AS (SELECT unnest(['low_pce_lt_5', 'mid_pce_5_to_15', 'high_pce_gte_15']) AS subgroup), f AS (SELECT unnest([{', '.join(repr(f) for f in targets.FIELDS)}]) AS field),
+m AS (SELECT CASE WHEN t_pce < 5 THEN 'low_pce_lt_5' WHEN t_pce < 15 THEN 'mid_pce_5_to_15' ELSE 'high_pce_gte_15' END AS subgroup, field, {_METRICS} FROM ({q.LONG}) WHERE t_pce IS NOT NULL GROUP BY ALL)
+SELECT subgroup, field, coalesce(n, 0) AS n, mae, rmse, r2 FROM g CROSS JOIN f LEFT JOIN m USING (subgroup, field)""")
+def subgroup_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.subgroup_metrics(paired(spark, d)), "mae", "rmse", "r2")
+
+
+@query(f"SELECT count(e) AS n, round(avg(e), 6) AS mae, round(max(e), 6) AS max_error FROM (SELECT abs(p_pce - p_voc * p_jsc * p_ff) AS e FROM ({q.PAIRED}))")
+def physical_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.consistency_metrics(paired(spark, d)), "mae", "max_error")
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of the assistants' answers in the chat examples."""
+    t = table(spark, d, "chat_examples")
+    answer = parse_object(sequences.first_of(F.col("messages"), "assistant"))
+    t = t.select("example_id", answer["prediction"].alias("p"))
+    values = {f: parse_float(F.try_element_at("p", F.lit(f))) for f in targets.FIELDS}
+    labels = {f: F.try_element_at("p", F.lit(f"{f}_bin")) for f in targets.FIELDS}
+    has = {f: F.coalesce(F.map_contains_key("p", f"{f}_bin"), F.lit(False)) for f in targets.FIELDS}
+    return t.select("example_id", ev.verification(values, labels, has, F.col("p").isNotNull()).alias("check"))
+
+
+_ANSWER = "SELECT example_id, (list_filter(messages, lambda m: m.role = 'assistant')[1].content)::JSON AS j FROM chat_examples"
+_PARSED = "SELECT example_id, json_type(j -> 'prediction') = 'OBJECT' AS ok, " + ", ".join(f"{q.number(f'''(j -> 'prediction' ->> '{f}')''')} AS {f}, j -> 'prediction' ->> '{f}_bin' AS {f}_bin" for f in targets.FIELDS) + f" FROM ({_ANSWER})"
+_BAD = {
+    "range_violations": ", ".join(f"CASE WHEN {f} < {targets.LIMITS[f][0]} OR {f} > {targets.LIMITS[f][1]} THEN '{f}' END" for f in targets.FIELDS),
+    "invalid_bin_labels": ", ".join(f"CASE WHEN {f}_bin NOT IN ({', '.join(repr(x) for x in targets.bin_labels(f))}) THEN '{f}_bin' END" for f in targets.FIELDS),
+    "bin_mismatches": ", ".join(f"CASE WHEN {f}_bin IN ({', '.join(repr(x) for x in targets.bin_labels(f))}) AND {f}_bin <> {q.binned(f, f)} THEN '{f}_bin' END" for f in targets.FIELDS),
+    "missing_fields": ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in targets.FIELDS),
+}
+_CHECKS = f"SELECT example_id, ok, {', '.join(f'list_filter([{x}], lambda v: v IS NOT NULL) AS {n}' for n, x in _BAD.items())}, {q.ERROR} AS error FROM ({_PARSED})"
+
+
+@query(f"""SELECT example_id, len(range_violations) > 0 OR len(invalid_bin_labels) > 0 OR len(bin_mismatches) > 0 OR coalesce(error > 5, false) AS physically_inconsistent, len(missing_fields) = 0 AS schema_valid, round(error, 6) AS error,
+{', '.join(f"array_to_string({n}, ',') AS {n}" for n in _BAD)} FROM ({_CHECKS})""")
+def verify_predictions(spark: SparkSession, d: str) -> DataFrame:
+    c = _checked(spark, d).select("example_id", "check.*")
+    return c.select("example_id", "physically_inconsistent", "schema_valid", F.round("pce_consistency_error", 6).alias("error"), *(F.array_join(n, ",").alias(n) for n in _BAD))
+
+
+@query(f"SELECT unnest(invalid_bin_labels) AS field, count(*) AS n FROM ({_CHECKS}) GROUP BY ALL")
+def violation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ev.violation_counts(_checked(spark, d), "invalid_bin_labels")
+
+
+_WRONG = "len(range_violations) > 0 OR len(invalid_bin_labels) > 0 OR len(bin_mismatches) > 0 OR coalesce(error > 5, false)"
+_SUMMARY = f"SELECT count(*) AS n, count_if({_WRONG}) AS n_inconsistent, count_if(len(missing_fields) = 0) AS n_schema_valid, round(count_if({_WRONG}) / count(*), 6) AS inconsistent_rate, round(count_if(len(missing_fields) = 0) / count(*), 6) AS schema_valid_rate FROM ({_CHECKS})"
+
+
+@query(_SUMMARY)
+def verification_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.verification_summary(_checked(spark, d)), "inconsistent_rate", "schema_valid_rate")
+
+
+@query(f"SELECT 'checks.' || metric AS metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({_SUMMARY})) ON COLUMNS(*) INTO NAME metric VALUE value)")
+def flat_metrics(spark: SparkSession, d: str) -> DataFrame:
+    row = _rounded(ev.verification_summary(_checked(spark, d)), "inconsistent_rate", "schema_valid_rate")
+    return ev.flatten_metrics(row.select(F.struct("*").alias("checks")))
+
+
+@query("SELECT example_id, '<|system|>' || chr(10) || messages[1].content || chr(10) || '<|user|>' || chr(10) || messages[2].content || chr(10) || '<|assistant|>' || chr(10) AS prompt, messages[3].content AS answer FROM chat_examples")
+def chat_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chat_examples").select("example_id", sequences.sft_prompt(F.col("messages")).alias("prompt"), sequences.first_of(F.col("messages"), "assistant").alias("answer"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+# --- retrieval and grounding ----------------------------------------------------------------------------------------
+
+
+@query()
+def bm25_context(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_context(table(spark, d, "documents"), "doc_id", "text")
+
+
+_LEAVES = " UNION ALL ".join(f"SELECT record_id, '{p}' AS path, {'nullif(len(precursors), 0)::VARCHAR' if p == 'precursors' else p} AS value, {'NULL' if p == 'precursors' else p} AS source, key_findings AS f FROM extractions" for p in grounding.WEIGHTS)
+_LEAF = f"SELECT record_id, path, value, CASE WHEN value IS NULL THEN 'false' WHEN path LIKE 'characterization.%' THEN 'table' WHEN contains(lower(f), lower(value)) THEN 'true' WHEN length(value) < 3 THEN NULL ELSE 'false' END AS grounded FROM ({_LEAVES})"
+
+
+def _leaf_table(spark: SparkSession, d: str) -> DataFrame:
+    t = grounding.leaves(table(spark, d, "extractions"), "record_id", F.col("key_findings").alias("f"))
+    g = F.when(F.col("value").isNull(), "false").when(F.col("path").startswith("characterization."), "table").when(F.coalesce(F.contains(F.lower("f"), F.lower("value")), F.lit(False)), "true").when(F.length("value") < 3, None).otherwise("false")
+    return t.select("record_id", "path", "value", g.alias("grounded"))
+
+
+_W = "CASE path " + " ".join(f"WHEN '{p}' THEN {w}" for p, w in grounding.WEIGHTS.items()) + " END"
+_GIVEN = "(value IS NOT NULL AND value NOT IN ('', '[]'))"
+_SURE = "coalesce(grounded IN ('true', 'table'), false)"
+_NEEDED = ", ".join(repr(p) for p in {**grounding.CRITICAL, **grounding.IMPORTANT})
+
+
+@query(f"""SELECT record_id, round(avg({_GIVEN}::INT) FILTER (WHERE path IN ({_NEEDED})), 6) AS completeness,
+coalesce(string_agg(path, ',' ORDER BY list_position([{', '.join(repr(p) for p in grounding.CRITICAL)}], path)) FILTER (WHERE NOT {_GIVEN} AND path IN ({', '.join(repr(p) for p in grounding.CRITICAL)})), '') AS missing_critical,
+round(count_if({_GIVEN} AND {_SURE}) / nullif(count_if({_GIVEN}), 0), 6) AS grounding_precision, round(sum({_W} * CASE WHEN {_GIVEN} AND {_SURE} THEN 1.0 WHEN {_GIVEN} THEN 0.5 ELSE 0 END) / sum({_W}), 6) AS weighted_score FROM ({_LEAF}) GROUP BY record_id""")
+def record_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(grounding.record_scores(_leaf_table(spark, d), "record_id"), "completeness", "grounding_precision", "weighted_score")
+
+
+@query(f"""SELECT record_id, count_if(grounded = 'true') AS grounded_fields, count(value) AS total_fields, round(coalesce(count_if(grounded = 'true') / nullif(count(value) - count_if(value IS NOT NULL AND grounded IS NULL), 0), 0), 6) AS grounding_score FROM ({_LEAF}) GROUP BY record_id""")
+def grounding_score(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(grounding.grounding_score(_leaf_table(spark, d), "record_id"), "grounding_score")
+
+
+@query("""SELECT record_id, strpos(lower(key_findings), lower(material)) - 1 AS norm_start FROM extractions WHERE strpos(lower(key_findings), lower(material)) > 0""")
+def exact_span(spark: SparkSession, d: str) -> DataFrame:
+    at = F.instr(F.lower("key_findings"), F.lower("material"))
+    return table(spark, d, "extractions").where(at > 0).select("record_id", (at - 1).cast("bigint").alias("norm_start"))
+
+
+@query()
+def fuzzy_ground(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "extractions").select("record_id", "title", F.concat_ws(" ", "title", "key_findings").alias("text"))
+    return grounding.ground(t, "title", "text").select("record_id", "grounded", "norm_start", "norm_end")
+
+
+# --- votes and corrections ------------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT doi, nullif(lower(trim(synthesis_method)), '') AS k, count(*) AS votes, min(record_id) AS r FROM extractions GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY (k IS NULL)::INT, votes DESC, r) AS n FROM v)
+SELECT b.doi, CASE WHEN k IS NOT NULL THEN e.synthesis_method END AS value, CASE WHEN k IS NULL THEN 0 ELSE votes END AS votes FROM b JOIN extractions e ON e.record_id = b.r WHERE n = 1""")
+def majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "extractions").select("doi", F.col("record_id").alias("run"), F.col("synthesis_method").alias("value"))
+    return voting.majority(runs, ["doi"])
+
+
+@query("SELECT doi, record_id AS run, coalesce(len(precursors), 0) AS size FROM extractions QUALIFY row_number() OVER (PARTITION BY doi ORDER BY coalesce(len(precursors), 0) DESC, record_id) = 1")
+def longest_list(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "extractions").withColumnRenamed("record_id", "run")
+    return voting.longest_list(t, ["doi"], "precursors").select("doi", "run", F.col("size").cast("bigint").alias("size"))
+
+
+@query("""SELECT user_id, round(count_if(value > 10 AND event_type <> 'error') / nullif(count_if(event_type <> 'error'), 0), 2) AS stability, CASE WHEN count_if(event_type <> 'error') >= 2 THEN count_if(value > 10 AND event_type <> 'error') / count_if(event_type <> 'error') >= 0.5 END AS stable FROM events GROUP BY user_id""")
+def probe_stability(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "events").select("user_id", (F.col("event_type") != "error").alias("answered"), (F.col("value") > 10).alias("matches"))
+    return voting.probe_stability(t, ["user_id"])
+
+
+@query(f"""WITH c AS (SELECT record_id, 'substrate' AS path, upper(substrate) AS correction FROM extractions WHERE substrate IS NOT NULL)
+SELECT record_id, path, coalesce(correction, value) AS value, CASE WHEN correction IS NOT NULL THEN value END AS value_original FROM ({_LEAF}) LEFT JOIN c USING (record_id, path)""")
+def apply_corrections(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "extractions").select("record_id", F.lit("substrate").alias("path"), F.upper("substrate").alias("correction"))
+    return voting.apply_corrections(_leaf_table(spark, d), c, ["record_id", "path"]).select("record_id", "path", "value", "value_original")
+
+
+@query("""WITH p AS (SELECT record_id, unnest(precursors).name AS name FROM extractions), s AS (SELECT DISTINCT lower(trim(name)) AS k FROM p WHERE name LIKE 'Pb%')
+SELECT record_id, name, k IS NOT NULL AS suspect, count(*) AS n FROM p LEFT JOIN s ON lower(trim(name)) = k GROUP BY ALL""")
+def suspect_precursors(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "extractions").select("record_id", F.explode("precursors").alias("x")).select("record_id", "x.name")
+    out = voting.flag_suspects(p, p.where(F.col("name").startswith("Pb")), [], "name")
+    return out.groupBy("record_id", "name", "suspect").agg(F.count("*").alias("n"))
+
+
+# --- attention ------------------------------------------------------------------------------------------------------
+
+HEADS, SIZE = 4, 16
+_X = f"SELECT label AS b, h, vec_id AS pos, list_slice(embedding::DOUBLE[], h * {SIZE} + 1, h * {SIZE} + {SIZE}) AS vec FROM embeddings, (SELECT unnest(range({HEADS}))::INT AS h)"
+
+
+def _attention_sql(where: str) -> str:
+    return f"""WITH x AS ({_X}), s AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, list_dot_product(q.vec, k.vec) / 4.0 AS s FROM x q JOIN x k ON q.b = k.b AND q.h = k.h AND ({where})), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY b, h, qpos)) AS e FROM s)
+SELECT b, h, qpos, d::INT AS d, round(sum(e * vec[d + 1]) / sum(e), 4) AS value FROM e, (SELECT unnest(range({SIZE})) AS d) GROUP BY ALL"""
+
+
+def _x(spark: SparkSession, d: str) -> DataFrame:
+    return att.split_heads(table(spark, d, "embeddings"), "label", "vec_id", "embedding", HEADS, SIZE)
+
+
+def _attended(links: DataFrame, x: DataFrame) -> DataFrame:
+    return att.attend(links, x, SIZE).withColumn("value", F.round("value", 4))
+
+
+@query(_attention_sql("true"))
+def attention_full(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return _attended(att.links_all(x), x)
+
+
+@query(_attention_sql("k.pos <= q.pos"))
+def attention_causal(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return _attended(att.links_all(x, causal=True), x)
+
+
+@query(_attention_sql("abs(k.pos - q.pos) <= 25"))
+def attention_local(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return _attended(att.links_local(x, 25), x)
+
+
+_RANDOM = " OR ".join(f"k.pos = (q.pos * {att.RANDOM_A} + {o} * {att.RANDOM_B}) % 500" for o in range(1, 9))
+
+
+@query(_attention_sql(f"abs(k.pos - q.pos) <= 25 OR k.pos < 20 OR q.pos < 20 OR {_RANDOM}"))
+def attention_sparse(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return _attended(att.links_sparse(x, 25, 20, 8, 500), x)
+
+
+@query(f"""WITH x AS ({_X}), f AS (SELECT b, h, pos, vec, list_transform(vec, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE exp(v) END) AS f FROM x), s AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, list_dot_product(q.f, k.f) AS w FROM f q JOIN f k ON q.b = k.b AND q.h = k.h)
+SELECT b, h, qpos, d::INT AS d, round(sum(w * vec[d + 1]) / sum(w), 4) AS value FROM s, (SELECT unnest(range({SIZE})) AS d) GROUP BY ALL""")
+def attention_linear(spark: SparkSession, d: str) -> DataFrame:
+    return att.attend_linear(_x(spark, d)).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT label AS b, vec_id AS pos, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def heads_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d).select("b", "h", F.col("pos").alias("qpos"), F.posexplode("vec").alias("d", "value"))
+    m = att.merge_heads(x, SIZE)
+    return m.select("b", "pos", F.size("vec").cast("bigint").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+# --- sequences ------------------------------------------------------------------------------------------------------
+
+_IDS = "list_transform(string_split(coalesce({0}, ''), ' '), lambda w: length(w)::INT)"
+
+
+def _ids(c) -> F.Column:
+    return F.transform(F.split(c, " ", -1), lambda w: F.length(w))
+
+
+_P, _A = _IDS.format("messages[2].content"), _IDS.format("messages[3].content")
+
+
+@query(f"""WITH t AS (SELECT example_id, {_P} AS p, {_A} AS a FROM chat_examples), k AS (SELECT example_id, list_slice(a, 1, 64) AS a, list_slice(p, greatest(len(p) - greatest(64 - len(a), 0), 0) + 1, CASE WHEN len(a) < 64 THEN len(p) ELSE 0 END) AS p FROM t)
+SELECT example_id, array_to_string(list_concat(p, a), ' ') AS input_ids, array_to_string(list_concat(list_transform(p, lambda x: -100), a), ' ') AS labels FROM k""")
+def completion_only(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "chat_examples").select("example_id", _ids(sequences.first_of(F.col("messages"), "user")).alias("p"), _ids(sequences.first_of(F.col("messages"), "assistant")).alias("a"))
+    t = t.select("example_id", sequences.completion_only(F.col("p"), F.col("a"), F.transform("a", lambda x: F.lit(1.0)), 64).alias("s"))
+    return t.select("example_id", *(F.array_join(F.col(f"s.{n}").cast("array<string>"), " ").alias(n) for n in ("input_ids", "labels")))
+
+
+@query(f"""WITH t AS (SELECT source, example_id, {_A} AS a FROM chat_examples) SELECT example_id, array_to_string(list_resize(a, max(len(a)) OVER (PARTITION BY source), 0), ' ') AS padded FROM t""")
+def padded_batches(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "chat_examples").select("source", "example_id", _ids(sequences.first_of(F.col("messages"), "assistant")).alias("a"))
+    return sequences.padded(t, "source", "a", 0).select("example_id", F.array_join(F.col("padded").cast("array<string>"), " ").alias("padded"))
+
+
+@query("""WITH t AS (SELECT l_returnflag, l_discount AS l, lead(l_linenumber) OVER w AS n, lead(l_tax) OVER w AS t FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+SELECT l_returnflag, round(sum(l * t) / greatest(sum(t), 1.0), 6) AS weighted_loss FROM t WHERE n IS NOT NULL AND n <> -100 GROUP BY ALL""")
+def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    return _rounded(sequences.weighted_loss(t, "l_orderkey", "at", "l_discount", "l_linenumber", "l_tax", "l_returnflag"), "weighted_loss")
+
+
+# --- documents ------------------------------------------------------------------------------------------------------
+
+_HEADING = "regexp_matches(line, '^[A-Z0-9][^.]{2,60}$')"
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in ingest.HEADINGS) + " ELSE 'other' END"
+
+
+@query(f"SELECT section, count(*) AS n FROM (SELECT {_CLASS} AS section FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM parsed_papers) WHERE {_HEADING}) GROUP BY ALL")
+def section_classes(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "parsed_papers").select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[A-Z0-9][^.]{2,60}$"))
+    return lines.groupBy(ingest.classify_heading(F.col("line")).alias("section")).agg(F.count("*").alias("n"))
+
+
+_BLOCKS = """SELECT paper_id AS doc_id, (i // 40)::INT AS page, 600.0 AS page_width, CASE WHEN i % 3 = 2 THEN 320.0 ELSE 40.0 END AS x0, (i % 40) * 20.0 AS y0, (i % 40) * 20.0 + 12 AS y1, CASE WHEN i % 5 = 4 THEN 'Figure ' || (i // 5) || '. ' || line ELSE line END AS text
+FROM (SELECT paper_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM parsed_papers)"""
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the papers laid out as blocks of pages, every fifth a caption."""
+    t = table(spark, d, "parsed_papers").select("paper_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    text = F.when(F.col("i") % 5 == 4, F.concat(F.lit("Figure "), F.floor(F.col("i") / 5).cast("string"), F.lit(". "), F.col("line"))).otherwise(F.col("line"))
+    y = (F.col("i") % 40) * 20.0
+    return t.select(F.col("paper_id").alias("doc_id"), F.floor(F.col("i") / 40).cast("int").alias("page"), F.lit(600.0).alias("page_width"), F.when(F.col("i") % 3 == 2, 320.0).otherwise(40.0).alias("x0"), y.alias("y0"), (y + 12).alias("y1"), text.alias("text"))
+
+
+@query(f"SELECT doc_id, page, '[Page ' || page || ']' || chr(10) || string_agg(trim(text), chr(10) ORDER BY x0 >= page_width / 2, y0) AS page_text FROM ({_BLOCKS}) WHERE trim(text) <> '' GROUP BY ALL")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.page_text(_blocks(spark, d))
+
+
+_IMAGES = "SELECT DISTINCT doc_id, page, 1 AS image_no, 300 + page AS width, 190 + 10 * page AS height, 30.0 + 97 * page AS y1 FROM (SELECT doc_id, page FROM b)"
+
+
+def _images(b: DataFrame) -> DataFrame:
+    return b.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(1).alias("image_no"), (300 + F.col("page")).alias("width"), (190 + 10 * F.col("page")).alias("height"), (30.0 + 97 * F.col("page")).alias("y1"))
+
+
+_FOUND = f"""SELECT i.doc_id, i.page, i.image_no, i.width, i.height, i.y1, trim(c.text) AS caption FROM ({_IMAGES}) i JOIN b c ON c.doc_id = i.doc_id AND c.page = i.page AND c.text LIKE 'Figure %. %' AND c.y0 > i.y1 AND c.y0 < i.y1 + 150 AND i.width >= 200 AND i.height >= 200
+QUALIFY row_number() OVER (PARTITION BY i.doc_id, i.page, i.image_no ORDER BY c.y0) = 1"""
+
+
+@query(f"WITH b AS ({_BLOCKS}) {_FOUND}")
+def caption_range_join(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    return ingest.captions_below(_images(b), b)
+
+
+@query(f"""WITH b AS ({_BLOCKS}), f AS ({_FOUND}), c AS (SELECT doc_id, page, y0 AS caption_y, trim(text) AS caption FROM b WHERE text LIKE 'Figure %. %') SELECT c.doc_id, c.page, c.caption, c.caption_y, coalesce(max(b.y1 + 2) FILTER (WHERE b.y1 < c.caption_y - 5), 0) AS region_top
+FROM c ANTI JOIN f USING (doc_id, page, caption) JOIN b ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY ALL""")
+def uncovered_captions(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    return ingest.uncovered_captions(b, ingest.captions_below(_images(b), b))
+
+
+@query("""WITH f AS (SELECT doc_id, source, coalesce(section, 'none') AS caption, coalesce(n_chars, 0) AS size, 1 AS page FROM documents), k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source, caption ORDER BY size DESC, doc_id) = 1)
+SELECT source, caption, doc_id, size, CAST(row_number() OVER (PARTITION BY source ORDER BY page, caption) AS INTEGER) AS figure_number FROM k""")
+def keep_largest(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "documents").select("doc_id", "source", F.coalesce("section", F.lit("none")).alias("caption"), F.coalesce("n_chars", F.lit(0)).alias("size"), F.lit(1).alias("page"))
+    return ingest.largest_by_caption(f, "source", "caption", "size", "doc_id").select("source", "caption", "doc_id", "size", "figure_number")
+
+
+@query("""SELECT record_id, is_perovskite_synthesis, title, material, process_conditions.temperature AS temperature, len(list_filter(coalesce(precursors, []), lambda x: coalesce(x.name, x.concentration) IS NOT NULL)) AS n_precursors FROM extractions""")
+def normalised_records(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "extractions")
+    raw = F.to_json(F.struct(*(F.col(c) for c in ("title", "doi", "is_perovskite_synthesis", "material", "precursors", "synthesis_method", "process_conditions", "substrate", "characterization", "device_performance", "key_findings")), F.lit(1).alias("unknown_key")))
+    n = t.select("record_id", records.normalise(raw, F.col("source_file")).alias("r"))
+    return n.select("record_id", "r.is_perovskite_synthesis", "r.title", "r.material", F.col("r.process_conditions.temperature").alias("temperature"), F.size("r.precursors").cast("bigint").alias("n_precursors"))
+
+
+# --- models ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def ridge_baseline(spark: SparkSession, d: str) -> DataFrame:
+    v = targets.valid_rows(table(spark, d, "devices"), max_error=None).withColumn("split", split_name(F.coalesce(meaningful(F.col("Ref_DOI_number")), F.col("Ref_ID")), 0.8, 0.1, 17))
+    numeric, categorical = ["Perovskite_band_gap", "Perovskite_thickness", "Cell_area_measured"], ["Cell_architecture", "Perovskite_deposition_procedure"]
+    rows = models.prepare(v, numeric, categorical)
+    model = models.fit(rows.where("split = 'train'"), numeric, categorical, "pce")
+    out = model.transform(rows.where("split = 'test'")).select(F.lit("pce").alias("field"), F.col("pce").alias("truth"), F.col("prediction").alias("pred"))
+    return ev.regression_metrics(out)
+
+
+@query(f"SELECT column_name FROM (SELECT column_name, count({q.number('value')}) / nullif(count(*), 0) AS share FROM ({_CELLS}) GROUP BY column_name) WHERE share >= 0.9")
+def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "devices")
+    found = models.numeric_columns(t, DEVICE_COLUMNS)
+    return spark.createDataFrame([(c,) for c in found], "column_name string")
+
+
+# --- relational staples of the star schema --------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, count(t) AS n_priced, round(avg(abs(t - o_totalprice)), 2) AS mae FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY ALL""")
+def order_totals(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("t"))
+    o = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count("t").alias("n_priced"), F.round(F.avg(F.abs(F.col("t") - F.col("o_totalprice"))), 2).alias("mae"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, count(value) AS n, round(avg(abs(value - 10)), 6) AS mae FROM events GROUP BY ALL")
+def windowed_error(spark: SparkSession, d: str) -> DataFrame:
+    from sedge.streaming.events import windowed_error as run
+
+    return _rounded(run(table(spark, d, "events").withColumn("truth", F.lit(10.0)).withColumn("pred", F.col("value"))), "mae")
+
+
