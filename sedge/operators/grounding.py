@@ -23,9 +23,14 @@ def plain(s: str) -> str:
     return unicodedata.normalize("NFKC", s).translate(_DASHES)
 
 
-@F.pandas_udf("string")
-def plain_text(s: pd.Series) -> pd.Series:
-    return s.map(plain, na_action="ignore")
+def plain_text(c: Column) -> Column:
+    """plain() as a column."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(plain, na_action="ignore")
+
+    return run(c)
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -105,10 +110,11 @@ def ground(df: DataFrame, source: str, text: str) -> DataFrame:
     return quick.unionByName(slow).drop("_kind", "_at")
 
 
-def leaves(records: DataFrame, *keep: str) -> DataFrame:
+def leaves(records: DataFrame, *keep: str | Column) -> DataFrame:
     """(keep..., path, value) of the weighted fields of normalised records; precursors as the number of them."""
     rows = F.array(*(F.struct(F.lit(p).alias("path"), (F.nullif(F.size("precursors"), F.lit(0)).cast("string") if p == "precursors" else F.col(p)).alias("value")) for p in WEIGHTS))
-    return records.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.path", "x.value")
+    out = records.select(*keep, F.explode(rows).alias("x"))
+    return out.select(*(c for c in out.columns if c != "x"), "x.path", "x.value")
 
 
 def _weight(path: Column) -> Column:

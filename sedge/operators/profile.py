@@ -59,7 +59,6 @@ def rare_features(df: DataFrame, id_column: str, columns: list[str], used: tuple
     columns = [c for c in columns if not leaks(c) and c not in used]
     counts = value_counts(df, columns)
     stats = counts.join(nonempty_counts(counts).select("column_name", "nonempty"), "column_name")
-    total = df.agg(F.count("*").alias("_rows"))
-    found = cells(df, columns, id_column).join(stats, ["column_name", "value"]).join(F.broadcast(total)).where(is_rare(F.col("_rows"), coverage, frequency))  # one row
+    found = cells(df, columns, id_column).join(stats, ["column_name", "value"]).where(is_rare(F.lit(df.count()), coverage, frequency))
     w = Window.partitionBy(id_column).orderBy("nonempty", "value_count", "column_name")
     return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select(id_column, "position", "column_name", "value")

@@ -270,7 +270,7 @@ def verify_predictions(spark: SparkSession, d: str) -> DataFrame:
     return c.select("example_id", "physically_inconsistent", "schema_valid", F.round("pce_consistency_error", 6).alias("error"), *(F.array_join(n, ",").alias(n) for n in _BAD))
 
 
-@query(f"SELECT unnest(invalid_bin_labels) AS field, count(*) AS n FROM ({_CHECKS}) GROUP BY ALL")
+@query(f"SELECT field, count(*) AS n FROM (SELECT unnest(invalid_bin_labels) AS field FROM ({_CHECKS})) GROUP BY field")
 def violation_counts(spark: SparkSession, d: str) -> DataFrame:
     return ev.violation_counts(_checked(spark, d), "invalid_bin_labels")
 
@@ -303,7 +303,22 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval and grounding ----------------------------------------------------------------------------------------
 
 
-@query()
+_TRIM = f"trim({{0}}, {q._BLANKS})"
+_BM25 = f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''), b AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS block, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS i FROM d),
+s AS (SELECT doc_id, i, CASE WHEN length({_TRIM.format('block')}) > 3000 THEN string_split({_TRIM.format('block')}, chr(10)) ELSE [{_TRIM.format('block')}] END AS parts FROM b), u AS (SELECT doc_id, i, unnest(parts) AS part, unnest(range(len(parts))) AS j FROM s),
+p AS (SELECT doc_id, i, {_TRIM.format('part')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM u WHERE length({_TRIM.format('part')}) >= 80),
+w AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM p), tf AS (SELECT doc_id, pos, term, count(*) AS f FROM w GROUP BY ALL), dl AS (SELECT doc_id, pos, count(*) AS dl FROM w GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY ALL), av AS (SELECT doc_id, sum(dl) / n AS av FROM dl JOIN n USING (doc_id) GROUP BY doc_id, n), df AS (SELECT doc_id, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN n USING (doc_id) GROUP BY doc_id, term, n),
+m AS (SELECT doc_id, 0.25 * avg(idf) AS floor FROM df GROUP BY ALL), qy AS (SELECT unnest(string_split(lower('{retrieval.QUERY}'), ' ')) AS term),
+sc AS (SELECT doc_id, pos, sum(CASE WHEN idf >= 0 THEN idf ELSE floor END * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / av))) AS s FROM qy JOIN tf USING (term) JOIN df USING (doc_id, term) JOIN m USING (doc_id) JOIN dl USING (doc_id, pos) JOIN av USING (doc_id) GROUP BY ALL),
+r AS (SELECT p.doc_id, i, p.pos, t, row_number() OVER (PARTITION BY p.doc_id ORDER BY round(coalesce(s, 0), 9) DESC, p.pos) AS rank FROM p LEFT JOIN sc ON sc.doc_id = p.doc_id AND sc.pos = p.pos),
+c AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i, rank ROWS UNBOUNDED PRECEDING) AS c FROM r WHERE rank <= 14),
+k AS (SELECT *, CASE WHEN c <= 10000 THEN t WHEN c - length(t) <= 10000 AND 10000 - (c - length(t)) > 200 THEN substr(t, 1, (10000 - (c - length(t)))::BIGINT) END AS piece FROM c),
+g AS (SELECT doc_id, count(piece) AS n_paragraphs, string_agg(piece, chr(10) || chr(10) ORDER BY i, rank) AS context FROM k GROUP BY ALL)
+SELECT doc_id, coalesce(n_paragraphs, 0)::INTEGER AS n_paragraphs, coalesce(context, substr(documents.text, 1, 10000), '') AS context FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+@query(_BM25)
 def bm25_context(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_context(table(spark, d, "documents"), "doc_id", "text")
 
@@ -342,6 +357,11 @@ def exact_span(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extractions").where(at > 0).select("record_id", (at - 1).cast("bigint").alias("norm_start"))
 
 
+@query()
+def nfkc_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "devices").select("row_id", grounding.plain_text(F.col("Cell_stack_sequence")).alias("plain"))
+
+
 @query()
 def fuzzy_ground(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "extractions").select("record_id", "title", F.concat_ws(" ", "title", "key_findings").alias("text"))
@@ -501,7 +521,7 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("paper_id").alias("doc_id"), F.floor(F.col("i") / 40).cast("int").alias("page"), F.lit(600.0).alias("page_width"), F.when(F.col("i") % 3 == 2, 320.0).otherwise(40.0).alias("x0"), y.alias("y0"), (y + 12).alias("y1"), text.alias("text"))
 
 
-@query(f"SELECT doc_id, page, '[Page ' || page || ']' || chr(10) || string_agg(trim(text), chr(10) ORDER BY x0 >= page_width / 2, y0) AS page_text FROM ({_BLOCKS}) WHERE trim(text) <> '' GROUP BY ALL")
+@query(f"SELECT doc_id, page, '[Page ' || page || ']' || chr(10) || string_agg(trim(text), chr(10) ORDER BY x0 >= page_width / 2, y0) AS page_text FROM ({_BLOCKS}) WHERE trim(text) <> '' GROUP BY doc_id, page")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return ingest.page_text(_blocks(spark, d))
 
@@ -513,7 +533,8 @@ def _images(b: DataFrame) -> DataFrame:
     return b.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(1).alias("image_no"), (300 + F.col("page")).alias("width"), (190 + 10 * F.col("page")).alias("height"), (30.0 + 97 * F.col("page")).alias("y1"))
 
 
-_FOUND = f"""SELECT i.doc_id, i.page, i.image_no, i.width, i.height, i.y1, trim(c.text) AS caption FROM ({_IMAGES}) i JOIN b c ON c.doc_id = i.doc_id AND c.page = i.page AND c.text LIKE 'Figure %. %' AND c.y0 > i.y1 AND c.y0 < i.y1 + 150 AND i.width >= 200 AND i.height >= 200
+_IS_CAPTION = "regexp_matches({0}, '(?i)^\\s*fig(ure)?\\.?\\s*[0-9]+[a-z]?\\s*([.:|–—]|\\s\\s|$)')"
+_FOUND = f"""SELECT i.doc_id, i.page, i.image_no, i.width, i.height, i.y1, trim(c.text) AS caption FROM ({_IMAGES}) i JOIN b c ON c.doc_id = i.doc_id AND c.page = i.page AND {_IS_CAPTION.format('c.text')} AND c.y0 > i.y1 AND c.y0 < i.y1 + 150 AND i.width >= 200 AND i.height >= 200
 QUALIFY row_number() OVER (PARTITION BY i.doc_id, i.page, i.image_no ORDER BY c.y0) = 1"""
 
 
@@ -523,7 +544,7 @@ def caption_range_join(spark: SparkSession, d: str) -> DataFrame:
     return ingest.captions_below(_images(b), b)
 
 
-@query(f"""WITH b AS ({_BLOCKS}), f AS ({_FOUND}), c AS (SELECT doc_id, page, y0 AS caption_y, trim(text) AS caption FROM b WHERE text LIKE 'Figure %. %') SELECT c.doc_id, c.page, c.caption, c.caption_y, coalesce(max(b.y1 + 2) FILTER (WHERE b.y1 < c.caption_y - 5), 0) AS region_top
+@query(f"""WITH b AS ({_BLOCKS}), f AS ({_FOUND}), c AS (SELECT doc_id, page, y0 AS caption_y, trim(text) AS caption FROM b WHERE {_IS_CAPTION.format('text')}) SELECT c.doc_id, c.page, c.caption, c.caption_y, coalesce(max(b.y1 + 2) FILTER (WHERE b.y1 < c.caption_y - 5), 0) AS region_top
 FROM c ANTI JOIN f USING (doc_id, page, caption) JOIN b ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY ALL""")
 def uncovered_captions(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
