@@ -300,12 +300,11 @@ def _hash(word: str) -> int:
 
 def corrections(lexicon: DataFrame) -> DataFrame:
     """(wrong, right) for the rare words of (word, n) that a confusion makes of a far more frequent word."""
-    spark = lexicon.sparkSession
-    # more than one code for the same difference of hashes doesn't matter, as each is verified
-    pairs = spark.createDataFrame([(right, wrong, _hash(wrong) - _hash(right)) for right, wrong in CONFUSIONS], "r string, w string, diff bigint")
+    # different confusions with the same difference don't matter, as each is verified
+    pairs = F.array(*(F.struct(F.lit(right).alias("r"), F.lit(wrong).alias("w"), F.lit(_hash(wrong) - _hash(right)).alias("diff")) for right, wrong in CONFUSIONS))
     frequent = lexicon.where((F.col("n") >= 4) & F.col("word").rlike("^[a-z]+(-[a-z]+)*$")).select(F.col("word").alias("right"), F.col("n").alias("m"), anagram_hash(F.col("word")).alias("hash"))
-    rare = lexicon.select(F.col("word").alias("wrong"), "n", anagram_hash(F.col("word")).alias("own")).crossJoin(F.broadcast(pairs)).where(F.col("wrong").contains(F.col("w")))  # a fixed list of confusions
-    rare = rare.withColumn("hash", F.col("own") - F.col("diff"))
+    rare = lexicon.select(F.col("word").alias("wrong"), "n", anagram_hash(F.col("word")).alias("own"), F.explode(F.filter(pairs, lambda p: F.contains(F.col("word"), p["w"]))).alias("p"))
+    rare = rare.select("wrong", "n", "p.r", "p.w", (F.col("own") - F.col("p.diff")).alias("hash"))
     met = rare.join(frequent, "hash").where("right <> wrong")
     odd = ~F.col("wrong").rlike("^[a-z]+(-[a-z]+)*$")
     met = met.where((odd & (F.col("m") >= F.col("n"))) | (F.col("m") >= 12 * F.col("n")))
