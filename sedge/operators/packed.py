@@ -112,8 +112,8 @@ class Model:
             if item.lower() in MISSING_TOKENS:
                 s = math.log(0.02)
             else:
-                backoff = 0.05 * math.exp(-1.8 * min(len(item), 300))
-                s = math.log((max(0.0, self.values.get(item, 0.0) - 1.0) + backoff) / self.total + 1e-300)
+                known, backoff = max(0.0, self.values.get(item, 0.0) - 1.0), math.log(0.05) - 1.8 * len(item)
+                s = (math.log(known + math.exp(max(backoff, -700.0))) if known else backoff) - math.log(self.total)
             if len(self.memo) < 200_000:
                 self.memo[raw] = s
         return s

@@ -206,7 +206,7 @@ def parse_unit(text: str | None, expected: Dims | None = None) -> Unit | None:
         return None
     tokens, found, i = _tokens(text), None, 0
     while i < len(tokens):
-        if (len(tokens[i]) > 2 or len(tokens) <= 2 or tokens[i] in "°") and (hit := _unit(tokens, i, expected)) and (expected is None or hit[0].dims == expected):
+        if (len(tokens[i]) > 2 or len(tokens) <= 2 or expected is None or tokens[i] in "°") and (hit := _unit(tokens, i, expected)) and (expected is None or hit[0].dims == expected):
             found, i = hit
         else:
             i += 1

@@ -42,7 +42,8 @@ def write_json(payload: dict, path: str) -> None:
 
 
 def read_yaml_records(spark: SparkSession, folder: str, name: str = "output.yaml") -> DataFrame:
-    """(source_file, raw_json) of the YAML records below a folder; an empty file is {}."""
+    """(source_file, raw_json) of the YAML records below a folder; a file without content is {} (the
+    file reader leaves out files of no bytes)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(folder)
 
     @F.pandas_udf("string")
