@@ -208,11 +208,11 @@ def broken(line: str) -> str | None:
 
 def read_lines(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]:
     """Of body lines (unit, text): (unit, first part, second part) of broken words, and (unit, word) of the others."""
-    parts, words, skip = [], [], False
+    parts, words, rest = [], [], -1  # rest: the line that starts with the rest of a broken word
     for k, (unit, line) in enumerate(lines):
         tokens = line.split()
-        if skip and tokens:
-            tokens, skip = tokens[1:], False
+        if k == rest:
+            tokens = tokens[1:]
         left = broken(line) if tokens else None
         if left is not None:
             after = k + 1
@@ -222,9 +222,7 @@ def read_lines(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str, str]]
             right = follows[0].strip(AROUND).lower() if follows else ""
             if right and follows[0].lstrip(AROUND)[:1] == right[:1] and any(c.isalpha() for c in right) and right not in ("and", "or", "to"):
                 parts.append((unit, left, right))
-                tokens = tokens[:-1]
-                if after == k + 1:
-                    skip = True
+                tokens, rest = tokens[:-1], after
         for t in tokens:
             if (w := word_of(t)) is not None:
                 words.append((unit, w))

@@ -1,6 +1,6 @@
 """Pages of repeated keywords, link lists and product tags.
 
-A page is spam if less than half of its text stands in clauses and its repeated substrings hold a good part of it.
+A page is spam if less than three fifths of its text stand in clauses and its repeated substrings hold a good part of it.
 Clauses are sentences of some length with function words of English, German, French or Spanish. Repetition comes
 from the page's suffix automaton: the longest suffix of each prefix that occurs again, of MIN_REPEAT characters at
 least, covers its characters; letters count, so tables of values don't. Both conditions must hold, so the automaton
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_REPEAT, MIN_CLAUSES, MIN_COVERED = 12, 0.5, 0.35
+MIN_REPEAT, MIN_CLAUSES, MIN_COVERED = 12, 0.6, 0.35
 AUTOMATON = 300_000
 #: Function words.
 FUNCTION_WORDS = frozenset(
