@@ -62,19 +62,25 @@ def folded(word: str) -> str:
     return _FOLD_TWO.sub(lambda m: _FOLD_PAIRS[m.group(0)], word.lower()).translate(_FOLD).translate(_FOLD)
 
 
+_HAS_DIGIT = re.compile(r"\d")
+
+
+def _is_number(core: str) -> bool:
+    digits = len(_HAS_DIGIT.findall(core))
+    return digits > 2 or (digits > 0 and 2 * digits >= len(core))
+
+
 def skeleton(line: str, names: bool = False) -> str:
-    """A line with its numbers as # and its words folded; with `names`, capitalised words as @."""
+    """A line with its numbers as # and its words folded; with `names`, capitalised words as ~."""
     out = []
     for w in line.split():
-        core = w.strip(AROUND)
-        digits = sum(c.isdigit() for c in core)
-        if digits and 2 * digits >= len(core) or digits > 2:
+        if _HAS_DIGIT.search(w) and _is_number(w.strip(AROUND)):
             out.append("#")
-        elif names and core[:1].isupper() and (len(core) == 1 or not any(c.isupper() and c != "I" for c in core[1:])):
-            out.append("@")
-        else:
-            out.append(folded(w).strip("–-—"))
-    return " ".join(x for x in out if x)
+        elif names and (core := w.strip(AROUND))[:1].isupper() and (len(core) == 1 or not any(c.isupper() and c != "I" for c in core[1:])):
+            out.append("~")
+        elif w := w.strip("–-—"):
+            out.append(w)
+    return folded(" ".join(out))
 
 
 def _numbers(line: str) -> list[int]:
@@ -82,8 +88,7 @@ def _numbers(line: str) -> list[int]:
     out = []
     for w in line.split():
         core = w.strip(AROUND)
-        digits = sum(c.isdigit() for c in core)
-        if digits and 2 * digits >= len(core) or digits > 2:
+        if _is_number(core):
             out += [int(n) for n in re.findall(r"\d+", core.translate(DIGITS)) if len(n) <= 9]
     return out
 
@@ -112,7 +117,7 @@ def edges(lines: list[str]) -> tuple[list[int], set[int], dict[int, bool]]:
         found = {alone[0][0]}
     groups: dict[str, list[int]] = defaultdict(list)
     for i in real:
-        if i not in found and any(c.isdigit() for c in lines[i]):
+        if i not in found and _HAS_DIGIT.search(lines[i]):
             groups[skeleton(lines[i])].append(i)
     counted: dict[int, bool] = {}
     for key, at in groups.items():
