@@ -91,3 +91,43 @@ def merge_heads(attended: DataFrame, size: int) -> DataFrame:
     """(b, pos, vec): the heads side by side again."""
     rows = attended.groupBy("b", "qpos").agg(F.array_sort(F.collect_list(F.struct((F.col("h") * size + F.col("d")).alias("i"), "value"))).alias("x"))  # one vector
     return rows.select("b", F.col("qpos").alias("pos"), F.transform("x", lambda y: y["value"]).alias("vec"))
+
+
+def masked(links: DataFrame, valid: DataFrame) -> DataFrame:
+    """Links to keys that are no padding: valid (b, pos)."""
+    return links.join(valid.select("b", F.col("pos").alias("kpos")), ["b", "kpos"], "left_semi")
+
+
+def attend_blocked(links: DataFrame, values: DataFrame, size: int, block: int) -> DataFrame:
+    """attend() by blocks of keys: each block gives (m, l, acc), and blocks merge by rescaling to the greatest m."""
+    s = links.withColumn("s", dot(F.col("q"), F.col("k")) / math.sqrt(size)).withColumn("j", F.floor(F.col("kpos") / block)).select("b", "h", "qpos", "kpos", "j", "s")
+    v = values.select("b", "h", F.col("pos").alias("kpos"), F.posexplode("vec").alias("d", "x"))
+    part = s.groupBy("b", "h", "qpos", "j").agg(F.max("s").alias("m"))
+    e = s.join(part, ["b", "h", "qpos", "j"]).withColumn("e", F.exp(F.col("s") - F.col("m")))
+    state = e.join(v, ["b", "h", "kpos"]).groupBy("b", "h", "qpos", "d", "j", "m").agg(F.sum("e").alias("l"), F.sum(F.col("e") * F.col("x")).alias("acc"))
+    top = part.groupBy("b", "h", "qpos").agg(F.max("m").alias("top"))
+    scaled = state.join(top, ["b", "h", "qpos"]).withColumn("c", F.exp(F.col("m") - F.col("top")))
+    return scaled.groupBy("b", "h", "qpos", "d").agg((F.sum(F.col("c") * F.col("acc")) / F.sum(F.col("c") * F.col("l"))).alias("value"))
+
+
+def _vectors(attended: DataFrame) -> DataFrame:
+    rows = attended.groupBy("b", "h", "qpos").agg(F.array_sort(F.collect_list(F.struct("d", "value"))).alias("x"))  # one vector
+    return rows.select("b", "h", F.col("qpos").alias("pos"), F.transform("x", lambda y: y["value"]).alias("vec"))
+
+
+def co_attend(q: DataFrame, k: DataFrame, v: DataFrame, size: int) -> DataFrame:
+    """(b, h, qpos, d, value): attention over (k, v), then over its own result, added up."""
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.select("b", "h", F.col("pos").alias("qpos"), F.col("vec").alias("q")).join(right.select("b", "h", F.col("pos").alias("kpos"), F.col("vec").alias("k")), ["b", "h"])
+
+    own = attend(pairs(q, k), v, size)
+    summary = _vectors(own)
+    cross = attend(pairs(q, summary), summary, size)
+    return own.join(cross.withColumnRenamed("value", "c"), ["b", "h", "qpos", "d"]).select("b", "h", "qpos", "d", (F.col("value") + F.col("c")).alias("value"))
+
+
+def shifted(x: DataFrame, residual: DataFrame) -> DataFrame:
+    """Vectors with a residual added: residual (b, h, pos, vec)."""
+    r = residual.select("b", "h", "pos", F.col("vec").alias("_r"))
+    return x.join(r, ["b", "h", "pos"], "left").select("b", "h", "pos", F.when(F.col("_r").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "_r", lambda a, b: a + b)).alias("vec"))

@@ -93,3 +93,11 @@ def tei_sections(df: DataFrame, xml: str, *keep: str) -> DataFrame:
     cut = F.expr("regexp_extract_all(_x, '(?s)<div[^>]*>(.*?)</div>', 1)")
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.get(cut, F.col("ord") - 1), r"(?s)<head[^>]*>.*?</head>", ""), "<[^>]+>", " "), r"\s+", " "))
     return rows.select(*keep, "ord", F.get(heads, F.col("ord") - 1).alias("head"), plain.alias("text")).withColumn("section", classify_heading(F.col("head")))
+
+
+def table_text(headers: Column, rows: Column) -> Column:
+    """A table as text: headers, a rule of their width (20 at least), rows; null for a table without rows or cells."""
+    head = F.array_join(F.transform(headers, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | ")
+    lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | "))
+    empty = ~F.exists(F.concat(F.array(headers), rows), lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != ""))
+    return F.when((F.size(rows) > 0) & ~empty, F.array_join(F.concat(F.array(head, F.repeat(F.lit("-"), F.greatest(F.length(head), F.lit(20)))), lines), "\n"))

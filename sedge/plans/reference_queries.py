@@ -11,7 +11,7 @@ from sedge.functions.numbers import parse_float
 from sedge.functions.splits import split_name
 from sedge.operators import attention as att
 from sedge.operators import evaluation as ev
-from sedge.operators import grounding, ingest, models, profile, prompts, records, retrieval, sequences, targets, voting
+from sedge.operators import grounding, ingest, models, profile, prompts, records, retrieval, review, sequences, targets, voting
 from sedge.plans import sqltext as q
 from sedge.sources.tables import table
 
@@ -457,6 +457,28 @@ def attention_linear(spark: SparkSession, d: str) -> DataFrame:
     return att.attend_linear(_x(spark, d)).withColumn("value", F.round("value", 4))
 
 
+@query(_attention_sql("k.pos % 10 <> 9"))
+def attention_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth position is padding."""
+    x = _x(spark, d)
+    return _attended(att.masked(att.links_all(x), x.where("pos % 10 <> 9").select("b", "pos").distinct()), x)
+
+
+@query(_attention_sql("true"))
+def attention_blocked(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return att.attend_blocked(att.links_all(x), x, SIZE, 64).withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH x AS ({_X}), s AS (SELECT q.b, q.h, q.pos AS qpos, q.vec AS q, k.vec, list_dot_product(q.vec, k.vec) / 4.0 AS s FROM x q JOIN x k ON q.b = k.b AND q.h = k.h), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY b, h, qpos)) AS e FROM s),
+o AS (SELECT b, h, qpos, d::INT AS d, sum(e * vec[d + 1]) / sum(e) AS value FROM e, (SELECT unnest(range({SIZE})) AS d) GROUP BY ALL), y AS (SELECT b, h, qpos AS pos, list(value ORDER BY d) AS vec FROM o GROUP BY ALL),
+s2 AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, list_dot_product(q.vec, k.vec) / 4.0 AS s FROM x q JOIN y k ON q.b = k.b AND q.h = k.h), e2 AS (SELECT *, exp(s - max(s) OVER (PARTITION BY b, h, qpos)) AS e FROM s2),
+c AS (SELECT b, h, qpos, d::INT AS d, sum(e * vec[d + 1]) / sum(e) AS value FROM e2, (SELECT unnest(range({SIZE})) AS d) GROUP BY ALL) SELECT b, h, qpos, d, round(o.value + c.value, 4) AS value FROM o JOIN c USING (b, h, qpos, d)""")
+def attention_co(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return att.co_attend(x, x, x, SIZE).withColumn("value", F.round("value", 4))
+
+
 @query("SELECT label AS b, vec_id AS pos, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def heads_round_trip(spark: SparkSession, d: str) -> DataFrame:
     x = _x(spark, d).select("b", "h", F.col("pos").alias("qpos"), F.posexplode("vec").alias("d", "value"))
@@ -499,6 +521,24 @@ def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
 
 # --- documents ------------------------------------------------------------------------------------------------------
 
+_ROW = "array_to_string(list_transform({0}, lambda c: trim(coalesce(c, ''))), ' | ')"
+
+
+@query(f"""WITH t AS (SELECT paper_id, unnest(tables) AS t FROM parsed_papers) SELECT paper_id, t.table_index AS table_index, {_ROW.format('t.headers')} || chr(10) || repeat('-', greatest(length({_ROW.format('t.headers')}), 20)) || chr(10) || array_to_string(list_transform(t.rows, lambda r: {_ROW.format('r')}), chr(10)) AS rendered FROM t WHERE len(t.rows) > 0""")
+def table_text(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "parsed_papers").select("paper_id", F.explode("tables").alias("t"))
+    return t.select("paper_id", "t.table_index", ingest.table_text(F.col("t.headers"), F.col("t.rows")).alias("rendered")).where("rendered IS NOT NULL")
+
+
+_FIELDS = ("title", "material", "synthesis_method", "process_conditions.temperature", "process_conditions.duration", "substrate")
+_PRECURSOR = "list_transform(coalesce(precursors, []), lambda p: '  precursor: ' || coalesce(p.name, 'None') || ' | conc: ' || coalesce(p.concentration, 'None'))"
+
+
+@query(f"""SELECT record_id, array_to_string(list_concat(list_filter([{', '.join(f"'{f}: ' || {f}" for f in _FIELDS)}], lambda v: v IS NOT NULL), {_PRECURSOR}), chr(10)) AS record FROM extractions""")
+def record_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extractions").select("record_id", review.record_text({f: F.col(f) for f in _FIELDS}, F.col("precursors")).alias("record"))
+
+
 _HEADING = "regexp_matches(line, '^[A-Z0-9][^.]{2,60}$')"
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in ingest.HEADINGS) + " ELSE 'other' END"
 
@@ -558,12 +598,12 @@ def keep_largest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.largest_by_caption(f, "source", "caption", "size", "doc_id").select("source", "caption", "doc_id", "size", "figure_number")
 
 
-@query("""SELECT record_id, is_perovskite_synthesis, title, material, process_conditions.temperature AS temperature, len(list_filter(coalesce(precursors, []), lambda x: coalesce(x.name, x.concentration) IS NOT NULL)) AS n_precursors FROM extractions""")
+@query("""SELECT record_id, CAST(is_perovskite_synthesis AS VARCHAR) AS is_perovskite_synthesis, title, material, process_conditions.temperature AS temperature, len(list_filter(coalesce(precursors, []), lambda x: coalesce(x.name, x.concentration) IS NOT NULL)) AS n_precursors FROM extractions""")
 def normalised_records(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "extractions")
     raw = F.to_json(F.struct(*(F.col(c) for c in ("title", "doi", "is_perovskite_synthesis", "material", "precursors", "synthesis_method", "process_conditions", "substrate", "characterization", "device_performance", "key_findings")), F.lit(1).alias("unknown_key")))
     n = t.select("record_id", records.normalise(raw, F.col("source_file")).alias("r"))
-    return n.select("record_id", "r.is_perovskite_synthesis", "r.title", "r.material", F.col("r.process_conditions.temperature").alias("temperature"), F.size("r.precursors").cast("bigint").alias("n_precursors"))
+    return n.select("record_id", F.col("r.is_perovskite_synthesis").cast("string").alias("is_perovskite_synthesis"), "r.title", "r.material", F.col("r.process_conditions.temperature").alias("temperature"), F.size("r.precursors").cast("bigint").alias("n_precursors"))
 
 
 # --- models ---------------------------------------------------------------------------------------------------------

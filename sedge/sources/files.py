@@ -110,3 +110,28 @@ def call_service(df: DataFrame, column: str, client: Callable[[str], str | None]
             yield pd.Series(answers, dtype="string")
 
     return df.withColumn(out, ask(F.col(column)))
+
+
+def by_family(registry: DataFrame, family: str) -> DataFrame:
+    return registry.where(F.col("family") == family).orderBy("name")
+
+
+def parameter_totals(parameters: DataFrame) -> DataFrame:
+    """(total, trainable, percent) of (name, n, trainable)."""
+    t = F.sum(F.when(F.col("trainable"), F.col("n")).otherwise(0))
+    return parameters.agg(F.sum("n").alias("total"), t.alias("trainable"), F.try_divide(100.0 * t, F.sum("n")).alias("percent"))
+
+
+def numeric_log(values: dict) -> list[tuple[str, float]]:
+    """The numbers of a flat mapping, as a long table for a tracker; other values are left out."""
+    return sorted((k, float(v)) for k, v in values.items() if isinstance(v, int | float) and not isinstance(v, bool))
+
+
+def commit_id(folder: str = ".") -> str | None:
+    """The checked-out commit of a folder, null where there is none."""
+    import subprocess
+
+    try:
+        return subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, check=True, timeout=30).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        return None
