@@ -142,7 +142,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     items = items.withColumn("piece", F.explode(pieces)).withColumn("start", (F.col("piece") * capacity).cast("bigint"))
     items = items.withColumn("size", F.least(F.col("n") - F.col("start"), F.lit(capacity))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(n_shards)).cast("int"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         full = pdf["size"] == capacity
         rest = pdf[~full]
         found = pack(list(zip(zip(rest["doc_id"], rest["piece"]), rest["size"], rest["source"], rest["cluster"])), capacity)
