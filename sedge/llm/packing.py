@@ -4,16 +4,18 @@ Texts are counted in tokens of a public tokenizer. A text longer than a containe
 a rest; no other text is cut. Items are dealt by hash into shards of about SHARD items, and each shard is packed
 by best fit, the largest first: bins are kept by residual space, a successor search goes from the tightest residual
 that holds the item upwards until a bin is found that has no item of the same duplicate cluster and none of the
-same source. Where every bin that fits has the source already, the tightest bin without the cluster is taken, so a
-source with a third of all texts costs no space.
+same source. Where every bin that fits has the source already, the tightest bin without the cluster is taken, and
+where every one has the cluster, a bin is opened while the shard has fewer than SPARE more bins than its tokens need;
+beyond that the tightest bin is taken. So neither a source nor copies of a text with a third of all rows cost space.
 
 Cases: null and missing texts and texts without tokens are items of no tokens and go where they fit; copies of a
-text never share a container; ties go to the oldest bin; other columns aren't used; an empty table gives no rows.
+text share a container only where keeping them apart would leave more than SPARE of the space unused; ties go to the oldest bin; other columns aren't used; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 SHARD = 20_000
+SPARE = 0.01
 #: Fixed value: how texts are cut before byte pairs are merged.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -71,11 +74,16 @@ def sizes(documents: DataFrame, tokenizer: str) -> DataFrame:
     return d.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n bigint")
 
 
+def enough(total: int, capacity: int) -> int:
+    """Bins for so many tokens, with SPARE more."""
+    return math.ceil(total / capacity * (1 + SPARE)) + 1
+
+
 class Bins:
     """Open containers by residual space. `mask` has a bit for each residual that some bin has."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.mask, self.count = capacity, 0, 0
+    def __init__(self, capacity: int, enough: int):
+        self.capacity, self.enough, self.mask, self.count = capacity, enough, 0, 0
         self.by_residual: dict[int, list[list]] = defaultdict(list)
 
     def _place(self, b: list) -> None:
@@ -93,7 +101,7 @@ class Bins:
 
     def add(self, size: int, source: int, cluster: int) -> int:
         """The bin of an item: source and cluster are bits. Opens a bin where none is compatible."""
-        rest, least, second = self.mask >> size, size, None
+        rest, least, second, third = self.mask >> size, size, None, None
         while rest:
             step = (rest & -rest).bit_length() - 1
             least += step
@@ -105,11 +113,16 @@ class Bins:
                         return self._take(b, size)
                     if second is None:
                         second = b
+                elif third is None:
+                    third = b
             rest >>= step + 1
             least += 1
         if second is not None:
             second[3] |= cluster
             return self._take(second, size)
+        if third is not None and self.count >= self.enough:
+            third[2] |= source
+            return self._take(third, size)
         b = [self.count, self.capacity - size, source, cluster]
         self.count += 1
         self._place(b)
@@ -124,7 +137,8 @@ def pack(items: list[tuple[int, int, str, int]], capacity: int) -> list[int]:
     for _, _, _, c in items:
         members[c] += 1
     bits: dict[int, int] = {}
-    bins, out = Bins(capacity), [0] * len(items)
+    total = sum(n for _, n, _, _ in items)
+    bins, out = Bins(capacity, enough(total, capacity)), [0] * len(items)
     for i in order:
         _, size, source, cluster = items[i]
         s = 1 << sources.setdefault(source, len(sources))
