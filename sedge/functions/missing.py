@@ -17,10 +17,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+_TOKEN = "(?:" + "|".join(t for t in MISSING_TOKENS if t) + ")?+"
+#: One pass without backtracking over a token, or a ;/| list of tokens.
+_MISSING = rf"(?iU)\A\s*+{_TOKEN}\s*+(?:[;|]\s*+{_TOKEN}\s*+)*+\z"
+
+
 def is_missing(c: Column) -> Column:
     """True for null, a missing token, or a ;/| list whose items are all missing."""
-    part = F.forall(F.split(c, "[;|]"), lambda v: F.lower(strip(v)).isin(*MISSING_TOKENS))
-    return F.coalesce(F.lower(strip(c)).isin(*MISSING_TOKENS) | part, F.lit(True))
+    return F.coalesce(c.rlike(_MISSING), F.lit(True))
 
 
 def meaningful(c: Column) -> Column:
