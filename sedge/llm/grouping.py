@@ -60,21 +60,32 @@ def components(edges: DataFrame) -> DataFrame:
     return known if known is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
 
 
-def linked(df: DataFrame, id_column: str, doi: Column, batch: Column) -> DataFrame:
-    """(id, written, node, group): rows with their key (DOI first, else batch) and the root of its component.
+def _keyed(df: DataFrame, id_column: str, doi: str, batch: str) -> DataFrame:
+    """(id, written, d, k): rows with their nodes, "d:" + DOI and "k:" + batch key, null where missing."""
+    written, key = F.col(f"`{doi}`"), F.col(f"`{batch}`")
+    return df.select(F.col(id_column).alias("_id"), written.alias("_written"), F.concat(F.lit("d:"), bare_doi(written)).alias("_d"), F.concat(F.lit("k:"), batch_key(key)).alias("_k"))
 
-    Nodes are "d:" + DOI and "k:" + batch key, so the root of a group with a DOI is its least DOI.
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds _group to rows with a _node: the root of its component, or the node itself if it is linked to none."""
+    return nodes.join(roots.select(F.col("node").alias("_n"), "root"), F.col("_node") == F.col("_n"), "left").withColumn("_group", F.coalesce("root", "_node")).drop("_n", "root")
+
+
+def linked(rows: DataFrame, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """_keyed() rows with _group, the root of their component, and (node, root) of all linked nodes.
+
+    The root is the least node, so that of a group with a DOI is its least DOI. `earlier` (node, component) links too.
     """
-    rows = df.select(F.col(id_column).alias("_id"), doi.alias("_written"), F.concat(F.lit("d:"), bare_doi(doi)).alias("_d"), F.concat(F.lit("k:"), batch_key(batch)).alias("_k"))
-    roots = components(rows.select(F.col("_d").alias("a"), F.col("_k").alias("b")))
-    roots = roots.select(F.col("node").alias("_n"), "root")
-    rows = rows.withColumn("_node", F.coalesce("_d", "_k"))
-    return rows.join(roots, F.col("_node") == F.col("_n"), "left").select("_id", "_written", "_node", F.coalesce("root", "_node").alias("_group"))
+    edges = rows.select(F.col("_d").alias("a"), F.col("_k").alias("b"))
+    if earlier is not None:
+        edges = edges.unionByName(earlier.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    roots = components(edges)
+    return _rooted(rows.withColumn("_node", F.coalesce("_d", "_k")), roots).drop("_node"), roots
 
 
 def chained_rows(df: DataFrame, id_column: str, doi: str, batch: str) -> DataFrame:
     """p6: all rows of the groups that hold more than one written DOI, with the least bare DOI of the group."""
-    rows = linked(df, id_column, F.col(f"`{doi}`"), F.col(f"`{batch}`")).where("_group IS NOT NULL")
+    rows = linked(_keyed(df, id_column, doi, batch))[0].where("_group IS NOT NULL")
     written = F.when(~is_missing(F.col("_written")), F.col("_written"))
     several = rows.groupBy("_group").agg(F.min(written).alias("lo"), F.max(written).alias("hi")).where("lo <> hi").select("_group")
     return rows.join(several, "_group").select(F.col("_id").cast("bigint").alias(id_column), F.substring("_group", 3, 1 << 30).alias("group_doi"))
@@ -91,16 +102,21 @@ def fill(sizes: list[tuple[str, int]], have: dict[str, int], ratios: dict[str, f
 
 
 def assign_splits(df: DataFrame, id_column: str, doi: str, batch: str, train: float = 0.8, validation: float = 0.1, seed: int = 17, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with their split, and the table (node, split) to start the next run from.
+    """Rows with their split, and the table (node, component, split) to start the next run from.
 
-    `existing` is that table of an earlier run. A component with nodes of two splits is quarantined: its rows get
-    the split "quarantine" until someone decides, and its nodes keep the splits they had.
+    `existing` is that table of an earlier run, whose rows needn't be given again: it holds every DOI and batch key
+    seen so far, and its components link as rows do. A component with nodes of two splits is quarantined: its rows
+    get the split "quarantine" until someone decides, and its nodes keep the splits they had.
     """
     check_ratios(train, validation)
     ratios = {"train": train, "validation": validation, "test": 1 - train - validation}
-    rows = cut(linked(df, id_column, F.col(f"`{doi}`"), F.col(f"`{batch}`")).withColumn("_group", F.coalesce("_group", F.concat(F.lit("r:"), F.col("_id").cast("string")))))
+    rows, roots = linked(_keyed(df, id_column, doi, batch), existing)
+    rows = cut(rows.withColumn("_group", F.coalesce("_group", F.concat(F.lit("r:"), F.col("_id").cast("string")))))
     groups = rows.groupBy("_group").agg(F.count("*").alias("n"))
-    nodes = rows.select("_node", "_group").where("_node IS NOT NULL").distinct()
+    nodes = rows.select(F.explode(F.array("_d", "_k")).alias("_node"))
+    if existing is not None:
+        nodes = nodes.union(existing.select("node"))
+    nodes = cut(_rooted(nodes.where("_node IS NOT NULL").distinct(), roots))
     if existing is not None:
         old = existing.select(F.col("node").alias("_node"), F.col("split").alias("_old"))
         kept = nodes.join(old, "_node").groupBy("_group").agg(F.min("_old").alias("lo"), F.max("_old").alias("hi")).select("_group", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("quarantine").alias("kept"))
@@ -123,7 +139,6 @@ def assign_splits(df: DataFrame, id_column: str, doi: str, batch: str, train: fl
     by_size = F.try_element_at(F.create_map(*pairs), F.col("_group")) if pairs else F.lit(None).cast("string")
     splits = groups.select("_group", F.coalesce("kept", by_size, spread).alias("split"))
     out = rows.join(splits, "_group").select(F.col("_id").alias(id_column), F.col("_group").alias("group_id"), "split")
-    table = nodes.join(splits, "_group").select(F.col("_node").alias("node"), F.col("_group").alias("component"), "split")
-    if existing is not None:
-        table = table.join(existing.select("node", F.col("split").alias("_old")), "node", "full").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("_old", "split").alias("split"))
-    return out, table
+    table = nodes.join(splits, "_group", "left")
+    table = table.join(old, "_node", "left") if existing is not None else table.withColumn("_old", F.lit(None).cast("string"))
+    return out, table.select(F.col("_node").alias("node"), F.col("_group").alias("component"), F.coalesce("_old", "split").alias("split"))

@@ -49,6 +49,15 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
 
 
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, the second on the other half of the rows and the table of the first."""
+    t = table(spark, d, "devices")
+    first, known = assign_splits(t.where("row_id % 2 = 0"), "row_id", "Ref_DOI_number", "split_key")
+    second, _ = assign_splits(t.where("row_id % 2 <> 0"), "row_id", "Ref_DOI_number", "split_key", existing=known)
+    rows = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+    return rows.groupBy("run", "split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(table(spark, d, "documents"))
 
@@ -69,7 +78,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p6_runs": p6_runs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 _BARE = f"lower({q.stripped('Ref_DOI_number')})"
 _BARE = f"CASE WHEN contains({_BARE}, '%') THEN url_decode({_BARE}) ELSE {_BARE} END"
 _FOUND = f"regexp_replace(regexp_extract({_BARE}, '(10\\.[0-9]{{2,9}}/\\S+)', 1), '[.,;:)\\]]+$', '')"

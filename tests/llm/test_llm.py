@@ -229,6 +229,40 @@ def test_splits_keep_groups_and_history(spark):
     assert grouping.assign_splits(df.limit(0), "row_id", "doi", "batch")[0].count() == 0
 
 
+def test_second_run_on_new_rows_only(spark):
+    schema, n = "row_id bigint, doi string, batch string", 120
+    run1 = spark.createDataFrame([(i, f"10.0000/m{i}", f"k{i}") for i in range(n)], schema)
+    rows, table = grouping.assign_splits(run1, "row_id", "doi", "batch")
+    table = table.localCheckpoint()
+    want = {r["row_id"]: r["split"] for r in rows.collect()}
+    assert {r["node"] for r in table.collect()} == {x for i in range(n) for x in (f"d:10.0000/m{i}", f"k:k{i}")}
+    assert len(set(want.values())) > 1
+    # run 2 meets run 1 by batch key alone; x<i> sorts after and a<i> before the earlier DOI
+    run2 = spark.createDataFrame([(1000 + i, f"10.0000/{'xa'[i % 2]}{i}" if i % 3 else None, f"K{i} ") for i in range(n)], schema)
+    rows, table2 = grouping.assign_splits(run2, "row_id", "doi", "batch", existing=table)
+    table2 = table2.localCheckpoint()
+    assert {r["row_id"] - 1000: r["split"] for r in rows.collect()} == want
+    # run 3 meets run 1 through a DOI of run 2
+    run3 = spark.createDataFrame([(2000 + i, f"10.0000/{'xa'[i % 2]}{i}", None) for i in range(n) if i % 3], schema)
+    rows, table3 = grouping.assign_splits(run3, "row_id", "doi", "batch", existing=table2)
+    assert {r["row_id"] - 2000: r["split"] for r in rows.collect()} == {i: s for i, s in want.items() if i % 3}
+    seen = {r["node"]: r for r in table3.collect()}
+    assert table3.count() == len(seen) and all(r["split"] is not None for r in seen.values())
+    assert all(len({seen[x]["component"] for x in (f"k:k{i}", f"d:10.0000/m{i}", f"d:10.0000/{'xa'[i % 2]}{i}") if x in seen}) == 1 for i in range(n))
+
+
+def test_links_of_earlier_runs_quarantine(spark):
+    schema = "row_id bigint, doi string, batch string"
+    known = spark.createDataFrame([("d:10.0000/a", "d:10.0000/a", "train"), ("d:10.0000/b", "d:10.0000/b", "test"), ("d:10.0000/c", "d:10.0000/c", "test")], "node string, component string, split string")
+    both = spark.createDataFrame([(1, "10.0000/a", "k"), (2, "10.0000/b", "k")], schema)
+    rows, table = grouping.assign_splits(both, "row_id", "doi", "batch", existing=known)
+    assert {r["split"] for r in rows.collect()} == {"quarantine"}
+    table = table.localCheckpoint()
+    assert {r["node"]: r["split"] for r in table.collect()} == {"d:10.0000/a": "train", "d:10.0000/b": "test", "d:10.0000/c": "test", "k:k": "quarantine"}
+    later, _ = grouping.assign_splits(spark.createDataFrame([(3, "10.0000/b", None), (4, None, "K"), (5, "10.0000/c", None)], schema), "row_id", "doi", "batch", existing=table)
+    assert {r["row_id"]: r["split"] for r in later.collect()} == {3: "quarantine", 4: "quarantine", 5: "test"}
+
+
 # --- p8
 
 
