@@ -18,6 +18,12 @@ def split_heads(df: DataFrame, batch: str, position: str, vector: str, heads: in
     return df.select(F.col(batch).alias("b"), F.col(position).alias("pos"), F.explode(slices).alias("x")).select("b", "x.h", "pos", "x.vec")
 
 
+def length(x: DataFrame) -> int:
+    """The number of positions: the greatest and one; 1 for no rows."""
+    top = x.agg(F.max("pos")).first()[0]
+    return 1 if top is None else int(top) + 1
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -448,7 +448,7 @@ _RANDOM = " OR ".join(f"k.pos = (q.pos * {att.RANDOM_A} + {o} * {att.RANDOM_B})
 @query(_attention_sql(f"abs(k.pos - q.pos) <= 25 OR k.pos < 20 OR q.pos < 20 OR {_RANDOM}"))
 def attention_sparse(spark: SparkSession, d: str) -> DataFrame:
     x = _x(spark, d)
-    return _attended(att.links_sparse(x, 25, 20, 8, 500), x)
+    return _attended(att.links_sparse(x, 25, 20, 8, att.length(x)), x)
 
 
 @query(f"""WITH x AS ({_X}), f AS (SELECT b, h, pos, vec, list_transform(vec, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE exp(v) END) AS f FROM x), s AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, list_dot_product(q.f, k.f) AS w FROM f q JOIN f k ON q.b = k.b AND q.h = k.h)

@@ -145,6 +145,24 @@ def _dense(q, mask=None):
     return (w / w.sum(1, keepdims=True)) @ q
 
 
+def test_sparse_query_takes_its_length_from_the_table(spark, tmp_path):
+    from sedge.plans import reference_queries as rq
+
+    n, rng = 700, np.random.default_rng(8)
+    e = rng.normal(size=(n, rq.HEADS * rq.SIZE)).astype("float32")
+    spark.createDataFrame([(i, 0, [float(v) for v in e[i]]) for i in range(n)], "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = np.zeros((rq.HEADS, n, rq.SIZE))
+    for r in rq.attention_sparse(spark, str(tmp_path)).collect():
+        got[r["h"], r["qpos"], r["d"]] = r["value"]
+    i = np.arange(n)
+    mask = (abs(i[:, None] - i[None]) <= 25) | (i[None] < 20) | (i[:, None] < 20)
+    for o in range(1, 9):
+        mask |= i[None] == ((i[:, None] * attention.RANDOM_A + o * attention.RANDOM_B) % n)
+    for h in range(rq.HEADS):
+        np.testing.assert_allclose(got[h], _dense(e[:, h * rq.SIZE : (h + 1) * rq.SIZE].astype("float64"), mask), atol=1e-4)
+    assert attention.length(spark.createDataFrame([], "pos bigint")) == 1
+
+
 def test_attention_against_dense(spark):
     rng = np.random.default_rng(7)
     q = rng.normal(size=(12, 4))
