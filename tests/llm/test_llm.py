@@ -180,6 +180,30 @@ def test_overlap(spark):
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_that_lack_selective_lines_are_found(spark):
+    rng, n = random.Random(4), 20
+    usual = [*overlap.ANCHORS, *(f"line {i:02d}" for i in range(2, n))]
+    rows = []
+    for i in range(60):
+        whole = {p: rng.randrange(4 + 60 * (p < 12)) for p in range(n)}
+        copy = {p: whole[p] for p in sorted(rng.sample(range(n), rng.randrange(6, 15)))}
+        for p in rng.sample(list(copy), rng.randrange(4)):
+            copy[p] = 1000 + p
+        few = {p: v for p, v in whole.items() if p > rng.randrange(12)}
+        rows += [(f"t{i}", list(x), list(x.values()), True, False) for x in [whole if i % 2 else few]] + [(f"e{i}", list(copy), list(copy.values()), False, True)]
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[3] and b[4]:
+                la, lb = dict(zip(a[1], a[2])), dict(zip(b[1], b[2]))
+                common = la.keys() & lb.keys()
+                other = sum(la[p] != lb[p] for p in common)
+                if other <= 2 and 2 * len(common) >= min(len(la), len(lb)) and len(common) - other >= 4:
+                    want.add((a[0], b[0]))
+    df = spark.createDataFrame(rows, "recipe string, at array<int>, hashes array<bigint>, train boolean, eval boolean")
+    assert len(want) > 20 and {tuple(r) for r in overlap.same_recipes(df, usual).collect()} == want
+
+
 # --- p6
 
 
