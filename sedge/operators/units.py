@@ -247,7 +247,7 @@ def parse_quantity(text: str | None, expected: Dims) -> Quantity | None:
         if u and u[0].dims == expected:
             found.append((value, u[0]))
             j = u[1]
-        elif u is None or len(tokens[j]) <= 1 or True:
+        else:
             found.append((value, None))
         i = last_end = j
     if not found:
@@ -282,7 +282,10 @@ def convert(text: str | None, hint: str | None, default: str | None, expected: D
 
 
 def to_common(value: Column, hint: Column, default: Column, expected: Dims, common: Unit, step: Fraction) -> Column:
-    """convert() as a column (bigint). Each distinct triple of a task is parsed once."""
+    """convert() as a column (bigint). Each distinct triple of a task is parsed once.
+
+    The function counts as nondeterministic, so that a filter on its result isn't pushed below it and run again.
+    """
 
     @F.pandas_udf("bigint")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -297,7 +300,7 @@ def to_common(value: Column, hint: Column, default: Column, expected: Dims, comm
                 out.append(memo[key])
             yield pd.Series(out, dtype="Int64")
 
-    return run(value, hint, default)
+    return run.asNondeterministic()(value, hint, default)
 
 
 def common_quantities(devices: DataFrame, extractions: DataFrame, source_units: DataFrame) -> DataFrame:
