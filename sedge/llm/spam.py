@@ -1,11 +1,12 @@
 """Pages of repeated keywords, link lists and product tags.
 
-A page is spam if less than three fifths of its text stand in clauses and its repeated substrings hold a good part of it.
-Clauses are sentences of some length with function words of English, German, French or Spanish. Repetition comes
-from the page's suffix automaton: the longest suffix of each prefix that occurs again, of MIN_REPEAT characters at
-least, covers its characters; letters count, so tables of values don't. Both conditions must hold, so the automaton
-is built where clauses are missing. For a page longer than AUTOMATON the union of those substrings is taken as the
-union of its repeated windows of MIN_REPEAT characters, which is the same set, in bounded memory.
+A page is spam if repeated substrings hold most of its letters and less than half of its text stands in clauses.
+Repetition comes from the page's suffix automaton: the longest suffix of each prefix that occurs again, of MIN_REPEAT
+characters at least, covers its characters; letters count, so tables of values don't. A clause is told by its
+structure in any language: a stretch that ends in a sentence mark, of MIN_WORDS words or more, of which few repeat.
+Both conditions must hold, so the automaton is built where clauses are missing. For a page longer than AUTOMATON the
+union of those substrings is taken as the union of its repeated windows of MIN_REPEAT characters, which is the same
+set: windows are told apart exactly, by doubling their names, in memory proportional to the page.
 
 Cases: null, empty and missing texts aren't spam; texts of any length are read whole; text without letters isn't
 spam; repeated pages come out each; other columns aren't used.
@@ -21,20 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_REPEAT, MIN_CLAUSES, MIN_COVERED = 12, 0.6, 0.35
+MIN_REPEAT, MIN_CLAUSES, MIN_COVERED = 12, 0.5, 0.4
+#: A clause has so many words, and this share of them are different.
+MIN_WORDS, MIN_DIFFERENT = 8, 0.75
 AUTOMATON = 300_000
-#: Function words.
-FUNCTION_WORDS = frozenset(
-    """the a an of and or to in on at by for with from into onto over under above below near than that this these those which who
-    whose what when where while if because since so as although though unless until but not no nor neither either both its it their
-    our we they he she is are was were be been being has have had do does did can could may might will would shall should must after
-    before during between within without through per about against more less most each every once only any all some such there then
-    der die das den dem des ein eine einen einem einer und oder im mit von vom zu zur zum bei nach trotz über unter auf für aus durch
-    ist sind war waren wird werden hat haben unsere unser diese dieser dieses jede jeder nicht sowie als dass le la les un une du de et
-    ou à au aux en dans sur sous par pour avec sans malgré après est sont était ont cette cet ces notre nos chaque que qui ne pas plus
-    el los las una unos del al y o con para sin sobre tras pese es son fue esta este estas estos nuestra nuestro cada se su sus como más""".split()
-)
-_SEGMENT = re.compile(r"[^.!?\n|;]+(?:\.(?=\d)[^.!?\n|;]+)*")
+#: Up to a sentence mark before a blank, a blank line or the end of the text.
+_SEGMENT = re.compile(r"[^.!?。！？\n]+(?:(?:[.!?](?=\S)|\n(?![ \t]*\n))[^.!?。！？\n]*)*([.!?。！？]?)")
 _WORD = re.compile(r"[^\W\d_]+")
 _BLANKS, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 
@@ -44,13 +37,10 @@ def clause_share(text: str) -> float:
     good = total = 0
     for m in _SEGMENT.finditer(text):
         size = len(m.group().strip())
-        if not size:
-            continue
         total += size
-        words = _WORD.findall(m.group().lower())
-        if len(words) >= 5:
-            kinds = len(FUNCTION_WORDS.intersection(words))
-            if kinds >= 2 and kinds + 1 >= 0.12 * len(words):
+        if m.group(1):
+            words = _WORD.findall(m.group().lower())
+            if len(words) >= MIN_WORDS and len(set(words)) >= MIN_DIFFERENT * len(words):
                 good += size
     return good / total if total else 1.0
 
@@ -101,20 +91,27 @@ class SuffixAutomaton:
         return np.cumsum(edges)[:n] > 0
 
 
+def _names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same for the same pairs."""
+    return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+
+
 def repeated_windows(text: str, least: int) -> np.ndarray:
-    """SuffixAutomaton(text).repeated(least) by hashes of all windows of `least` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    """SuffixAutomaton(text).repeated(least) from all windows of `least` characters; names of windows double in length."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
     n = len(codes) - least + 1
     covered = np.zeros(len(codes) + 1, np.int64)
     if n > 0:
-        h = np.zeros(n, np.uint64)
-        for j in range(least):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : n + j] + np.uint64(1)
-        h ^= h >> np.uint64(32)
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        at = np.flatnonzero(count[back] > 1)
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + least, -1)
+        power, size, names, done = np.unique(codes, return_inverse=True)[1], 1, None, 0
+        while done < least:
+            if least & size:
+                names = power[:n] if names is None else _names(names, power[done : done + n])
+                done += size
+            if done < least:
+                power, size = _names(power[:-size], power[size:]), 2 * size
+        at = np.flatnonzero(np.bincount(names)[names] > 1)
+        covered[at] += 1
+        covered[at + least] -= 1
     return np.cumsum(covered)[:-1] > 0
 
 

@@ -409,6 +409,23 @@ def test_automaton_covers_what_repeats(text, least):
     assert spam.repeated_windows(text, least).tolist() == want.tolist()
 
 
+def test_windows_equal_the_automaton_on_long_texts():
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abc ") for _ in range(rng.randint(5, 60))) for _ in range(40)]
+    for n in (30, 600):
+        text = "".join(rng.choice(parts) if rng.random() < 0.3 else "".join(rng.choice("abcdefgh é字") for _ in range(20)) for _ in range(n))
+        for least in (1, 5, 12, 13):
+            assert spam.repeated_windows(text, least).tolist() == spam.SuffixAutomaton(text).repeated(least).tolist()
+
+
+def test_clauses_are_told_in_any_language():
+    polish = "Warstwy perowskitu nanoszono przez wirowanie w atmosferze azotu i wygrzewano przez dziesięć minut. Po starzeniu wydajność ogniw spadła o kilka procent, ponieważ jony wędrowały do elektrody."
+    finnish = "Näytteet valmistettiin typessä ja lämmitettiin hitaasti, jotta kiteet ehtivät kasvaa tasaisiksi koko pinnalla. Mittaukset toistettiin seuraavana\npäivänä samoilla laitteilla, eikä tuloksissa havaittu merkittävää eroa aiempaan."
+    assert all(spam.clause_share(t) > 0.9 for t in (polish, finnish)) and not spam.is_spam("\n\n".join([polish] * 3))
+    shop = " ".join(f"Tani jodek ołowiu {w} jodek ołowiu. Jodek ołowiu, {w}, jodek ołowiu." for w in ("promocja", "sklep", "hurt", "nowy", "wysyłka", "raty", "tanio", "okazja"))
+    assert spam.clause_share(shop) == 0 and spam.is_spam(shop) and spam.is_spam(polish + "\n\n" + shop * 2)
+
+
 CLAUSES = ["We attribute the porous layer to a contact near the surface, as reported before.", "Films of the absorber were made by gas quenching from toluene and held at 90 degrees for an hour.", "The diffusion length rose from 2 to 9 nm when the film was annealed in the glove box."]
 
 
