@@ -3,12 +3,16 @@
 Expectation-maximisation learns from the whole column how often each value and each kind of delimiter occurs;
 a Viterbi lattice over the delimiters outside quotes then picks the likeliest split of each cell. Quoted spans
 are atomic. A cell has one kind of delimiter (`|` and `;` may mix); a delimiter character of that kind may still
-belong to a value where the column knows the value ("SiO2|SiN mesh").
+belong to a value where the column knows the value ("SiO2|SiN mesh"), whatever the number of delimiters in it.
+
+A value that occurs in one distinct cell only scores as an unknown one does, so the model is the values beyond
+that. Up to `most_sent` of them go to the tasks; more are joined to the cells that may hold them, with the same
+result.
 
 Cases: null and missing cells give no rows; an empty cell gives none; empty or missing items keep their position
 but are not listed; an unclosed quote is plain text; equal-likelihood splits go to the kind listed first and then
 to fewer positions; repeated cells split alike; other columns of the input are ignored; cells of any length are
-split whole (time grows linearly with the number of delimiters, as a value spans at most MAX_INSIDE of them).
+split whole (time grows with the number of delimiters and of known values that start at each).
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +33,19 @@ from sedge.sources.tables import cut
 #: Kinds of delimiter; the last is a run of blanks.
 KINDS = ("|", ";", "|;", ",", "/", "→", ">", "\t", "\n", " ")
 PRIOR = {k: 1.0 for k in KINDS} | {" ": 0.05, "\n": 0.2, "|;": 0.3, "": 1.0}
-MAX_INSIDE = 3
-#: The model keeps so many values a field (the most frequent); any other value is scored by its length.
-MODEL_VALUES = 50_000
+#: Known values that tasks receive; beyond, they are joined to the cells.
+MOST_SENT = 200_000
 _OPEN = {'"': '"', "“": "”"}
 _CHARS = frozenset("".join(KINDS))
+_MARK, _BLANKS = re.compile(r"[|;,/→>\t\n]"), re.compile(" +")
+#: Cells with neither a delimiter nor a quote nor a blank: one value.
+_PLAIN = r"(?U)^[^\s|;,/→>\"“”]+$"
 
 
 def atoms(cell: str) -> list[tuple[int, int]]:
     """Spans [start, end) of quoted values: quotes that open a value and close it."""
+    if not any(q in cell for q in _OPEN):
+        return []
     out, i, n = [], 0, len(cell)
     while i < n:
         c = cell[i]
@@ -71,38 +79,69 @@ def unquote(item: str) -> str:
 
 def lattice(cell: str) -> dict[str, list[tuple[int, int]]]:
     """For each kind of delimiter that occurs outside quotes, the spans of its delimiters."""
-    quoted, marks = atoms(cell), []
-    k = 0
-    for i, c in enumerate(cell):
-        while k < len(quoted) and quoted[k][1] <= i:
-            k += 1
-        if k < len(quoted) and quoted[k][0] <= i:
-            continue
-        if c in _CHARS:
-            marks.append((i, c))
-    seen, out = {c for _, c in marks}, {}
-    for kind in KINDS:
-        if kind == " ":
-            text = cell
-            spans = [(m.start(), m.end()) for m in re.finditer(" +", text) if not any(a < m.end() and m.start() < b for a, b in quoted)]
-            spans = [s for s in spans if s[0] > len(cell) - len(cell.lstrip()) - 1 and s[0] > 0 and s[1] < len(cell.rstrip()) + 0]
-        elif set(kind) <= seen:
-            spans = [(i, i + 1) for i, c in marks if c in kind]
-        else:
-            continue
-        if spans:
-            out[kind] = spans
+    quoted = atoms(cell)
+
+    def outside(m: re.Match) -> bool:
+        return not any(a < m.end() and m.start() < b for a, b in quoted)
+
+    marks: dict[str, list[tuple[int, int]]] = {}
+    for m in _MARK.finditer(cell):
+        if not quoted or outside(m):
+            c = m.group()
+            if c in marks:
+                marks[c].append(m.span())
+            else:
+                marks[c] = [m.span()]
+    out = {k: marks[k] for k in KINDS if k in marks}
+    if "|" in marks and ";" in marks:
+        out["|;"] = sorted(marks["|"] + marks[";"])
+    if " " in cell:
+        first, last = len(cell) - len(cell.lstrip()), len(cell.rstrip())
+        if spans := [m.span() for m in _BLANKS.finditer(cell) if m.start() >= max(1, first) and m.end() < last and (not quoted or outside(m))]:
+            out[" "] = spans
+    return out
+
+
+def _cut(cell: str, spans: list[tuple[int, int]]) -> list[str]:
+    at, out = 0, []
+    for a, b in spans:
+        out.append(cell[at:a])
+        at = b
+    out.append(cell[at:])
     return out
 
 
 class Model:
     """Value and delimiter frequencies of one field."""
 
-    def __init__(self, values: dict[str, float], kinds: dict[str, float]):
-        self.values, self.total = values, sum(values.values()) + 1.0
+    def __init__(self, values: dict[str, float], kinds: dict[str, float], total: float | None = None):
+        self.values, self.total = values, (sum(values.values()) if total is None else total) + 1.0
         weight = sum(kinds.values()) + 1.0
         self.kinds = {k: math.log((kinds.get(k, 0.0) + 0.02 * PRIOR[k]) / weight) for k in (*KINDS, "")}
         self.memo: dict[str, float] = {}
+        self.longer: dict[str, dict[str, set[int]]] = {}
+        self._index(values)
+
+    def _index(self, values: dict[str, float]) -> None:
+        """For each kind, the numbers of delimiters inside known values by the piece that they start with."""
+        for item, w in values.items():
+            if w > 1.0 and _MARK.search(item):
+                for kind in KINDS[:-1]:
+                    n = sum(map(item.count, kind))
+                    if n and all(c in item for c in kind):
+                        start = min(item.index(c) for c in kind)
+                        self.longer.setdefault(kind, {}).setdefault(item[:start].strip(), set()).add(n)
+
+    def learn(self, values: dict[str, float]) -> None:
+        """More known values, of the total that is already counted."""
+        new = {k: w for k, w in values.items() if k not in self.values}
+        self.values |= new
+        for k in new:
+            self.memo.pop(k, None)
+        self._index(new)
+
+    def known(self, raw: str) -> bool:
+        return self.values.get(unquote(raw), 0.0) > 1.0
 
     def score(self, raw: str) -> float:
         """Log probability of one value; one occurrence is left out, as the cell itself may have brought it."""
@@ -112,126 +151,224 @@ class Model:
             if item.lower() in MISSING_TOKENS:
                 s = math.log(0.02)
             else:
-                known, backoff = max(0.0, self.values.get(item, 0.0) - 1.0), math.log(0.05) - 1.8 * len(item)
-                s = (math.log(known + math.exp(max(backoff, -700.0))) if known else backoff) - math.log(self.total)
+                # a value drawn from the known ones, or spelt out by characters; neither chance depends on the column's size
+                known, spelt = max(0.0, self.values.get(item, 0.0) - 1.0) / self.total, math.log(0.05) - 1.8 * len(item)
+                s = math.log(known + math.exp(max(spelt, -700.0))) if known else spelt
             if len(self.memo) < 200_000:
                 self.memo[raw] = s
         return s
 
-    def best(self, cell: str, kind: str, spans: list[tuple[int, int]]) -> tuple[float, list[str]]:
-        """Viterbi over the delimiters of one kind: the likeliest values and their log probability."""
-        if kind == " ":  # a blank never belongs to a value of a blank-separated list
-            cuts = [cell[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(cell)])]
-            return sum(map(self.score, cuts)), cuts
-        starts, ends = [0, *(e for _, e in spans)], [*(s for s, _ in spans), len(cell)]
-        top, back = [0.0] + [-math.inf] * len(starts), [0] * (len(starts) + 1)
-        for j in range(1, len(starts) + 1):
-            for i in range(j - 1, max(-1, j - 2 - MAX_INSIDE), -1):
-                s = top[i] + self.score(cell[starts[i] : ends[j - 1]]) - 4.0 * (j - 1 - i)
-                if s > top[j]:
+    def best(self, cell: str, kind: str, spans: list[tuple[int, int]], least: float = -math.inf) -> tuple[float, list[str]]:
+        """Viterbi over the delimiters of one kind: the likeliest values and their log probability.
+
+        A value with delimiters inside is an edge of the lattice where the column knows it. Scores only fall along a
+        path, so one path that falls below `least` is given up (-inf).
+        """
+        cuts = _cut(cell, spans)
+        longer = self.longer.get(kind)
+        starts = {i: ns for i, c in enumerate(cuts[:-1]) if (ns := longer.get(c.strip()))} if longer else {}
+        if not starts:  # one path only
+            total, memo = 0.0, self.memo
+            for c in cuts:
+                total += s if (s := memo.get(c)) is not None else self.score(c)
+                if total < least:
+                    return -math.inf, cuts
+            return total, cuts
+        begin, end = [0, *(e for _, e in spans)], [*(s for s, _ in spans), len(cell)]
+        n = len(cuts)
+        top, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        for i in range(n):
+            if (s := top[i] + self.score(cuts[i])) > top[i + 1]:
+                top[i + 1], back[i + 1] = s, i
+            for inside in starts.get(i, ()):
+                j = i + inside + 1
+                if j <= n and self.known(raw := cell[begin[i] : end[j - 1]]) and (s := top[i] + self.score(raw) - 4.0 * inside) > top[j]:
                     top[j], back[j] = s, i
-        cuts, j = [], len(starts)
+        out, j = [], n
         while j:
-            cuts.append(cell[starts[back[j]] : ends[j - 1]])
+            out.append(cell[begin[back[j]] : end[j - 1]])
             j = back[j]
-        return top[-1], cuts[::-1]
+        return top[-1], out[::-1]
 
-    def splits(self, cell: str) -> list[tuple[float, str, list[str]]]:
-        """(log probability, kind, values) of every kind that fits, the kind "" being no list."""
-        out = [(self.kinds[""] + self.score(cell), "", [cell])]
+    def splits(self, cell: str, within: float = 20.0) -> list[tuple[float, str, list[str]]]:
+        """(log probability, kind, values) of every kind that fits, "" being no list, if at most `within` below the best."""
+        top = self.kinds[""] + self.score(cell)
+        out = [(top, "", [cell])]
         for kind, spans in lattice(cell).items():
-            s, cuts = self.best(cell, kind, spans)
-            out.append((s + self.kinds[kind], kind, cuts))
+            s, cuts = self.best(cell, kind, spans, top - within - self.kinds[kind])
+            s += self.kinds[kind]
+            if s >= top - within:
+                out.append((s, kind, cuts))
+                top = max(top, s)
         return out
 
     def split(self, cell: str) -> list[str]:
-        return max(self.splits(cell), key=lambda x: (x[0], -len(x[2])))[2]
-
-
-def _start() -> Model:
-    return Model({}, {k: 1.0 for k in (*KINDS, "")})
-
-
-def _expected(batches: Iterator[pa.RecordBatch], models: dict[str, Model] | None) -> Iterator[pa.RecordBatch]:
-    """E-step: expected counts of values (kind = 'v') and delimiter kinds ('k'), summed within the task's batches."""
-    own = models or {}
-    for batch in batches:
-        sums: dict[tuple[str, str, str], float] = defaultdict(float)
-        for field, cell in zip(*(batch.column(i).to_pylist() for i in range(2))):
-            if models is None:
-                first = own.setdefault(field, _start())
-                # before anything is known: kinds by prior, the more of its delimiters a cell has the likelier
-                found = lattice(cell)
-                weights = [(PRIOR[""] * 0.3, "", [cell])] + [(PRIOR[k] * (1 + len(s)), k, first.best(cell, k, s)[1] if k == " " else _cut(cell, s)) for k, s in found.items()]
-            else:
-                scored = own[field].splits(cell)
-                m = max(s for s, _, _ in scored)
-                weights = [(math.exp(s - m), k, c) for s, k, c in scored if s > m - 20]
-            total = sum(w for w, _, _ in weights)
-            for w, kind, cuts in weights:
-                w = w / total
-                if w < 1e-6:
-                    continue
-                sums[field, "k", kind] += w
-                for c in cuts:
-                    item = unquote(c)
-                    if item.lower() not in MISSING_TOKENS:
-                        sums[field, "v", item] += w
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([sums[k] for k in keys], pa.float64())], names=["field_name", "what", "item", "w"])
-
-
-def _cut(cell: str, spans: list[tuple[int, int]]) -> list[str]:
-    return [cell[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(cell)])]
-
-
-def learn(df: DataFrame, fields: list[str], rounds: int = 3) -> dict[str, Model]:
-    """EM over every distinct cell of the fields; a value counts once for each distinct cell that holds it.
-
-    Only the model comes to the driver: at most MODEL_VALUES values and len(KINDS) + 1 kinds a field.
-    """
+        return max(self.splits(cell, 0.0), key=lambda x: (x[0], -len(x[2])))[2]
+
+    def items(self, cell: str | None) -> tuple[list[int], list[str]]:
+        """Positions and values of a cell that holds several, none of any other."""
+        cuts = [] if is_missing_text(cell) else self.split(cell)
+        if len(cuts) < 2:
+            return [], []
+        found = [(p, u) for p, c in enumerate(cuts, 1) if (u := unquote(c)).lower() not in MISSING_TOKENS]
+        return [p for p, _ in found], [u for _, u in found]
+
+
+def _expected(cells: Iterator[tuple[str, str, Model | None]]) -> dict[tuple[str, str, str], float]:
+    """E-step: expected counts of values (what = 'v') and delimiter kinds ('k') over (field, cell, model)."""
+    sums: dict[tuple[str, str, str], float] = defaultdict(float)
+    for field, cell, model in cells:
+        if model is None:
+            # before anything is known: kinds by prior, the more of its delimiters a cell has the likelier
+            weights = [(PRIOR[""] * 0.3, "", [cell])] + [(PRIOR[k] * (1 + len(s)), k, _cut(cell, s)) for k, s in lattice(cell).items()]
+        else:
+            scored = model.splits(cell)
+            m = max(s for s, _, _ in scored)
+            weights = [(math.exp(s - m), k, c) for s, k, c in scored if s > m - 20]
+        total = sum(w for w, _, _ in weights)
+        for w, kind, cuts in weights:
+            w = w / total
+            if w < 1e-6:
+                continue
+            sums[field, "k", kind] += w
+            for c in cuts:
+                item = unquote(c)
+                if item.lower() not in MISSING_TOKENS:
+                    sums[field, "v", item] += w
+    return sums
+
+
+_SUMS = "field_name string, what string, item string, w double"
+_KNOWN = "array<struct<item:string,w:double>>"
+
+
+def _sums_batch(sums: dict[tuple[str, str, str], float]) -> pa.RecordBatch:
+    keys = list(sums)
+    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([sums[k] for k in keys], pa.float64())], names=["field_name", "what", "item", "w"])
+
+
+class Learned:
+    """What a round has learned: kinds and totals by field, and the known values as rows or, where few, in memory."""
+
+    def __init__(self, sums: DataFrame, fields: list[str], most_sent: int):
+        self.known = sums.where((F.col("what") == "v") & (F.col("w") > 1.0)).select("field_name", "item", "w")
+        small = sums.groupBy("field_name", F.when(F.col("what") == "k", F.col("item")).alias("kind")).agg(F.sum("w").alias("w"), F.count_if(F.col("w") > 1.0).alias("n")).collect()  # at most a row a field and kind
+        self.kinds = {f: {r["kind"]: r["w"] for r in small if r["field_name"] == f and r["kind"] is not None} for f in fields}
+        self.totals = {f: sum(r["w"] for r in small if r["field_name"] == f and r["kind"] is None) for f in fields}
+        self.sent: dict[str, dict[str, float]] | None = None
+        if sum(r["n"] for r in small if r["kind"] is None) <= most_sent:
+            self.sent = {f: {} for f in fields}
+            for r in self.known.collect():
+                self.sent[r["field_name"]][r["item"]] = r["w"]
+
+    def tables(self) -> dict[str, tuple]:
+        return {f: (self.sent[f] if self.sent else {}, self.kinds[f], self.totals[f]) for f in self.kinds}
+
+    def with_known(self, cells: DataFrame) -> DataFrame:
+        """Cells with the known values that they may hold: every run of pieces with as many delimiters as some known
+        value of the field has."""
+        inside = {(r["field_name"], k): r[str(i)] for r in self.known.groupBy("field_name").agg(*(F.max(sum((F.length("item") - F.length(F.replace("item", F.lit(c), F.lit(""))) for c in k), F.lit(0))).alias(str(i)) for i, k in enumerate(KINDS))).collect() for i, k in enumerate(KINDS)}
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for field, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = {unquote(cell)}
+                    for kind, spans in lattice(cell).items():
+                        begin, end = [0, *(e for _, e in spans)], [*(s for s, _ in spans), len(cell)]
+                        deep = 0 if kind == " " else inside.get((field, kind)) or 0
+                        found |= {unquote(cell[begin[i] : end[j]]) for i in range(len(begin)) for j in range(i, min(len(end), i + 1 + deep))}
+                    rows += [(field, cell, x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["field_name", "cell", "item"])
+
+        met = cells.mapInArrow(pieces, "field_name string, cell string, item string").join(self.known, ["field_name", "item"])
+        lists = met.groupBy("field_name", "cell").agg(F.collect_list(F.struct("item", "w")).alias("known"))  # pieces of one cell
+        return cells.join(lists, ["field_name", "cell"], "left").select("field_name", "cell", F.coalesce("known", F.array().cast(_KNOWN)).alias("known"))
+
+
+def _models(tables: dict[str, tuple]) -> dict[str, Model]:
+    return {f: Model(dict(values), kinds, total) for f, (values, kinds, total) in tables.items()}
+
+
+def _rows(batch: pa.RecordBatch, tables: dict[str, tuple] | None, models: dict[str, Model]) -> Iterator[tuple[str, str, Model | None]]:
+    """(field, cell, model) of a batch; with a column of known values each cell has a model of its own."""
+    fields, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    if batch.num_columns == 2:
+        yield from ((f, c, models.get(f)) for f, c in zip(fields, cells))
+        return
+    for f, c, known in zip(fields, cells, batch.column(2).to_pylist()):
+        yield f, c, Model({x["item"]: x["w"] for x in known}, tables[f][1], tables[f][2])
+
+
+def learn(df: DataFrame, fields: list[str], rounds: int = 3, most_sent: int = MOST_SENT) -> Learned | None:
+    """EM over every distinct cell of the fields; a value counts once for each distinct cell that holds it."""
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("cell")) for f in fields))).alias("x")).select("x.*")
     cells = cut(cells.where("cell IS NOT NULL AND length(trim(cell)) > 0").distinct())
-    models: dict[str, Model] | None = None
+    # a cell without delimiters has one reading, the same in each round
+    plain = F.col("cell").rlike(_PLAIN)
+    alone = cells.where(plain)
+    fixed = alone.where(~F.lower("cell").isin(*MISSING_TOKENS)).select("field_name", F.lit("v").alias("what"), F.col("cell").alias("item"), F.lit(1.0).alias("w"))
+    fixed = fixed.union(alone.groupBy("field_name").agg(F.count("*").cast("double").alias("w")).select("field_name", F.lit("k"), F.lit(""), "w"))
+    several = cells.where(~plain)
+    learned: Learned | None = None
     for _ in range(rounds):
-        known = models
-        sums = cut(cells.mapInArrow(lambda it, known=known: _expected(it, known), "field_name string, what string, item string, w double").groupBy("field_name", "what", "item").agg(F.sum("w").alias("w")))
-        parts = [sums.where((F.col("field_name") == f) & ((F.col("what") == "k") | (F.col("w") >= 0.05))).orderBy(F.col("what"), F.desc("w"), "item").limit(MODEL_VALUES) for f in fields]
-        rows = reduce(DataFrame.unionByName, parts).collect()
-        models = {f: Model({r["item"]: r["w"] for r in rows if r["field_name"] == f and r["what"] == "v"}, {r["item"]: r["w"] for r in rows if r["field_name"] == f and r["what"] == "k"}) for f in fields}
-    return models or {f: _start() for f in fields}
+        source, sent = several, None
+        if learned is not None:
+            source = several if learned.sent is not None else learned.with_known(several)
+            sent = df.sparkSession.sparkContext.broadcast(learned.tables())
 
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tables = sent.value if sent else None
+            models = _models(tables) if tables else {}
+            for batch in batches:
+                yield _sums_batch(_expected(_rows(batch, tables, models)))
 
-def split_packed(df: DataFrame, id_column: str, fields: list[str], rounds: int = 3) -> DataFrame:
+        sums = cut(source.mapInArrow(run, _SUMS).union(fixed).groupBy("field_name", "what", "item").agg(F.sum("w").alias("w")))
+        learned = Learned(sums, fields, most_sent)
+    return learned
+
+
+def split_packed(df: DataFrame, id_column: str, fields: list[str], rounds: int = 3, most_sent: int = MOST_SENT) -> DataFrame:
     """p7: (id, field_name, pos, item) of every cell with two or more positions; pos counts from 1."""
-    models = learn(df, fields, rounds)
-    tables = {f: (m.values, m.kinds) for f, m in models.items()}
+    learned = learn(df, fields, rounds, most_sent)
+    rows = df.select(F.col(id_column).cast("bigint").alias(id_column), *(F.col(f"`{f}`").cast("string").alias(f) for f in fields))
+    sent = df.sparkSession.sparkContext.broadcast(learned.tables())
+    schema = f"`{id_column}` bigint, field_name string, pos bigint, item string"
+    if learned.sent is None:
+        return _split_joined(rows, id_column, fields, learned, sent).select(id_column, "field_name", "pos", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {}
-        for f, (values, kinds) in tables.items():
-            own[f] = m = Model(values, {})
-            m.kinds = kinds
-        memo: dict[tuple[str, str], list[tuple[int, str]]] = {}
+        models = _models(sent.value)
+        memo: dict[str, dict[str, tuple]] = {f: {} for f in fields}
         for batch in batches:
-            ids, names, pos, items = [], [], [], []
-            keys = batch.column(0).to_pylist()
             for k, f in enumerate(fields, 1):
-                for key, cell in zip(keys, batch.column(k).to_pylist()):
-                    if is_missing_text(cell):
-                        continue
-                    got = memo.get((f, cell))
-                    if got is None:
-                        cuts = own[f].split(cell)
-                        got = [(p, u) for p, c in enumerate(cuts, 1) if (u := unquote(c)).lower() not in MISSING_TOKENS] if len(cuts) > 1 else []
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[f, cell] = got
-                    for p, u in got:
-                        ids.append(key)
-                        names.append(f)
-                        pos.append(p)
-                        items.append(u)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(pos, pa.int64()), pa.array(items, pa.string())], names=[id_column, "field_name", "pos", "item"])
-
-    return df.select(F.col(id_column).cast("bigint"), *(F.col(f"`{f}`").cast("string") for f in fields)).mapInArrow(run, f"`{id_column}` bigint, field_name string, pos bigint, item string")
+                own, model = memo[f], models[f]
+                coded = batch.column(k).dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                if len(own) + len(words) > 100_000:
+                    own.clear()
+                for w in words:
+                    if w not in own:
+                        own[w] = model.items(w)
+                # each distinct cell of the batch is converted once, its rows take it
+                pos = pa.array([own[w][0] for w in words], pa.list_(pa.int64())).take(coded.indices)
+                items = pa.array([own[w][1] for w in words], pa.list_(pa.string())).take(coded.indices)
+                ids = batch.column(0).take(pc.list_parent_indices(pos))
+                yield pa.RecordBatch.from_arrays([ids, pa.repeat(pa.scalar(f), len(ids)), pc.list_flatten(pos), pc.list_flatten(items)], names=[id_column, "field_name", "pos", "item"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _split_joined(rows: DataFrame, id_column: str, fields: list[str], learned: Learned, sent) -> DataFrame:
+    """Distinct cells are split with the known values joined to them, and rows meet the splits of their cells."""
+    each = rows.select(F.col(id_column), F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("cell")) for f in fields))).alias("x")).select(id_column, "x.field_name", "x.cell").where("cell IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(f, c, *m.items(c)) for f, c, m in _rows(batch, sent.value, {})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["field_name", "cell", "pos", "items"])
+
+    cells = each.select("field_name", "cell").distinct().where(~F.col("cell").rlike(_PLAIN))
+    split = learned.with_known(cells).mapInArrow(run, "field_name string, cell string, pos array<bigint>, items array<string>").where(F.size("pos") > 0)
+    met = each.join(split, ["field_name", "cell"]).select(id_column, "field_name", F.explode(F.arrays_zip("pos", "items")).alias("x"))
+    return met.select(id_column, "field_name", F.col("x.pos").alias("pos"), F.col("x.items").alias("item"))

@@ -1,6 +1,6 @@
 import pytest
 
-from sedge.operators.packed import atoms, split_packed, unquote
+from sedge.operators.packed import Model, atoms, split_packed, unquote
 
 CELLS = {
     1: "SLG | ITO | TiO2-c | Perovskite | Au", 2: "SLG|ITO|TiO2-c|Perovskite|Au", 3: "SLG, ITO, TiO2-c, Perovskite, Au", 4: "SLG;ITO; TiO2-c |Perovskite|Au", 5: 'SLG,ITO,"LiF, 1 nm",Perovskite,Au', 6: "SLG | ITO | LiF, 1 nm | Perovskite | Au",
@@ -42,3 +42,37 @@ def test_empty_table_and_long_cell(spark):
     assert split_packed(spark.createDataFrame([], schema), "row_id", ["stack"]).count() == 0
     long = " | ".join(["Au", "ITO"] * 5000)
     assert split_packed(spark.createDataFrame([(1, long), (2, "Au | ITO")], schema), "row_id", ["stack"]).where("row_id = 1").count() == 10000
+
+
+def _split(spark, cells, **more):
+    df = spark.createDataFrame(list(enumerate(cells)), "row_id bigint, stack string")
+    out = {}
+    for r in split_packed(df, "row_id", ["stack"], **more).collect():
+        out.setdefault(r["row_id"], []).append((r["pos"], r["item"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_a_known_value_may_hold_any_number_of_delimiters(spark):
+    name = "2,2',7,7'-tetrakis, N,N-di, spiro"
+    lists = [f"{a} | {b} | {c}" for a in ("SLG", "PET", "PEN") for b in ("ITO", "FTO", name) for c in ("Au", "Ag", "Al", "Cu")]
+    got = {k - len(lists): v for k, v in _split(spark, [*lists, f"SLG, {name}, Au", "SLG, ITO, Ag"]).items()}
+    assert got[0] == [(1, "SLG"), (2, name), (3, "Au")] and got[1] == [(1, "SLG"), (2, "ITO"), (3, "Ag")]
+
+
+def test_values_that_are_joined_split_as_those_that_are_sent(spark):
+    cells = list(CELLS.values()) + [f"0,{i}; 0,{99 - i}" for i in range(10, 40)] + ["SLG | SiO2|SiN mesh | Au", '"SiO2|SiN mesh"', 'ITO;"SiO2|SiN mesh"', "SiO2|SiN mesh|Au"]
+    sent, joined = _split(spark, cells), _split(spark, cells, most_sent=0)
+    assert sent == joined and sent[len(CELLS)] == [(1, "0,10"), (2, "0,89")]
+
+
+def test_the_size_of_the_column_does_not_decide(spark):
+    cells = [f"x{i}; y{i}" for i in range(30)]
+    want = {k: [(1, f"x{k}"), (2, f"y{k}")] for k in range(30)}
+    assert _split(spark, cells) == want
+    more = _split(spark, cells + [f"u{i}; v{i}" for i in range(3000)])
+    assert {k: more[k] for k in range(30)} == want
+
+
+def test_a_path_below_the_best_is_given_up():
+    m = Model({"a": 50.0, "b": 50.0}, {";": 90.0, "": 10.0})
+    assert m.split("a; b") == ["a", " b"] and m.items("a;;b") == ([1, 3], ["a", "b"]) and m.items(None) == ([], [])
