@@ -48,8 +48,11 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best indel ratio of the shorter text with a window of its length (or less, at the ends) in the longer."""
+def partial_ratio(a: str, b: str, known: dict[str, float] | None = None) -> float:
+    """The best indel ratio of the shorter text with a window of its length (or less, at the ends) in the longer.
+
+    `known` keeps the ratios of windows, for calls with the same short text and overlapping long ones.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -57,29 +60,37 @@ def partial_ratio(a: str, b: str) -> float:
     if a in b:
         return 100.0
     n, letters = len(a), set(a)
+    known = {} if known is None else known
     best = 0.0
     for k in range(-n + 1, len(b)):
         window = b[max(0, k) : k + n]
         if window and (window[-1] in letters or window[0] in letters):
-            best = max(best, indel_ratio(a, window))
+            if (r := known.get(window)) is None:
+                r = known[window] = indel_ratio(a, window)
+            best = max(best, r)
     return best
 
 
+def stretches(n: int, length: int) -> list[tuple[int, int]]:
+    """Where a source of n characters may stand in a text: stretches a fifth longer than it, a fifth of it apart."""
+    fifth = n // 5
+    return [(at, min(at + n + fifth, length)) for at in range(0, max(1, length - n + 1), max(1, fifth))]
+
+
 def find_span(source: str | None, text: str | None, least: float = SPAN_SCORE) -> tuple[int, int] | None:
-    """Where a source stands in the folded, lower-case text: exactly, else the first best window of 1.2 its length."""
-    if not source or text is None or len(source.strip()) < MIN_SOURCE:
+    """The span of a source in the folded, lower-case text: where it stands exactly, else the earliest of the
+    stretches that are most like it, if that is like enough. A source under MIN_SOURCE characters has none."""
+    raw = (source or "").strip()
+    if text is None or len(raw) < MIN_SOURCE:
         return None
-    s, t = plain(source.strip()).lower(), plain(text).lower()
-    at = t.find(s)
-    if at >= 0:
-        return at, at + len(s)
-    n, best, span = len(s), 0.0, None
-    for start in range(0, max(1, len(t) - n + 1), max(1, n // 5)):
-        end = min(start + n + n // 5, len(t))
-        score = partial_ratio(s, t[start:end])
-        if score > best:
-            best, span = score, (start, end)
-    return span if best >= least else None
+    needle, hay = plain(raw).lower(), plain(text).lower()
+    before, met, _ = hay.partition(needle)
+    if met:
+        return len(before), len(before) + len(needle)
+    places, known = stretches(len(needle), len(hay)), {}
+    likeness = [partial_ratio(needle, hay[x:y], known) for x, y in places]
+    top = max(likeness)
+    return places[likeness.index(top)] if top > 0 and top >= least else None
 
 
 def ground(df: DataFrame, source: str, text: str) -> DataFrame:

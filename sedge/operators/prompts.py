@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sedge.functions.missing import meaningful
 from sedge.operators.profile import leaks
 
+#: The task and the titles of a prompt's parts.
 HEADER = "Task: Predict perovskite solar-cell JV performance."
+CORE, SECONDARY, RARE, OTHER = "Core device recipe:", "Secondary process and measurement details:", "Activated rare or special features:", "Other activated features:"
 #: The columns of a recipe, and the sections of a hierarchical prompt by column prefix.
 PRIMARY_COLUMNS = (
     "Cell_architecture", "Cell_stack_sequence", "Cell_area_measured", "Cell_flexible", "Cell_semitransparent", "Perovskite_composition_short_form", "Perovskite_composition_long_form", "Perovskite_composition_a_ions", "Perovskite_composition_a_ions_coefficients",
@@ -52,11 +54,11 @@ def _said(*lines: str) -> Column:
 
 
 def core_prompt(df: DataFrame) -> Column:
-    return _text(_said(HEADER, "", "Core device recipe:"), field_lines([c for c in PRIMARY_COLUMNS if c in df.columns]))
+    return _text(_said(HEADER, "", CORE), field_lines([c for c in PRIMARY_COLUMNS if c in df.columns]))
 
 
 def core_secondary_prompt(df: DataFrame) -> Column:
-    return _text(F.array(core_prompt(df)), _said("", "Secondary process and measurement details:"), field_lines([c for c in SECONDARY_COLUMNS if c in df.columns]))
+    return _text(F.array(core_prompt(df)), _said("", SECONDARY), field_lines([c for c in SECONDARY_COLUMNS if c in df.columns]))
 
 
 def with_rare_features(df: DataFrame, id_column: str, features: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def with_rare_features(df: DataFrame, id_column: str, features: DataFrame) -> Da
 
 def core_rare_prompt(df: DataFrame) -> Column:
     """Needs `features` (with_rare_features)."""
-    more = F.when(F.size("features") > 0, F.concat(_said("", "Activated rare or special features:"), feature_lines(F.col("features")))).otherwise(F.array().cast("array<string>"))
+    more = F.when(F.size("features") > 0, F.concat(_said("", RARE), feature_lines(F.col("features")))).otherwise(F.array().cast("array<string>"))
     return _text(F.array(core_prompt(df)), more)
 
 
@@ -83,7 +85,7 @@ def hierarchical_prompt(df: DataFrame) -> Column:
         lines = F.array_compact(F.array(*(F.when(F.lit(c in PRIMARY_COLUMNS or c in SECONDARY_COLUMNS) | F.array_contains(names, c), F.concat(F.lit(f"- {label(c)}: "), meaningful(F.col(f"`{c}`").cast("string")))) for c in columns)))
         parts.append(F.when(F.size(lines) > 0, F.concat(_said("", f"{title}:"), lines)).otherwise(F.array().cast("array<string>")))
     left = F.filter("features", lambda x: ~x["column_name"].isin(placed)) if placed else F.col("features")
-    parts.append(F.when(F.size(left) > 0, F.concat(_said("", "Other activated features:"), feature_lines(left))).otherwise(F.array().cast("array<string>")))
+    parts.append(F.when(F.size(left) > 0, F.concat(_said("", OTHER), feature_lines(left))).otherwise(F.array().cast("array<string>")))
     return _text(*parts)
 
 

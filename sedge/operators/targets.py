@@ -14,6 +14,15 @@ BIN_EDGES = {"pce": (0.0, 5.0, 10.0, 15.0, 20.0, 25.0), "voc": (0.0, 0.6, 0.8, 1
 LIMITS = {"pce": (0.0, 35.0), "voc": (0.0, 2.0), "jsc": (0.0, 35.0), "ff": (0.0, 1.0)}
 PROCESS_COLUMNS = ("Perovskite_deposition_procedure", "Perovskite_deposition_solvents", "Perovskite_deposition_thermal_annealing_temperature", "Perovskite_deposition_thermal_annealing_time", "ETL_stack_sequence", "HTL_stack_sequence", "Backcontact_stack_sequence")
 FIELDS = tuple(TARGET_COLUMNS)
+#: The sentences of a justification.
+SENTENCES = {
+    "architecture": "The device architecture is {}.",
+    "composition": "The absorber composition is recorded as {}.",
+    "stack": "The layer stack provides device context for transport and contact layers.",
+    "procedure": "The perovskite deposition procedure is {}.",
+    "annealing": "Annealing conditions are present in the input recipe.",
+    "error": "The predicted metrics have a PCE consistency error of {} from Voc*Jsc*FF.",
+}
 
 
 def with_targets(df: DataFrame, drop_missing: bool = False) -> DataFrame:
@@ -77,16 +86,15 @@ def justification(error: Column) -> Column:
     def given(c: str) -> Column:
         return F.nullif(strip(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
 
+    def say(name: str, value: Column) -> Column:
+        """The sentence with the value in it, null where there is none."""
+        head, _, tail = SENTENCES[name].partition("{}")
+        return F.concat(F.lit(head), value, F.lit(tail)) if "{}" in SENTENCES[name] else F.when(value.isNotNull(), SENTENCES[name])
+
     composition = F.coalesce(given("Perovskite_composition_long_form"), given("Perovskite_composition_short_form"))
     annealed = F.coalesce(given("Perovskite_deposition_thermal_annealing_temperature"), given("Perovskite_deposition_thermal_annealing_time"))
-    said = F.array(
-        F.concat(F.lit("The device architecture is "), given("Cell_architecture"), F.lit(".")),
-        F.concat(F.lit("The absorber composition is recorded as "), composition, F.lit(".")),
-        F.when(given("Cell_stack_sequence").isNotNull(), "The layer stack provides device context for transport and contact layers."),
-        F.concat(F.lit("The perovskite deposition procedure is "), given("Perovskite_deposition_procedure"), F.lit(".")),
-        F.when(annealed.isNotNull(), "Annealing conditions are present in the input recipe."),
-        F.concat(F.lit("The predicted metrics have a PCE consistency error of "), three_digits(error), F.lit(" from Voc*Jsc*FF.")),
-    )
+    about = {"architecture": given("Cell_architecture"), "composition": composition, "stack": given("Cell_stack_sequence"), "procedure": given("Perovskite_deposition_procedure"), "annealing": annealed, "error": three_digits(error)}
+    said = F.array(*(say(name, value) for name, value in about.items()))
     return F.slice(F.array_compact(said), 1, 5)
 
 

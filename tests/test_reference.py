@@ -199,7 +199,7 @@ def test_sequences(spark):
     with pytest.raises(ValueError):
         sequences.completion_only(F.col("p"), F.col("a"), F.col("w"), 1)
     text = json.dumps({"prediction": {"pce": 12.5, "voc": 1}})
-    (a, b), = sequences.field_spans(text, "pce")
+    (_, a, b), = sequences.field_spans(text, "pce")
     assert text[a:b] == '"pce": 12.5'
     assert sequences.token_weights(text, [(0, 2), (a + 1, a + 3), (3, 3)], 1.0, {"prediction.pce": 4.0}) == [1.0, 4.0, 1.0]
     p = sequences.padded(spark.createDataFrame([(1, [1, 2]), (1, [3]), (2, [4])], "b int, ids array<int>"), "b", "ids", 0)
