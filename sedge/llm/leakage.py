@@ -1,15 +1,17 @@
 """Evaluation passages inside training text, by winnowing.
 
 Words (lower case, letters and digits) are hashed; of every WINDOW consecutive hashes of K words the least is kept,
-so two texts that share K + WINDOW - 1 words in a row share a fingerprint. Fingerprints of the documents are joined
-with those of the passages, and pairs with enough hits are extended: the longest common subsequence of the passage
-and the stretch of text around the hits must hold half of the passage's words, and runs of K - 1 shared words must
-cover a good part of it, which short shared phrases don't.
+so two texts that share RUN = K + WINDOW - 1 words in a row share a fingerprint. Fingerprints of the documents are
+joined with those of the passages, and pairs with hits are extended: the longest common subsequence of the passage
+and the stretch of text around the hits must hold SHARE of the passage's words, and runs of RUN shared words must
+cover RUNS of it, which short shared phrases don't. Each such run is found from a fingerprint in it, so no pair that
+fulfils both conditions is lost.
 
-Passages up to MAX_SENT fingerprints go to the tasks that read the documents; the number is counted first. More
-passages are joined by shuffle instead, with the same result.
+Passages up to MAX_SENT words go to the tasks that read the documents; the number is counted first. More passages
+are joined by shuffle instead, with the same result: of each passage the fingerprints that most documents have are
+left out of the join, as many as a pair can do without.
 
-Cases: null and empty texts match nothing; passages shorter than K words match nothing; a document of any length
+Cases: null and empty texts match nothing; passages shorter than RUN words match nothing; a document of any length
 is read whole; repeated documents and passages come out each; text in several columns of the same name isn't used,
 only the named columns are.
 """
@@ -21,16 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WINDOW = 5, 4
+K, WINDOW = 3, 2
+#: Shared words in a row that always leave a common fingerprint.
+RUN = K + WINDOW - 1
 #: Share of the passage's words that the stretch must hold in order, and that runs of shared words must cover.
 SHARE, RUNS = 0.5, 0.35
 #: Words that a stretch may be longer than its passage (an inserted sentence).
 SLACK = 40
-#: Hits a pair needs before it is extended, at least, and as a share of the passage's fingerprints.
-MIN_HITS, HIT_SHARE = 3, 0.1
+#: Words of passages that tasks receive; beyond, fingerprints are joined by shuffle.
 MAX_SENT = 1_000_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 2_000_000
@@ -88,7 +91,7 @@ def fingerprints(words: np.ndarray, rows: np.ndarray, k: int = K, window: int =
     inside = rows[:n] == rows[k - 1 :]
     grams[~inside] = _TOP
     best, pos = grams.copy(), np.arange(n)
-    for j in range(1, window):
+    for j in range(1, min(window, n)):
         later = grams[j:]
         take = (later <= best[: n - j]) & inside[j:] & (rows[j:n] == rows[: n - j])
         best[: n - j][take] = later[take]
@@ -97,6 +100,11 @@ def fingerprints(words: np.ndarray, rows: np.ndarray, k: int = K, window: int =
     return pos, grams[pos]
 
 
+def covered(starts: np.ndarray) -> int:
+    """Words in runs of RUN words that start at the given positions, which are in order."""
+    return int(np.minimum(np.diff(starts), RUN).sum()) + RUN if len(starts) else 0
+
+
 class Passages:
     """The held-out passages: their words, and their fingerprints in hash order."""
 
@@ -108,7 +116,7 @@ class Passages:
         self.ids, self.words = ids, [words[a:b] for a, b in zip(bounds, bounds[1:])]
         self.hashes, self.item = hashes[order], rows[pos][order]
         self.at = (pos - bounds[rows[pos]])[order]
-        self.total = np.bincount(rows[pos], minlength=len(ids)) if len(pos) else np.zeros(len(ids), np.int64)
+        self.flat, self.start, self.size = words, bounds[:-1], np.diff(bounds)
         self.masks: dict[int, dict[int, int]] = {}
         low = np.zeros(1 << 20, bool)
         low[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -130,17 +138,28 @@ class Passages:
             self.masks[item] = m
         return self.masks[item]
 
-    def extends(self, item: int, doc: np.ndarray, diagonals: np.ndarray) -> bool:
-        """Whether a stretch of the document's words around the hits holds enough of the passage."""
-        n = len(self.words[item])
-        tried: set[int] = set()
-        for d in diagonals.tolist():
-            start = max(0, (d - SLACK // 2) // (SLACK // 2) * (SLACK // 2))
-            if start in tried:
-                continue
-            tried.add(start)
-            stretch = doc[start : start + n + 2 * SLACK]
-            if common_subsequence(stretch.tolist(), self.mask(item), n) >= SHARE * n and shared_runs(stretch, self.words[item]) >= RUNS * n:
+    def runs(self, words: np.ndarray, rows: np.ndarray, at: np.ndarray, item: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of hits (position, item, position in the passage): (position, item, start in the passage) of the shared runs
+        of RUN words that they belong to. Of the two grams in such a run one is a fingerprint, so none is missed."""
+        out = []
+        for back in range(WINDOW):  # the hit is this gram of the run
+            ahead = WINDOW - 1 - back
+            ok = (fp >= back) & (fp + K + ahead <= self.size[item]) & (at >= back) & (at + K + ahead <= len(words))
+            a, i, f = at[ok] - back, item[ok], fp[ok] - back
+            same = rows[a] == rows[a + RUN - 1]
+            for k in (*range(back), *range(back + K, RUN)):
+                same &= words[a + k] == self.flat[self.start[i] + f + k]
+            out.append((a[same], i[same], f[same]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def extends(self, item: int, doc: np.ndarray, at: np.ndarray, start: np.ndarray) -> bool:
+        """Whether a stretch of the document's words around shared runs (position, start in the passage) holds enough."""
+        n, half = int(self.size[item]), SLACK // 2
+        at, start = at[order := np.argsort(at, kind="stable")], start[order]
+        begins = np.unique(np.maximum(0, (at - start - half) // half * half))
+        low, high = np.searchsorted(at, begins), np.searchsorted(at, begins + n + 2 * SLACK - RUN, "right")
+        for begin, x, y in zip(begins.tolist(), low.tolist(), high.tolist()):
+            if RUN * (y - x) >= RUNS * n and covered(np.unique(start[x:y])) >= RUNS * n and common_subsequence(doc[begin : begin + n + 2 * SLACK].tolist(), self.mask(item), n) >= SHARE * n:
                 return True
         return False
 
@@ -156,24 +175,6 @@ def common_subsequence(words: list[int], mask: dict[int, int], n: int) -> int:
     return n - s.bit_count()
 
 
-def shared_runs(stretch: np.ndarray, passage: np.ndarray, k: int = K - 1) -> int:
-    """Words of the passage inside runs of k words that the stretch has too."""
-    if len(passage) < k or len(stretch) < k:
-        return 0
-
-    def grams(w: np.ndarray) -> np.ndarray:
-        g = w[: len(w) - k + 1].copy()
-        for j in range(1, k):
-            g = g * _P + w[j : len(w) - k + 1 + j]
-        return g
-
-    at = np.flatnonzero(np.isin(grams(passage), grams(stretch)))
-    covered = np.zeros(len(passage), bool)
-    for j in range(k):
-        covered[at + j] = True
-    return int(covered.sum())
-
-
 def matches(texts: pa.Array, passages: Passages) -> list[tuple[int, int]]:
     """(row, item) of each text that holds a passage."""
     words, rows = word_hashes(texts)
@@ -183,24 +184,24 @@ def matches(texts: pa.Array, passages: Passages) -> list[tuple[int, int]]:
     i, j = passages.hits(hashes)
     if not len(i):
         return []
-    at, item = pos[i], passages.item[j]
-    row = rows[at]
-    # distinct positions of the passage per (row, item)
-    pair = row * len(passages.ids) + item
-    order = np.lexsort((passages.at[j], pair))
-    pair, at, fp = pair[order], at[order], passages.at[j][order]
-    fresh = np.ones(len(pair), bool)
-    fresh[1:] = (pair[1:] != pair[:-1]) | (fp[1:] != fp[:-1])
-    heads = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-    counts = np.add.reduceat(fresh.astype(np.int64), heads)
-    items = pair[heads] % len(passages.ids)
-    need = np.maximum(MIN_HITS, np.ceil(HIT_SHARE * passages.total[items])).astype(np.int64)
+    at, item, start = passages.runs(words, rows, pos[i], passages.item[j], passages.at[j])
+    if not len(at):
+        return []
+    pair = rows[at] * len(passages.ids) + item
+    order = np.lexsort((start, pair))
+    pair, at, start = pair[order], at[order], start[order]
+    # words of the passage that the text's runs cover, wherever they stand
+    heads = np.concatenate(([True], pair[1:] != pair[:-1]))
+    step = np.full(len(pair), RUN)
+    step[1:] = np.where(heads[1:], RUN, np.minimum(start[1:] - start[:-1], RUN))
+    heads = np.flatnonzero(heads)
+    cover, items = np.add.reduceat(step, heads), pair[heads] % len(passages.ids)
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
     tails, out = np.concatenate((heads[1:], [len(pair)])), []
-    for k in np.flatnonzero(counts >= need).tolist():
+    for k in np.flatnonzero(cover >= RUNS * passages.size[items]).tolist():
         r, it = divmod(int(pair[heads[k]]), len(passages.ids))
         span = slice(heads[k], tails[k])
-        if passages.extends(it, words[bounds[r] : bounds[r + 1]], np.unique(at[span] - bounds[r] - fp[span])):
+        if passages.extends(it, words[bounds[r] : bounds[r + 1]], at[span] - bounds[r], start[span]):
             out.append((r, it))
     return out
 
@@ -222,13 +223,14 @@ def leaked(documents: DataFrame, passages: DataFrame, max_sent: int = MAX_SENT)
     """p9: (doc_id, item_id) of each document that holds half of a passage within one stretch."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     tests = passages.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = tests.agg(F.coalesce(F.sum(F.length("text") / 4 + 1), F.lit(0)).alias("n")).first()["n"]  # at most so many words
+    size = tests.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0)).alias("n")).first()["n"]  # at most so many words
     if size > max_sent:
         return _by_shuffle(docs, tests)
-    sent = [(r["item_id"], r["text"]) for r in tests.orderBy("item_id").collect()]
+    rows = tests.orderBy("item_id").collect()
+    sent = documents.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Passages([i for i, _ in sent], [t for _, t in sent]) if sent else None
+        own = Passages(*sent.value) if sent.value[0] else None
         for batch in batches:
             for ids, texts in _chunks(batch.column(0), batch.column(1)):
                 found = matches(texts, own) if own else []
@@ -237,37 +239,66 @@ def leaked(documents: DataFrame, passages: DataFrame, max_sent: int = MAX_SENT)
     return docs.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
 
 
-def _fingerprint_rows(df: DataFrame, key: str) -> DataFrame:
+def _run_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, run, times): hashes of the runs of RUN words that hold a fingerprint, once a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _chunks(batch.column(0), batch.column(1)):
                 words, rows = word_hashes(texts)
-                pos, hashes = fingerprints(words, rows)
-                start = np.searchsorted(rows, np.arange(len(texts)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[pos])), pa.array(hashes.view(np.int64)), pa.array(pos - start[rows[pos]])], names=[key, "fp", "at"])
-
-    return df.mapInArrow(run, f"{key} bigint, fp bigint, at bigint")
+                pos, _ = fingerprints(words, rows)
+                at = np.unique(np.concatenate([pos - back for back in range(WINDOW)]))
+                at = at[(at >= 0) & (at + RUN <= len(words))]
+                at = at[rows[at] == rows[at + RUN - 1]]
+                h = words[at]
+                for k in range(1, RUN):
+                    h = h * _P + words[at + k]
+                row, h = rows[at], _mix(h).view(np.int64)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(heads, len(h)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[heads])), pa.array(h[heads]), pa.array(n)], names=[key, "run", "times"])
+
+    return df.mapInArrow(run, f"{key} bigint, run bigint, times bigint")
 
 
 def _by_shuffle(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """The join for passages of any number: fingerprints meet by shuffle, candidate pairs fetch their two texts."""
-    prints = _fingerprint_rows(tests, "item_id").select("item_id", "fp", F.col("at").alias("item_at"))
-    total = prints.groupBy("item_id").agg(F.count("*").alias("total"))
-    # a document repeats few fingerprints, so what a hot fingerprint brings is first reduced to its documents
-    hits = _fingerprint_rows(docs, "doc_id").select("doc_id", "fp").distinct().join(prints, "fp")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n")).join(total, "item_id").where(F.col("n") >= F.greatest(F.lit(MIN_HITS), F.ceil(HIT_SHARE * F.col("total")))).select("doc_id", "item_id")
-    both = pairs.join(docs, "doc_id").join(tests.select("item_id", F.col("text").alias("passage")), "item_id").select("doc_id", "item_id", "text", "passage")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The join for passages of any number: runs that hold a fingerprint meet by shuffle, candidates fetch their texts.
+
+    A pair needs common runs over RUNS of the passage. So it still shares one if each passage leaves out those that
+    most documents have, as long as these cover less.
+    """
+    runs = _run_rows(tests, "item_id").groupBy("item_id", "run").agg(F.sum("times").alias("times"))
+    found = _run_rows(docs, "doc_id").select("doc_id", "run").join(runs.select("run").distinct(), "run", "left_semi")
+    often = found.groupBy("run").agg(F.count("*").alias("n"))
+    sizes = tests.mapInArrow(_sized, "item_id bigint, words bigint").groupBy("item_id").agg(F.min("words").alias("words"))
+    # one passage's runs in a window: at most its words
+    most = Window.partitionBy("item_id").orderBy(F.desc("n"), "run").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = runs.join(often, "run").withColumn("cover", RUN * F.sum("times").over(most))
+    rare = ranked.join(sizes, "item_id").where(F.col("cover") >= RUNS * F.col("words")).select("item_id", "run")
+    pairs = found.join(rare, "run").select("doc_id", "item_id").distinct()
+    both = pairs.join(docs, "doc_id").join(tests.select("item_id", F.col("text").alias("passage")), "item_id").select("doc_id", "text", "item_id", "passage")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, items = [], []
-            for d, i, text, passage in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if matches(pa.array([text], pa.string()), Passages([i], [passage])):
-                    ids.append(d)
-                    items.append(i)
-            yield _pairs(ids, items)
-
-    return both.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
+            for at, texts in _chunks(pa.array(np.arange(batch.num_rows)), batch.column(1)):
+                part = batch.slice(at[0].as_py(), len(at))
+                distinct, passages = texts.dictionary_encode(), part.column(3).dictionary_encode()
+                own = Passages(list(range(len(passages.dictionary))), passages.dictionary.to_pylist())
+                held = set(matches(distinct.dictionary, own))
+                keep = [k for k, pair in enumerate(zip(distinct.indices.to_pylist(), passages.indices.to_pylist())) if pair in held]
+                kept = part.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], names=["doc_id", "item_id"])
+
+    return both.mapInArrow(verify, "doc_id bigint, item_id bigint").distinct()
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, words) of passages (item_id, text)."""
+    for batch in batches:
+        n = np.bincount(word_hashes(batch.column(1))[1], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["item_id", "words"])
 
 
 def leak_report(documents: DataFrame, passages: DataFrame) -> DataFrame:

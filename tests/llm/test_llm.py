@@ -360,6 +360,71 @@ def test_word_hashes_see_words_only():
     assert sliced[0].tolist() == by[3] + by[4]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=9), max_size=6), st.integers(1, 5), st.integers(1, 5))
+def test_fingerprints_of_chunks_of_any_size(texts, k, window):
+    words, rows = leakage.word_hashes(pa.array([" ".join(t) for t in texts], pa.string()))
+    pos, hashes = leakage.fingerprints(words, rows, k, window)
+    assert len(pos) == len(hashes) and all(rows[p] == rows[p + k - 1] for p in pos.tolist())
+    for r, t in enumerate(texts):  # every window of a text has one
+        own = set((pos[rows[pos] == r] - np.searchsorted(rows, r)).tolist())
+        assert all(own & set(range(a, a + window)) for a in range(len(t) - k - window + 2))
+    assert leakage.matches(pa.array([" ".join(t) for t in texts], pa.string()), leakage.Passages([1], ["a b c d"])) is not None
+
+
+def _shared(passage, text, n):
+    """The conditions by brute force: every stretch of every start."""
+    grams = lambda w: [tuple(w[i : i + leakage.RUN]) for i in range(len(w) - leakage.RUN + 1)]
+    for begin in range(0, max(1, len(text)), leakage.SLACK // 2):
+        part = text[begin : begin + n + 2 * leakage.SLACK]
+        have = set(grams(part))
+        cover = {i + j for i, g in enumerate(grams(passage)) if g in have for j in range(leakage.RUN)}
+        mask = {}
+        for i, w in enumerate(passage):
+            mask[w] = mask.get(w, 0) | 1 << i
+        if cover and len(cover) >= leakage.RUNS * n and leakage.common_subsequence(part, mask, n) >= leakage.SHARE * n:
+            return True
+    return False
+
+
+def test_matches_lose_nothing_against_brute_force():
+    rng, missed, found = random.Random(31), 0, 0
+    for _ in range(150):
+        n = rng.choice([4, 6, 8, 12, 20, 40, 90])
+        passage = [f"w{rng.randrange(60)}" for _ in range(n)]
+        part = list(passage[: rng.randint(max(1, n // 3), n)])
+        for _ in range(rng.randrange(1 + n // 5)):
+            part[rng.randrange(len(part))] = "other"
+        text = [f"w{rng.randrange(200)}" for _ in range(rng.randrange(80))] + part + [f"w{rng.randrange(200)}" for _ in range(rng.randrange(80))]
+        got = bool(leakage.matches(pa.array([" ".join(text)]), leakage.Passages([1], [" ".join(passage)])))
+        want = _shared(passage, text, n)
+        found += got
+        missed += want and not got
+    assert missed == 0 and found > 40
+
+
+@pytest.mark.parametrize("n", [4, 8, 10, 16, 50, 120])
+def test_whole_passages_and_one_changed_word_in_six(n):
+    rng = random.Random(n)
+    for every in (0, 6):
+        for _ in range(20):
+            passage = _text(rng, n)
+            copy = [w if not every or (i + 1) % every else "changed" for i, w in enumerate(passage)]
+            text = " ".join(_text(rng, rng.randrange(60)) + copy + _text(rng, 30))
+            assert leakage.matches(pa.array([text]), leakage.Passages([1], [" ".join(passage)]))
+
+
+def test_both_plans_on_all_passages(spark):
+    import os
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    docs, tests = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "eval_passages"))
+    sent, joined = ({tuple(r) for r in leakage.leaked(docs, tests, most).collect()} for most in (leakage.MAX_SENT, 0))
+    assert sent == joined and len(sent) > 10
+
+
 def test_common_subsequence_by_dynamic_programming():
     rng = random.Random(4)
     for _ in range(50):
