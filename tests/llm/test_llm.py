@@ -295,13 +295,23 @@ def test_links_of_earlier_runs_quarantine(spark):
 def test_packing_keeps_its_promises(items):
     given_items = [((i, 0), n, s, c) for i, (n, s, c) in enumerate(items)]
     bins = packing.pack(given_items, 20)
-    used, clusters = Counter(), defaultdict(list)
-    for (_, n, _, c), b in zip(given_items, bins):
+    used, clusters, sources = Counter(), defaultdict(list), defaultdict(list)
+    for (_, n, s, c), b in zip(given_items, bins):
         used[b] += n
         clusters[b].append(c)
+        sources[b].append(s)
     assert all(n <= 20 for n in used.values())
     if len(used) < packing.enough(sum(used.values()), 20):
-        assert all(len(c) == len(set(c)) for c in clusters.values())
+        assert all(len(c) == len(set(c)) for c in clusters.values()) and all(len(c) == len(set(c)) for c in sources.values())
+
+
+def test_conflicts_are_few_while_space_allows():
+    rng = random.Random(2)
+    items = [((i, 0), rng.randint(1, 90), f"s{i % 12}", i if i % 50 else 0) for i in range(2000)]
+    bins = packing.pack(items, 200)
+    by = Counter((b, s) for (_, _, s, _), b in zip(items, bins)), Counter((b, c) for (_, _, _, c), b in zip(items, bins))
+    assert sum(n for n in by[0].values() if n > 1) < 0.08 * len(items) and max(by[1].values()) == 1
+    assert sum(n for _, n, _, _ in items) / (len(set(bins)) * 200) > 0.98
 
 
 def test_packing_of_hot_copies_and_sources():
@@ -325,6 +335,9 @@ def test_containers(spark):
     assert same[603] != same[604]
     full = got["n_tokens"].sum() / (got["container"].nunique() * 100)
     assert full > 0.97
+    assert packing.kept_promises(packing.containers(df, capacity=100), df, 100).first()[1:] == (0, 0, 0)
+    twice = df.where("doc_id IN (602, 5)").unionByName(df.where("doc_id IN (602, 5)"))
+    assert packing.kept_promises(packing.containers(twice, capacity=100), twice, 100).first() == (4, 0, 0, 0)
     assert packing.containers(df.limit(0)).count() == 0
 
 
