@@ -3,7 +3,10 @@
 Components are found by contraction: every node points to its least neighbour, pointer jumping takes each to its
 root, edges are relabelled and the graph shrinks by half or more a round. Each round is checkpointed. Components
 that hold a key with a split keep it, components whose keys have different splits are quarantined, new ones fill
-the splits' deficits. The table of keys, components and splits is what the next run starts from.
+the splits' deficits, the largest first. The table of keys, components and splits is what the next run starts from.
+
+Components of one size are alike, so the filling is worked out on the numbers of components by size: there are
+fewer than sqrt(2 * rows) sizes, which is what the driver reads. Each component then finds its split by its rank.
 
 Cases: missing keys link nothing, a row without any key is its own group; DOIs are compared bare and in lower case;
 repeated rows and edges count once as links; an empty table gives no groups; only the key columns are used, so
@@ -20,8 +23,6 @@ from sedge.functions.splits import check_ratios, stable_bucket
 from sedge.sources.tables import cut
 
 SPLITS = ("train", "validation", "test")
-#: A component of at least this share of all rows is placed by itself; there are at most 1 / LARGE of them.
-LARGE = 1 / 2000
 
 
 def bare_doi(c: Column) -> Column:
@@ -91,16 +92,66 @@ def chained_rows(df: DataFrame, id_column: str, doi: str, batch: str) -> DataFra
     return rows.join(several, "_group").select(F.col("_id").cast("bigint").alias(id_column), F.substring("_group", 3, 1 << 30).alias("group_doi"))
 
 
-def fill(sizes: list[tuple[str, int]], have: dict[str, int], ratios: dict[str, float], total: int) -> dict[str, str]:
-    """Large components, the largest first, each to the split with the greatest deficit."""
-    out = {}
-    for group, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        best = max(SPLITS, key=lambda s: (ratios[s] * total - have.get(s, 0), -SPLITS.index(s)))
-        out[group] = best
-        have[best] = have.get(best, 0) + n
+def fill(sizes: list[tuple[int, int]], have: dict[str, int], ratios: dict[str, float], total: int) -> list[tuple[int, list[int]]]:
+    """For each size of (size, number of components), the largest first, how many of them each split gets.
+
+    As if one by one each went to the split with the greatest deficit, the earlier of equals.
+    """
+    deficit = [ratios[s] * total - have.get(s, 0) for s in SPLITS]
+    out = []
+    for size, n in sorted(sizes, reverse=True):
+        given = [0] * len(SPLITS)
+        # all but the last rounds at once: splits above a level get what takes them down to it
+        level = _level(deficit, size * n)
+        for k, d in enumerate(deficit):
+            given[k] = max(0, min(n, int((d - level) / size) - 1))
+        for k, g in enumerate(given):
+            deficit[k] -= g * size
+        for _ in range(n - sum(given)):
+            k = max(range(len(SPLITS)), key=lambda i: (deficit[i], -i))
+            given[k] += 1
+            deficit[k] -= size
+        out.append((size, given))
     return out
 
 
+def _level(deficit: list[float], amount: float) -> float:
+    """The level to which an amount fills the deficits."""
+    ordered = sorted(deficit, reverse=True)
+    for k in range(1, len(ordered) + 1):
+        level = (sum(ordered[:k]) - amount) / k
+        if k == len(ordered) or level >= ordered[k]:
+            return level
+    return 0.0
+
+
+def _ranked(groups: DataFrame, seed: int) -> DataFrame:
+    """Adds _rank, the place from 0 in the order of size and hash, without a window over all rows."""
+    parts = cut(groups.select("_group", "n", stable_bucket(F.col("_group"), seed).alias("_b")).repartitionByRange(F.desc("n"), "_b", "_group").sortWithinPartitions(F.desc("n"), "_b", "_group").withColumn("_at", F.monotonically_increasing_id()))
+    # the upper bits of the number are the partition's, the lower count its rows
+    parts = parts.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted((r["_part"], r["rows"]) for r in parts.groupBy("_part").agg(F.count("*").alias("rows")).collect())  # one row a partition
+    start, at = [], 0
+    for part, rows in sizes:
+        start.append((part, at))
+        at += rows
+    starts = groups.sparkSession.createDataFrame(start, "_part bigint, _start bigint")
+    return parts.join(starts, "_part").select("_group", "n", (F.col("_start") + F.col("_row")).alias("_rank"))
+
+
+def _filled(new: DataFrame, have: dict[str, int], ratios: dict[str, float], total: int, seed: int) -> DataFrame:
+    """(_group, filled): the split of each new component (_group, n)."""
+    sizes = [(r["n"], r["groups"]) for r in new.groupBy("n").agg(F.count("*").alias("groups")).collect()]
+    bounds, at = [], 0
+    for size, given in fill(sizes, have, ratios, total):
+        ends = [at + sum(given[: k + 1]) for k in range(len(SPLITS))]
+        bounds.append((size, *ends))
+        at = ends[-1]
+    table = new.sparkSession.createDataFrame(bounds, "n bigint, _t bigint, _v bigint, _e bigint")
+    split = F.when(F.col("_rank") < F.col("_t"), SPLITS[0]).when(F.col("_rank") < F.col("_v"), SPLITS[1]).otherwise(SPLITS[2])
+    return _ranked(new, seed).join(table, "n").select("_group", split.alias("filled"))
+
+
 def assign_splits(df: DataFrame, id_column: str, doi: str, batch: str, train: float = 0.8, validation: float = 0.1, seed: int = 17, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with their split, and the table (node, component, split) to start the next run from.
 
@@ -127,18 +178,19 @@ def assign_splits(df: DataFrame, id_column: str, doi: str, batch: str, train: fl
     have = {r["kept"]: r["n"] for r in groups.groupBy("kept").agg(F.sum("n").alias("n")).collect()}
     total = sum(have.values())
     placed = {s: have.get(s, 0) for s in SPLITS}
-    large = [(r["_group"], r["n"]) for r in groups.where(F.col("kept").isNull() & (F.col("n") >= max(1.0, total * LARGE))).collect()]
-    chosen = fill(large, placed, ratios, total)
-    small = max(0, have.get(None, 0) - sum(n for _, n in large))
-    deficit = {s: max(0.0, ratios[s] * total - placed[s]) for s in SPLITS}
-    whole = sum(deficit.values()) or 1.0
-    b = stable_bucket(F.col("_group"), seed)
-    t, v = deficit["train"] / whole, deficit["validation"] / whole
-    spread = F.when(b < t, "train").when(b < t + v, "validation").otherwise("test") if small else F.lit("train")
-    pairs = [x for g, s in chosen.items() for x in (F.lit(g), F.lit(s))]
-    by_size = F.try_element_at(F.create_map(*pairs), F.col("_group")) if pairs else F.lit(None).cast("string")
-    splits = groups.select("_group", F.coalesce("kept", by_size, spread).alias("split"))
+    filled = _filled(groups.where("kept IS NULL"), placed, ratios, total, seed)
+    splits = groups.select("_group", "kept").join(filled, "_group", "left").select("_group", F.coalesce("kept", "filled").alias("split"))
     out = rows.join(splits, "_group").select(F.col("_id").alias(id_column), F.col("_group").alias("group_id"), "split")
     table = nodes.join(splits, "_group", "left")
     table = table.join(old, "_node", "left") if existing is not None else table.withColumn("_old", F.lit(None).cast("string"))
     return out, table.select(F.col("_node").alias("node"), F.col("_group").alias("component"), F.coalesce("_old", "split").alias("split"))
+
+
+def kept_promises(df: DataFrame, rows: DataFrame, id_column: str, doi: str, batch: str) -> DataFrame:
+    """(n_rows, n_lost, n_apart): rows of the table, rows without a split, and groups of the whole table with rows in
+    several splits, but for those that a run found in conflict (with rows in quarantine)."""
+    whole, _ = linked(_keyed(df, id_column, doi, batch))
+    both = whole.select(F.col("_id").alias(id_column), F.col("_group").alias("_whole")).join(rows.select(id_column, "split"), id_column, "left")
+    lost = both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("split").isNull()).alias("n_lost"))
+    each = both.where("_whole IS NOT NULL").groupBy("_whole").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.max(F.col("split") == "quarantine").alias("conflict"))
+    return lost.join(each.agg(F.count_if((F.col("lo") != F.col("hi")) & ~F.col("conflict")).alias("n_apart")))  # one row each

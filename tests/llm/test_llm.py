@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sedge.llm import canon, frequency, grouping, leakage, overlap, packing, scans, spam
+from sedge.sources.tables import cut
 
 WORDS = st.text("abcd", max_size=7)
 
@@ -253,18 +254,46 @@ def test_splits_keep_groups_and_history(spark):
     assert grouping.assign_splits(df.limit(0), "row_id", "doi", "batch")[0].count() == 0
 
 
+def _one_by_one(sizes, have, ratios, total):
+    """The split of each component, the largest first, always to the greatest deficit."""
+    have, out = dict(have), Counter()
+    for n in sorted((n for n, k in sizes for _ in range(k)), reverse=True):
+        best = max(grouping.SPLITS, key=lambda s: (ratios[s] * total - have.get(s, 0), -grouping.SPLITS.index(s)))
+        have[best] = have.get(best, 0) + n
+        out[n, best] += 1
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 60), max_size=8), st.tuples(*[st.integers(0, 300)] * 3))
+def test_filling_by_size_is_filling_one_by_one(sizes, have):
+    have, ratios = dict(zip(grouping.SPLITS, have)), {"train": 0.8, "validation": 0.1, "test": 0.1}
+    total = sum(n * k for n, k in sizes.items()) + sum(have.values())
+    got = {(n, s): k for n, ks in grouping.fill(list(sizes.items()), have, ratios, total) for s, k in zip(grouping.SPLITS, ks) if k}
+    assert got == dict(_one_by_one(sizes.items(), have, ratios, total))
+
+
+def test_new_groups_fill_the_deficits_whatever_their_size(spark):
+    keys = [f"g{i}" for i in range(400)] + ["big"] * 300 + ["mid"] * 100 + [f"h{i // 3}" for i in range(300)]
+    df = spark.createDataFrame([(i, f"10.0000/{k}", None) for i, k in enumerate(keys)], "row_id bigint, doi string, batch string")
+    rows, _ = grouping.assign_splits(df, "row_id", "doi", "batch")
+    got = rows.groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 880, "validation": 110, "test": 110}
+    assert rows.groupBy("group_id").agg(F.countDistinct("split").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 def test_second_run_on_new_rows_only(spark):
     schema, n = "row_id bigint, doi string, batch string", 120
     run1 = spark.createDataFrame([(i, f"10.0000/m{i}", f"k{i}") for i in range(n)], schema)
     rows, table = grouping.assign_splits(run1, "row_id", "doi", "batch")
-    table = table.localCheckpoint()
+    table = cut(table)
     want = {r["row_id"]: r["split"] for r in rows.collect()}
     assert {r["node"] for r in table.collect()} == {x for i in range(n) for x in (f"d:10.0000/m{i}", f"k:k{i}")}
     assert len(set(want.values())) > 1
     # run 2 meets run 1 by batch key alone; x<i> sorts after and a<i> before the earlier DOI
     run2 = spark.createDataFrame([(1000 + i, f"10.0000/{'xa'[i % 2]}{i}" if i % 3 else None, f"K{i} ") for i in range(n)], schema)
     rows, table2 = grouping.assign_splits(run2, "row_id", "doi", "batch", existing=table)
-    table2 = table2.localCheckpoint()
+    table2 = cut(table2)
     assert {r["row_id"] - 1000: r["split"] for r in rows.collect()} == want
     # run 3 meets run 1 through a DOI of run 2
     run3 = spark.createDataFrame([(2000 + i, f"10.0000/{'xa'[i % 2]}{i}", None) for i in range(n) if i % 3], schema)
@@ -281,7 +310,7 @@ def test_links_of_earlier_runs_quarantine(spark):
     both = spark.createDataFrame([(1, "10.0000/a", "k"), (2, "10.0000/b", "k")], schema)
     rows, table = grouping.assign_splits(both, "row_id", "doi", "batch", existing=known)
     assert {r["split"] for r in rows.collect()} == {"quarantine"}
-    table = table.localCheckpoint()
+    table = cut(table)
     assert {r["node"]: r["split"] for r in table.collect()} == {"d:10.0000/a": "train", "d:10.0000/b": "test", "d:10.0000/c": "test", "k:k": "quarantine"}
     later, _ = grouping.assign_splits(spark.createDataFrame([(3, "10.0000/b", None), (4, None, "K"), (5, "10.0000/c", None)], schema), "row_id", "doi", "batch", existing=table)
     assert {r["row_id"]: r["split"] for r in later.collect()} == {3: "quarantine", 4: "quarantine", 5: "test"}
