@@ -49,6 +49,20 @@ def test_distance_is_a_metric(a, b, c):
     assert canon.distance(a, c) <= canon.distance(a, b) + canon.distance(b, c)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9), st.integers(0, 6))
+def test_distance_within_a_band(a, b, most):
+    d = canon.distance(a, b)
+    assert canon.distance_within(a, b, most) == min(d, most + 1)
+    assert max(len(a), len(b)) - len(canon.bag(a) & canon.bag(b)) <= d
+
+
+def test_readings_of_any_number():
+    long = "by the " * 300 + "TiO2-c" + " layer, 2 times (new)" * 3
+    assert "tio2c" in canon.readings(long, 20) and all(len(f) <= 24 for f in canon.readings(long, 20))
+    assert canon.readings("x" * 100_000, 20) == [] and {"pbi2|mai", "pbi2thenmai"} <= set(canon.readings("PbI2 then MAI"))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(WORDS, max_size=30), WORDS, st.integers(0, 3))
 def test_tree_returns_every_entry_within_the_radius(words, query, radius):
