@@ -15,11 +15,12 @@ with clashing names aren't used.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.canon import distance
@@ -166,9 +167,24 @@ def edge_lines(text: str) -> list[tuple[int, str, bool, bool]]:
             if 0 <= p < len(real) and real[p] not in numbered and (p not in near or abs(marks[near[p]] - p) > abs(step)):
                 near[p] = e
     keys = {p: skeleton(lines[real[p]]) for p in near}
-    same: dict[int, bool] = {}
-    for p, e in near.items():
-        same[p] = any(near[q] != e and abs(q - p) > NEAR and alike(keys[p], keys[q]) for q in near if q != p)
+    by_key: dict[str, list[int]] = defaultdict(list)
+    for p, key in keys.items():
+        by_key[key].append(p)
+    sizes: dict[int, list[str]] = defaultdict(list)
+    for key in by_key:
+        sizes[len(key)].append(key)
+
+    def elsewhere(p: int, places: list[int]) -> bool:
+        return any(near[q] != near[p] and abs(q - p) > NEAR for q in places)
+
+    def again(p: int) -> bool:
+        key = keys[p]
+        if elsewhere(p, by_key[key]):
+            return True
+        most = max(1, len(key) // 10)
+        return any(other != key and elsewhere(p, by_key[other]) and alike(key, other) for n in range(len(key) - most, len(key) + most + 1) for other in sizes.get(n, ()))
+
+    same = {p: again(p) for p in near}
     out = [(i, "", True, True) for i in alone]
     out += [(i, "N " + skeleton(lines[i], True), False, rising) for i, rising in counted.items()]
     return out + [(real[p], skeleton(lines[real[p]], True), False, same[p]) for p in near]
@@ -202,6 +218,19 @@ def word_of(token: str) -> str | None:
     return w.lower()
 
 
+class _Known(dict):
+    """word_of() of the tokens seen; emptied when it has grown large."""
+
+    def __missing__(self, token: str) -> str | None:
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = out = word_of(token)
+        return out
+
+
+_WORDS = _Known()
+
+
 def broken(line: str) -> str | None:
     """The part of a word before a hyphen at the line's end."""
     s = line.rstrip()
@@ -221,7 +250,7 @@ def read_lines(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str, str]]
         left = broken(line) if tokens else None
         if left is not None:
             after = k + 1
-            while after < len(lines) and (not lines[after][1].strip() or _FLOAT.match(lines[after][1])) and after - k <= 3:
+            while after < len(lines) and (not lines[after][1].strip() or _FLOAT.match(lines[after][1])):
                 after += 1
             follows = lines[after][1].split() if after < len(lines) else []
             right = follows[0].strip(AROUND).lower() if follows else ""
@@ -229,7 +258,7 @@ def read_lines(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str, str]]
                 parts.append((unit, left, right))
                 tokens, rest = tokens[:-1], after
         for t in tokens:
-            if (w := word_of(t)) is not None:
+            if (w := _WORDS[t]) is not None:
                 words.append((unit, w))
     return parts, words
 
@@ -278,13 +307,18 @@ def read_paper(text: str | None, tables: list | None, away: set[int]) -> Iterato
 
 
 def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(paper_id, what, a, b, at): what read_paper() gives, each once a paper; at has its units, twice the number and
+    one more in tables."""
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()))
     for batch in batches:
         rows = []
         for key, text, tables, away in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            rows += [(key, *r, n) for r, n in Counter(read_paper(text, tables, set(away or ()))).items()]
-        cols = list(zip(*rows)) or [()] * 7
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["paper_id", "place", "unit_no", "what", "a", "b", "n"])
+            found: dict[tuple[str, str, str], list[int]] = {}
+            for place, unit, what, a, b in read_paper(text, tables, set(away or ())):
+                found.setdefault((what, a, b), []).append(2 * unit + (place == "tables"))
+            rows += [(key, *k, at) for k, at in found.items()]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["paper_id", "what", "a", "b", "at"])
 
 
 def _power(c):
@@ -301,19 +335,23 @@ def _hash(word: str) -> int:
     return sum((ord(c) % 997) ** 5 for c in word)
 
 
+#: Words of letters of any language, with hyphens between them; ligatures are misread letters.
+_LETTERS = r"^(?:(?![\uFB00-\uFB06])\p{L})+(?:-(?:(?![\uFB00-\uFB06])\p{L})+)*$"
+
+
 def corrections(lexicon: DataFrame) -> DataFrame:
-    """(wrong, right) for the rare words of (word, n) that a confusion makes of a far more frequent word."""
+    """(wrong, right, m) for the rare words of (word, n) that a confusion makes of a word that is far more frequent, m times there."""
     # different confusions with the same difference don't matter, as each is verified
     pairs = F.array(*(F.struct(F.lit(right).alias("r"), F.lit(wrong).alias("w"), F.lit(_hash(wrong) - _hash(right)).alias("diff")) for right, wrong in CONFUSIONS))
-    frequent = lexicon.where((F.col("n") >= 4) & F.col("word").rlike("^[a-z]+(-[a-z]+)*$")).select(F.col("word").alias("right"), F.col("n").alias("m"), anagram_hash(F.col("word")).alias("hash"))
+    frequent = lexicon.where((F.col("n") >= 4) & F.col("word").rlike(_LETTERS)).select(F.col("word").alias("right"), F.col("n").alias("m"), anagram_hash(F.col("word")).alias("hash"))
     rare = lexicon.select(F.col("word").alias("wrong"), "n", anagram_hash(F.col("word")).alias("own"), F.explode(F.filter(pairs, lambda p: F.contains(F.col("word"), p["w"]))).alias("p"))
     rare = rare.select("wrong", "n", "p.r", "p.w", (F.col("own") - F.col("p.diff")).alias("hash"))
     met = rare.join(frequent, "hash").where("right <> wrong")
-    odd = ~F.col("wrong").rlike("^[a-z]+(-[a-z]+)*$")
+    odd = ~F.col("wrong").rlike(_LETTERS)
     met = met.where((odd & (F.col("m") >= F.col("n"))) | (F.col("m") >= 12 * F.col("n")))
     made = F.exists(F.sequence(F.lit(1), F.length("right")), lambda i: F.concat(F.substring(F.col("right"), F.lit(1), i - 1), F.col("w"), F.substring(F.col("right"), i + F.length("r"), F.length("right"))) == F.col("wrong"))
     right_there = F.col("right").contains(F.col("r"))
-    return met.where(right_there & made).groupBy("wrong").agg(F.max(F.struct("m", "right")).alias("x")).select("wrong", "x.right")
+    return met.where(right_there & made).groupBy("wrong").agg(F.max(F.struct("m", "right")).alias("x")).select("wrong", "x.right", "x.m")
 
 
 def repairs(papers: DataFrame) -> DataFrame:
@@ -322,33 +360,47 @@ def repairs(papers: DataFrame) -> DataFrame:
     away = cut(furniture(papers))
     lists = away.groupBy("paper_id").agg(F.collect_list("line").alias("away"))  # at most a paper's lines
     # repeated ids: each text is read with the furniture found under its id
-    reads = cut(papers.join(lists, "paper_id", "left").select("paper_id", "text", F.transform("tables", lambda t: F.struct(t["rows"].alias("rows"))).alias("tables"), "away").mapInArrow(_reads, "paper_id bigint, place string, unit_no bigint, what string, a string, b string, n bigint"))
-    words = reads.where("what = 'word'")
-    lexicon = cut(words.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")))
-    fixes = cut(corrections(lexicon))
-    misread = words.join(fixes, F.col("a") == F.col("wrong")).select("paper_id", "place", "unit_no", F.lit("ocr").alias("kind"), F.col("right").alias("fixed"))
-    numbers = reads.where("what = 'number'").select("paper_id", "place", "unit_no", F.lit("ocr").alias("kind"), F.col("a").alias("fixed"))
-    hyphens = joined(reads.where("what = 'part'").select("paper_id", "place", "unit_no", "a", "b"), lexicon, fixes)
+    reads = cut(papers.join(lists, "paper_id", "left").select("paper_id", "text", F.transform("tables", lambda t: F.struct(t["rows"].alias("rows"))).alias("tables"), "away").mapInArrow(_reads, "paper_id bigint, what string, a string, b string, at array<bigint>"))
+    words = reads.where("what = 'word'").select("paper_id", F.col("a").alias("word"), "at")
+    parts = reads.where("what = 'part'")
+    shapes = parts.select("a", "b").distinct().withColumn("whole", F.concat("a", "b")).withColumn("linked", F.concat_ws("-", "a", "b"))
+    lexicon = cut(_lexicon(words, shapes))
+    fixes = cut(lexicon.where("right <> word").select("word", "right"))
+    found = [
+        words.join(fixes, "word").select("paper_id", "at", F.lit("ocr").alias("kind"), F.col("right").alias("fixed")),
+        reads.where("what = 'number'").select("paper_id", "at", F.lit("ocr").alias("kind"), F.col("a").alias("fixed")),
+        parts.join(joined(shapes, lexicon), ["a", "b"]).select("paper_id", "at", F.lit("hyphen").alias("kind"), "fixed"),
+    ]
+    lines = reduce(DataFrame.unionByName, found).select("paper_id", F.explode("at").alias("_u"), "kind", "fixed")
+    lines = lines.select("paper_id", F.when(F.col("_u") % 2 == 1, "tables").otherwise("text").alias("place"), F.shiftright("_u", 1).alias("unit_no"), "kind", "fixed")
     edge = away.select("paper_id", F.lit("text").alias("place"), F.col("line").alias("unit_no"), F.lit("furniture").alias("kind"), F.lit("").alias("fixed"))
-    return edge.unionByName(hyphens).unionByName(misread).unionByName(numbers).distinct()
+    return edge.unionByName(lines).distinct()
 
 
-def joined(parts: DataFrame, lexicon: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Broken words made whole: the form that the collection has more often keeps or drops the hyphen."""
-    shapes = parts.select("a", "b").distinct().withColumn("whole", F.concat("a", "b")).withColumn("linked", F.concat_ws("-", "a", "b"))
-    # a misread part is corrected in the whole word
-    known = cut(lexicon)
-    forms = shapes.select(F.col("whole").alias("word")).union(shapes.select("linked")).distinct().join(known, "word", "left_anti").withColumn("n", F.lit(1).cast("bigint"))
-    extra = corrections(known.unionByName(forms)).join(forms.select(F.col("word").alias("wrong")), "wrong", "left_semi")
-    fix = fixes.unionByName(extra).groupBy("wrong").agg(F.max("right").alias("right"))
-
-    def look(df: DataFrame, col: str, to: str) -> DataFrame:
-        df = df.join(fix.select(F.col("wrong").alias(col), F.col("right").alias(f"{to}_fix")), col, "left").withColumn(f"{to}_word", F.coalesce(f"{to}_fix", col))
-        return df.join(known.select(F.col("word").alias(f"{to}_word"), F.col("n").alias(f"{to}_n")), f"{to}_word", "left")
-
-    shapes = look(look(shapes, "whole", "w"), "linked", "l")
-    shapes = shapes.join(known.select(F.col("word").alias("a"), F.col("n").alias("a_n")), "a", "left").join(known.select(F.col("word").alias("b"), F.col("n").alias("b_n")), "b", "left")
-    w, link = F.coalesce("w_n", F.lit(0)), F.coalesce("l_n", F.lit(0))
-    both = (F.coalesce("a_n", F.lit(0)) >= 3) & (F.coalesce("b_n", F.lit(0)) >= 3) & (F.length("a") >= 3) & (F.length("b") >= 3)
-    fixed = F.when(link > w, F.col("l_word")).when(w > 0, F.col("w_word")).when(both, F.col("linked")).otherwise(F.col("whole"))
-    return parts.join(shapes.select("a", "b", fixed.alias("fixed")), ["a", "b"]).select("paper_id", "place", "unit_no", F.lit("hyphen").alias("kind"), "fixed")
+def _lexicon(words: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(word, n, right, m): each word and form with its number, its correction or itself, and the number of that.
+
+    A form that stands nowhere as it is counts as one occurrence where it is corrected, and as none as evidence.
+    """
+    counted = words.select("word", F.size("at").cast("bigint").alias("n")).unionByName(shapes.select(F.explode(F.array("whole", "linked", "a", "b")).alias("word"), F.lit(0).cast("bigint").alias("n")))
+    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    fixes = corrections(counted.withColumn("n", F.greatest("n", F.lit(1))))
+    return counted.join(fixes.withColumnRenamed("wrong", "word"), "word", "left").select("word", "n", F.coalesce("right", "word").alias("right"), F.when(F.col("right").isNull(), F.col("n")).otherwise(F.col("m")).alias("m"))
+
+
+def joined(shapes: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(a, b, fixed): broken words made whole: the form that the collection has more often keeps or drops the hyphen.
+
+    A misread part is corrected in the whole word.
+    """
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("word")) for r in ("whole", "linked", "a", "b")))
+    said = shapes.select("a", "b", F.explode(roles).alias("x")).select("a", "b", "x.role", "x.word").join(lexicon, "word", "left")
+
+    def of(role: str, value: str) -> Column:
+        return F.max(F.when(F.col("role") == role, F.col(value)))
+
+    said = said.groupBy("a", "b").agg(of("whole", "m").alias("w"), of("whole", "right").alias("whole"), of("linked", "m").alias("l"), of("linked", "right").alias("linked_right"), of("a", "n").alias("a_n"), of("b", "n").alias("b_n"))
+    w, link = F.coalesce("w", F.lit(0)), F.coalesce("l", F.lit(0))
+    both = (F.col("a_n") >= 3) & (F.col("b_n") >= 3) & (F.length("a") >= 3) & (F.length("b") >= 3)
+    fixed = F.when(link > w, F.col("linked_right")).when(w > 0, F.col("whole")).when(both, F.concat_ws("-", "a", "b")).otherwise(F.concat("a", "b"))
+    return said.select("a", "b", fixed.alias("fixed"))
