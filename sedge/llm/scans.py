@@ -43,6 +43,8 @@ _DIGITISH = re.compile(r"(?<![^\W\d_])[\dOolI|SQ]*\d[\dOolI|SQ]*(?![^\W\d_])")
 
 def page_number(line: str) -> int | None:
     """The number of a line that holds a page number and nothing else."""
+    if not _HAS_DIGIT.search(line):
+        return None
     s = re.sub(r"[\s\-–—−\[\]()|.~*•]+", "", line.replace("p.", "p").replace("P.", "p")).lower()
     m = _NUMBER_LINE.match(s.replace("p", "p.", 1) if s.startswith("p") and not s.startswith("pa") and not s.startswith("pg") else s)
     if m and len(m.group(1)) <= 6:
@@ -56,11 +58,12 @@ _FOLD_TWO = re.compile("ri|rn|cl|ii|vv|nn")
 #: Characters that are misread as one another fold to one; so do the pairs that are misread as one character.
 _FOLD = str.maketrans("1i|!0596c†@b€$", "llllosgbetahes")
 _FOLD_PAIRS = {"ri": "n", "rn": "m", "cl": "d", "ii": "u", "vv": "w", "nn": "m"}
+_FOLD = {c: _FOLD.get(ord(f) if isinstance(f, str) else f, f) for c, f in _FOLD.items()}  # what a folded character folds to
 
 
 def folded(word: str) -> str:
     """A word in lower case whose misread forms fold to the same letters."""
-    return _FOLD_TWO.sub(lambda m: _FOLD_PAIRS[m.group(0)], word.lower()).translate(_FOLD).translate(_FOLD)
+    return _FOLD_TWO.sub(lambda m: _FOLD_PAIRS[m.group(0)], word.lower()).translate(_FOLD)
 
 
 _HAS_DIGIT = re.compile(r"\d")
@@ -71,17 +74,42 @@ def _is_number(core: str) -> bool:
     return digits > 2 or (digits > 0 and 2 * digits >= len(core))
 
 
+class _Memo(dict):
+    """What a function gave for the tokens seen; emptied when it has grown large."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, token: str):
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = out = self.function(token)
+        return out
+
+
+def _piece(token: str) -> str:
+    """The token folded, # for a number, nothing for dashes."""
+    if _HAS_DIGIT.search(token) and _is_number(token.strip(AROUND)):
+        return "#"
+    return folded(token.strip("–-—"))
+
+
+def _named_piece(token: str) -> str:
+    """The same with ~ for a capitalised word."""
+    if not (_HAS_DIGIT.search(token) and _is_number(token.strip(AROUND))):
+        core = token.strip(AROUND)
+        if core[:1].isupper() and (len(core) == 1 or not any(c.isupper() and c != "I" for c in core[1:])):
+            return "~"
+    return _piece(token)
+
+
+_PIECES, _NAMED_PIECES = _Memo(_piece), _Memo(_named_piece)
+
+
 def skeleton(line: str, names: bool = False) -> str:
     """A line with its numbers as # and its words folded; with `names`, capitalised words as ~."""
-    out = []
-    for w in line.split():
-        if _HAS_DIGIT.search(w) and _is_number(w.strip(AROUND)):
-            out.append("#")
-        elif names and (core := w.strip(AROUND))[:1].isupper() and (len(core) == 1 or not any(c.isupper() and c != "I" for c in core[1:])):
-            out.append("~")
-        elif w := w.strip("–-—"):
-            out.append(w)
-    return folded(" ".join(out))
+    memo = _NAMED_PIECES if names else _PIECES
+    return " ".join([x for w in line.split() if (x := memo[w])])
 
 
 def _numbers(line: str) -> list[int]:
@@ -218,17 +246,7 @@ def word_of(token: str) -> str | None:
     return w.lower()
 
 
-class _Known(dict):
-    """word_of() of the tokens seen; emptied when it has grown large."""
-
-    def __missing__(self, token: str) -> str | None:
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = out = word_of(token)
-        return out
-
-
-_WORDS = _Known()
+_WORDS = _Memo(word_of)
 
 
 def broken(line: str) -> str | None:
