@@ -18,7 +18,7 @@ def check_ratios(train: float, validation: float) -> None:
 
 
 def split_name(key: Column, train: float, validation: float, seed: int) -> Column:
-    """train, validation or test; every row of a key lands in the same split."""
+    """train, validation or test; every row of a key lands in the same split, a null key in none."""
     check_ratios(train, validation)
     b = stable_bucket(key, seed)
-    return F.when(b < train, "train").when(b < train + validation, "validation").otherwise("test")
+    return F.when(b < train, "train").when(b < train + validation, "validation").when(b.isNotNull(), "test")

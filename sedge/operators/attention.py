@@ -65,26 +65,53 @@ def links_sparse(x: DataFrame, window: int, global_tokens: int, random_tokens: i
     return out.where("kpos <= qpos") if causal else out
 
 
+def check_shape(x: DataFrame, size: int) -> None:
+    """Raises ValueError where a vector isn't of the head's size or a position is there twice."""
+    bad = x.agg(F.count_if(F.coalesce(F.size("vec"), F.lit(-1)) != size).alias("n")).first()["n"]
+    if bad:
+        raise ValueError(f"{bad} vectors don't have {size} elements")
+    if x.groupBy("b", "h", "pos").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a position is there twice")
+
+
+def _rows(vectors: DataFrame) -> DataFrame:
+    """(b, h, qpos, d, value) of (b, h, qpos, vec)."""
+    return vectors.select("b", "h", "qpos", F.posexplode("vec").alias("d", "value"))
+
+
+def _weighted(size: int, weight: Column, vector: Column) -> list[Column]:
+    """The sums of weight * element, one a dimension: partial aggregates in the JVM's registers, no row a dimension."""
+    return [F.sum(weight * vector[i]).alias(f"v{i}") for i in range(size)]
+
+
 def attend(links: DataFrame, values: DataFrame, size: int) -> DataFrame:
     """(b, h, qpos, d, value): softmax over each query's links and the weighted sum of values.
 
-    The largest score is taken off first; both sums are partial aggregates.
+    The largest score is taken off first; a link meets its value as one vector.
     """
     s = links.withColumn("s", dot(F.col("q"), F.col("k")) / math.sqrt(size)).select("b", "h", "qpos", "kpos", "s")
     top = s.groupBy("b", "h", "qpos").agg(F.max("s").alias("m"))
     e = s.join(top, ["b", "h", "qpos"]).withColumn("e", F.exp(F.col("s") - F.col("m")))
-    v = values.select("b", "h", F.col("pos").alias("kpos"), F.posexplode("vec").alias("d", "x"))
-    return e.join(v, ["b", "h", "kpos"]).groupBy("b", "h", "qpos", "d").agg((F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("value"))
+    v = values.select("b", "h", F.col("pos").alias("kpos"), "vec")
+    sums = e.join(v, ["b", "h", "kpos"]).groupBy("b", "h", "qpos").agg(F.sum("e").alias("e"), *_weighted(size, F.col("e"), F.col("vec")))
+    return _rows(sums.select("b", "h", "qpos", F.array(*(F.col(f"v{i}") / F.col("e") for i in range(size))).alias("vec")))
 
 
 def _phi(x: Column) -> Column:
     return F.when(x > 0, x + 1).otherwise(F.exp(x))
 
 
-def attend_linear(x: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """(b, h, qpos, d, value) with the feature map elu + 1: keys and values are summed before queries meet them."""
+def attend_linear(x: DataFrame, eps: float = 1e-6, valid: DataFrame | None = None) -> DataFrame:
+    """(b, h, qpos, d, value) with the feature map elu + 1: keys and values are summed before queries meet them.
+
+    With `valid` (b, pos) padded keys and values are zero before the map, so a padded key still adds 1 a feature to
+    the norm and nothing to the sum.
+    """
     features = F.transform(F.col("vec"), _phi)
-    k = x.select("b", "h", F.posexplode(features).alias("i", "f"), "vec")
+    keys = x
+    if valid is not None:
+        keys = x.join(valid.select("b", "pos", F.lit(True).alias("_valid")), ["b", "pos"], "left").withColumn("vec", F.when(F.col("_valid"), F.col("vec")).otherwise(F.transform("vec", lambda v: F.lit(0.0))))
+    k = keys.select("b", "h", F.posexplode(features).alias("i", "f"), "vec")
     kv = k.select("b", "h", "i", "f", F.posexplode("vec").alias("d", "v")).groupBy("b", "h", "i", "d").agg(F.sum(F.col("f") * F.col("v")).alias("kv"))
     z = k.groupBy("b", "h", "i").agg(F.sum("f").alias("z"))
     q = x.select("b", "h", F.col("pos").alias("qpos"), F.posexplode(features).alias("i", "f"))
@@ -100,20 +127,34 @@ def merge_heads(attended: DataFrame, size: int) -> DataFrame:
 
 
 def masked(links: DataFrame, valid: DataFrame) -> DataFrame:
-    """Links to keys that are no padding: valid (b, pos)."""
-    return links.join(valid.select("b", F.col("pos").alias("kpos")), ["b", "kpos"], "left_semi")
-
-
-def attend_blocked(links: DataFrame, values: DataFrame, size: int, block: int) -> DataFrame:
-    """attend() by blocks of keys: each block gives (m, l, acc), and blocks merge by rescaling to the greatest m."""
-    s = links.withColumn("s", dot(F.col("q"), F.col("k")) / math.sqrt(size)).withColumn("j", F.floor(F.col("kpos") / block)).select("b", "h", "qpos", "kpos", "j", "s")
-    v = values.select("b", "h", F.col("pos").alias("kpos"), F.posexplode("vec").alias("d", "x"))
-    part = s.groupBy("b", "h", "qpos", "j").agg(F.max("s").alias("m"))
-    e = s.join(part, ["b", "h", "qpos", "j"]).withColumn("e", F.exp(F.col("s") - F.col("m")))
-    state = e.join(v, ["b", "h", "kpos"]).groupBy("b", "h", "qpos", "d", "j", "m").agg(F.sum("e").alias("l"), F.sum(F.col("e") * F.col("x")).alias("acc"))
-    top = part.groupBy("b", "h", "qpos").agg(F.max("m").alias("top"))
+    """Links to keys that are no padding: valid (b, pos). A query all of whose links are padding keeps them all with the
+    same weight, as its vector is taken as zero: its result is the average of the values it is linked to."""
+    v = valid.select("b", F.col("pos").alias("kpos"), F.lit(True).alias("_valid"))
+    met = links.join(v, ["b", "kpos"], "left").withColumn("_valid", F.coalesce("_valid", F.lit(False)))
+    some = met.groupBy("b", "h", "qpos").agg(F.max("_valid").alias("_some"))
+    kept = met.join(some, ["b", "h", "qpos"]).where(F.col("_valid") | ~F.col("_some"))
+    return kept.withColumn("q", F.when(F.col("_some"), F.col("q")).otherwise(F.transform("q", lambda x: F.lit(0.0)))).drop("_valid", "_some")
+
+
+def attend_blocked(x: DataFrame, values: DataFrame, size: int, block: int, causal: bool = False) -> DataFrame:
+    """Full attention by blocks of keys: each block of keys and values is one row of arrays, a query meets a block at a
+    time and keeps (m, l, acc), and blocks merge by rescaling to the greatest m. No row a pair of positions is made."""
+    size_type = "array<struct<kpos:bigint,k:array<double>,v:array<double>>>"
+    pair = x.select("b", "h", "pos", "vec").join(values.select("b", "h", "pos", F.col("vec").alias("v")), ["b", "h", "pos"])
+    blocks = pair.groupBy("b", "h", F.floor(F.col("pos") / block).alias("j")).agg(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("kpos"), F.col("vec").alias("k"), "v")).cast(size_type).alias("ks"))  # at most a block
+    met = x.select("b", "h", F.col("pos").alias("qpos"), F.col("vec").alias("q")).join(blocks, ["b", "h"])
+    if causal:
+        met = met.where(F.col("j") * block <= F.col("qpos")).withColumn("ks", F.filter("ks", lambda y: y["kpos"] <= F.col("qpos"))).where(F.size("ks") > 0)
+    scored = met.select("b", "h", "qpos", "ks", F.transform("ks", lambda y: dot(F.col("q"), y["k"]) / math.sqrt(size)).alias("s"))
+    scored = scored.withColumn("m", F.array_max("s")).withColumn("e", F.transform("s", lambda y: F.exp(y - F.col("m"))))
+    total = F.aggregate("e", F.lit(0.0), lambda s, y: s + y)
+    zero = F.array(*(F.lit(0.0) for _ in range(size)))
+    acc = F.aggregate(F.arrays_zip("e", "ks"), zero, lambda s, y: F.zip_with(s, y["ks"]["v"], lambda p, r: p + y["e"] * r))
+    state = scored.select("b", "h", "qpos", "m", total.alias("l"), acc.alias("acc"))
+    top = state.groupBy("b", "h", "qpos").agg(F.max("m").alias("top"))
     scaled = state.join(top, ["b", "h", "qpos"]).withColumn("c", F.exp(F.col("m") - F.col("top")))
-    return scaled.groupBy("b", "h", "qpos", "d").agg((F.sum(F.col("c") * F.col("acc")) / F.sum(F.col("c") * F.col("l"))).alias("value"))
+    sums = scaled.groupBy("b", "h", "qpos").agg(F.sum(F.col("c") * F.col("l")).alias("l"), *_weighted(size, F.col("c"), F.col("acc")))
+    return _rows(sums.select("b", "h", "qpos", F.array(*(F.col(f"v{i}") / F.col("l") for i in range(size))).alias("vec")))
 
 
 def _vectors(attended: DataFrame) -> DataFrame:

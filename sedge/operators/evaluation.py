@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.functions.numbers import ratio
+from sedge.functions.jsons import parse_object
+from sedge.functions.numbers import parse_float, ratio
 from sedge.operators.targets import FIELDS, LIMITS, bin_labels, consistency_error, make_bin
 
 SUBGROUPS = ("low_pce_lt_5", "mid_pce_5_to_15", "high_pce_gte_15")
@@ -70,28 +71,169 @@ def consistency_metrics(df: DataFrame, prefix: str = "p_") -> DataFrame:
     return df.agg(F.count(e).alias("n"), F.avg(e).alias("mae"), F.max(e).alias("max_error"))
 
 
+RANGE = "array<struct<field:string,value:double,low:double,high:double>>"
+LABEL = "array<struct<field:string,value:string,allowed:array<string>>>"
+MISMATCH = "array<struct<field:string,value:string,expected:string>>"
+VIOLATIONS = ("range_violations", "invalid_bin_labels", "bin_mismatches")
+
+
 def verification(values: dict[str, Column], labels: dict[str, Column], has_label: dict[str, Column], is_object: Column, threshold: float = 5.0) -> Column:
     """The checks of one prediction.
 
-    Range violations are named by field, label checks by "<field>_bin". A label that is given as null is invalid, one
-    that isn't given is skipped. Missing fields make a prediction invalid as to schema, not physically inconsistent.
+    Violations say what was found and what would be right: (field, value, low, high) of numbers out of their limits,
+    ("<field>_bin", value, allowed) of unknown labels and ("<field>_bin", value, expected) of labels that don't fit
+    their number. A label that is given as null is unknown, one that isn't given is skipped. Missing fields make a
+    prediction invalid as to schema, not physically inconsistent.
     """
-    ranges = F.array_compact(F.array(*(F.when((v < LIMITS[f][0]) | (v > LIMITS[f][1]), F.lit(f)) for f, v in values.items())))
-    invalid = F.array_compact(F.array(*(F.when(has_label[f] & ~F.coalesce(labels[f].isin(bin_labels(f)), F.lit(False)), F.lit(f"{f}_bin")) for f in FIELDS)))
-    wrong = F.array_compact(F.array(*(F.when(labels[f].isin(bin_labels(f)) & (labels[f] != make_bin(f, values[f])), F.lit(f"{f}_bin")) for f in FIELDS)))
+
+    def listed(items: list[Column], kind: str) -> Column:
+        found = F.array_compact(F.array(*items)).cast(kind)
+        return F.when(is_object, found).otherwise(F.array().cast(kind))
+
+    def item(when: Column, **parts: Column) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(*(c.alias(n) for n, c in parts.items())))
+
+    known = {f: F.coalesce(labels[f].isin(bin_labels(f)), F.lit(False)) for f in FIELDS}
+    ranges = [item((v < LIMITS[f][0]) | (v > LIMITS[f][1]), field=F.lit(f), value=v, low=F.lit(LIMITS[f][0]), high=F.lit(LIMITS[f][1])) for f, v in values.items()]
+    invalid = [item(has_label[f] & ~known[f], field=F.lit(f"{f}_bin"), value=labels[f], allowed=F.array(*map(F.lit, sorted(bin_labels(f))))) for f in FIELDS]
+    wrong = [item(known[f] & (labels[f] != make_bin(f, values[f])), field=F.lit(f"{f}_bin"), value=labels[f], expected=make_bin(f, values[f])) for f in FIELDS]
     missing = F.array_compact(F.array(*(F.when(v.isNull(), F.lit(f)) for f, v in values.items())))
     error = consistency_error(*(values[f] for f in FIELDS))
-    bad = (F.size(ranges) > 0) | (F.size(invalid) > 0) | (F.size(wrong) > 0) | F.coalesce(error > threshold, F.lit(False))
-    empty = F.array().cast("array<string>")
-    return F.struct(
-        F.when(is_object, bad).otherwise(True).alias("physically_inconsistent"),
+    found = F.struct(
         (is_object & (F.size(missing) == 0)).alias("schema_valid"),
         F.when(is_object, error).alias("pce_consistency_error"),
-        F.when(is_object, ranges).otherwise(empty).alias("range_violations"),
-        F.when(is_object, invalid).otherwise(empty).alias("invalid_bin_labels"),
-        F.when(is_object, wrong).otherwise(empty).alias("bin_mismatches"),
+        listed(ranges, RANGE).alias("range_violations"),
+        listed(invalid, LABEL).alias("invalid_bin_labels"),
+        listed(wrong, MISMATCH).alias("bin_mismatches"),
         F.when(is_object, missing).otherwise(F.array(*map(F.lit, FIELDS))).alias("missing_fields"),
     )
+    bad = sum((F.size(found[n]) for n in VIOLATIONS), F.lit(0)) > 0
+    return F.struct(F.when(is_object, bad | F.coalesce(error > threshold, F.lit(False))).otherwise(True).alias("physically_inconsistent"), *(found[n].alias(n) for n in ("schema_valid", "pce_consistency_error", *VIOLATIONS, "missing_fields")))
+
+
+def payload(parsed: Column, text: Column) -> Column:
+    """A record's JSON answer: the object that is already parsed, else the one in the text, null where there is none."""
+    return F.coalesce(parsed, parse_object(text))
+
+
+def parsed_predictions(records: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., p_json, t_json, p_<field>, t_<field>, check) of prediction records (prediction_text, ground_truth_text
+    and, if there, prediction_json, ground_truth_json): whether each answer is an object, its numbers, and its checks."""
+    def answer(name: str) -> Column:
+        return payload(F.col(f"{name}_json"), F.col(f"{name}_text")) if f"{name}_json" in records.columns else parse_object(F.col(f"{name}_text"))
+
+    rows = records.select(*keep, answer("prediction").alias("_p"), answer("ground_truth").alias("_t"))
+
+    def number(side: str, f: str) -> Column:
+        return parse_float(F.try_element_at(F.col(f"{side}.prediction"), F.lit(f)))
+
+    p = F.col("_p.prediction")
+    values = {f: number("_p", f) for f in FIELDS}
+    labels = {f: F.try_element_at(p, F.lit(f"{f}_bin")) for f in FIELDS}
+    has = {f: F.coalesce(F.map_contains_key(p, f"{f}_bin"), F.lit(False)) for f in FIELDS}
+    return rows.select(
+        *keep, F.col("_p").isNotNull().alias("p_json"), F.col("_t").isNotNull().alias("t_json"), *(c.alias(f"p_{f}") for f, c in values.items()), *(number("_t", f).alias(f"t_{f}") for f in FIELDS),
+        verification(values, labels, has, p.isNotNull()).alias("check"),
+    )
+
+
+def _cells(parsed: DataFrame) -> DataFrame:
+    """One row a (field, subgroup, truth bin, prediction bin), with counts and moments that add up to any metric."""
+    long = pairs(parsed.withColumn("subgroup", subgroup(F.col("t_pce"))), "t_", "p_", "subgroup")
+    both = F.col("truth").isNotNull() & F.col("pred").isNotNull()
+    t, e = F.when(both, F.col("truth")), F.when(both, F.col("pred") - F.col("truth"))
+    return long.groupBy("field", "subgroup", _binned("truth").alias("truth_bin"), _binned("pred").alias("pred_bin")).agg(
+        F.count("*").alias("rows"), F.count(t).alias("n"), F.sum(F.abs(e)).alias("abs"), F.sum(e * e).alias("squares"),
+        F.avg(t).alias("mean"), (F.var_pop(t) * F.count(t)).alias("spread"), F.min(t).alias("low"), F.max(t).alias("high"),
+    )
+
+
+def _regression(cells: list) -> dict:
+    n = sum(c["n"] for c in cells)
+    if not n:
+        return {"count": 0, "mae": None, "rmse": None, "r2": None}
+    given = [c for c in cells if c["n"]]
+    mean = sum(c["n"] * c["mean"] for c in given) / n
+    total = sum(c["spread"] + c["n"] * (c["mean"] - mean) ** 2 for c in given)
+    squares = sum(c["squares"] for c in given)
+    constant = min(c["low"] for c in given) == max(c["high"] for c in given)
+    return {"count": n, "mae": sum(c["abs"] for c in given) / n, "rmse": (squares / n) ** 0.5, "r2": None if constant else 1 - squares / total}
+
+
+def _rate(part: int, whole: int) -> float | None:
+    return part / whole if whole else None
+
+
+def _accuracy(cells: list) -> dict:
+    n = sum(c["n"] for c in cells)
+    return {"count": n, "accuracy": _rate(sum(c["n"] for c in cells if c["truth_bin"] == c["pred_bin"]), n)}
+
+
+def _is_field(name: str):
+    return lambda x: x["field"] == name
+
+
+def _of_kind(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["field"].alias("field"))
+
+
+def compute_metrics(records: DataFrame) -> dict:
+    """The evaluation of prediction records as one nested document, from two aggregations over all records.
+
+    The first counts cells of (field, subgroup, truth bin, prediction bin), a few hundred whatever the number of
+    records, from which every metric by field, bin and subgroup adds up; the second has the checks.
+    """
+    parsed = parsed_predictions(records)
+    cells = _cells(parsed).collect()  # at most fields x subgroups x bins x bins
+    c, e = F.col("check"), F.col("check")["pce_consistency_error"]
+    named = {f"{v}.{name}": F.sum(F.size(F.filter(c[v], _is_field(name)))) for v in VIOLATIONS for name in (FIELDS if v == "range_violations" else [f"{f}_bin" for f in FIELDS])}
+    sums = parsed.agg(
+        F.count("*").alias("rows"), F.count_if("p_json").alias("p_json"), F.count_if("t_json").alias("t_json"), F.count_if(c["physically_inconsistent"]).alias("bad"), F.count_if(~c["schema_valid"]).alias("invalid"),
+        F.count(e).alias("n"), F.avg(e).alias("mae"), F.max(e).alias("max"), *(x.alias(n.replace(".", "/")) for n, x in named.items()),
+    ).first()
+    total = sums["rows"]
+    by = {f: [x for x in cells if x["field"] == f] for f in FIELDS}
+    groups = {g: {f: [x for x in by[f] if x["subgroup"] == g] for f in FIELDS} for g in SUBGROUPS}
+
+    def validity(own: list) -> dict:
+        p, t = (sum(x["rows"] for x in own if x[side] is not None) for side in ("pred_bin", "truth_bin"))
+        n = sum(x["n"] for x in own)
+        return {"predicted_count": p, "truth_count": t, "comparable_count": n, "prediction_validity_rate": _rate(p, total), "truth_validity_rate": _rate(t, total), "comparable_rate": _rate(n, total)}
+
+    def confusion(f: str) -> dict:
+        return {t: {p: sum(x["n"] for x in by[f] if (x["truth_bin"], x["pred_bin"]) == (t, p)) for p in bin_labels(f)} for t in bin_labels(f)}
+
+    return {
+        "rows": total,
+        "json_validity_rate": _rate(sums["p_json"], total),
+        "ground_truth_validity_rate": _rate(sums["t_json"], total),
+        "field_validity": {f: validity(own) for f, own in by.items()},
+        "field_metrics": {f: _regression(own) for f, own in by.items()},
+        "physical_consistency": {"count": sums["n"], "mae": sums["mae"], "max": sums["max"]},
+        "physics_verification": {
+            "physically_inconsistent_count": sums["bad"], "physically_inconsistent_rate": _rate(sums["bad"], total), "schema_invalid_count": sums["invalid"], "schema_invalid_rate": _rate(sums["invalid"], total),
+            "pce_consistency_count": sums["n"], "pce_consistency_mae": sums["mae"], "pce_consistency_max": sums["max"],
+            **{v: {name.split(".")[1]: n for name in named if name.startswith(v + ".") and (n := sums[name.replace(".", "/")])} for v in VIOLATIONS},
+        },
+        "bin_accuracy": {f: _accuracy(own) for f, own in by.items()},
+        "bin_confusion": {f: confusion(f) for f in FIELDS},
+        "pce_subgroups": {g: {"rows": sum(x["rows"] for x in own["pce"]), "field_metrics": {f: _regression(x) for f, x in own.items()}, "bin_accuracy": {f: _accuracy(x) for f, x in own.items()}} for g, own in groups.items()},
+        "missing_prediction_rate": {f: _rate(sum(x["rows"] for x in own if x["pred_bin"] is None), total) for f, own in by.items()},
+    }
+
+
+def flat_document(document: dict, prefix: str = "") -> list[tuple[str, object]]:
+    """(dotted name, value) of the leaves of a nested document, sorted."""
+    out = []
+    for k, v in document.items():
+        name = f"{prefix}.{k}" if prefix else k
+        out += flat_document(v, name) if isinstance(v, dict) else [(name, v)]
+    return sorted(out)
+
+
+def metrics_table(spark: SparkSession, document: dict) -> DataFrame:
+    """(metric, value) of a document: the form that write_metrics() takes."""
+    return spark.createDataFrame([(n, None if v is None else float(v)) for n, v in flat_document(document)], "metric string, value double")
 
 
 def verification_summary(checks: DataFrame, column: str = "check") -> DataFrame:
@@ -100,8 +242,15 @@ def verification_summary(checks: DataFrame, column: str = "check") -> DataFrame:
     return checks.agg(n.alias("n"), F.count_if(c["physically_inconsistent"]).alias("n_inconsistent"), F.count_if(c["schema_valid"]).alias("n_schema_valid"), ratio(F.count_if(c["physically_inconsistent"]), n).alias("inconsistent_rate"), ratio(F.count_if(c["schema_valid"]), n).alias("schema_valid_rate"))
 
 
-def violation_counts(checks: DataFrame, key: str, column: str = "check") -> DataFrame:
-    return checks.select(F.explode(F.col(column)[key]).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+def violations(checks: DataFrame, key: str, *keep: str, column: str = "check") -> DataFrame:
+    """(keep..., field, value, ...): one row a violation of a kind, with its details."""
+    return checks.select(*keep, F.explode(F.col(column)[key]).alias("_x")).select(*keep, "_x.*")
+
+
+def violation_counts(checks: DataFrame, column: str = "check") -> DataFrame:
+    """(kind, field, n) over the kinds of violations: one pass."""
+    each = F.flatten(F.array(*(F.transform(F.col(column)[v], _of_kind(v)) for v in VIOLATIONS)))
+    return checks.select(F.explode(each).alias("x")).select("x.*").groupBy("kind", "field").agg(F.count("*").alias("n"))
 
 
 def flatten_metrics(row: DataFrame, prefix: str = "") -> DataFrame:

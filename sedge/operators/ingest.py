@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +68,15 @@ def uncovered_captions(blocks: DataFrame, found: DataFrame, doc: str = "doc_id")
 
 
 def largest_by_caption(figures: DataFrame, doc: str, caption: str, size: str, order: str) -> DataFrame:
-    """The largest figure of each caption, the earliest of equals, numbered by page and caption from 1."""
-    w = Window.partitionBy(doc, caption).orderBy(F.desc(size), order)
-    kept = figures.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return kept.withColumn("figure_number", F.row_number().over(Window.partitionBy(doc).orderBy("page", caption)))
+    """The largest figure of each caption, the earliest of equals, numbered by page and caption from 1.
+
+    The largest is an aggregate that combines before the shuffle; only a document's kept figures are ranked.
+    """
+    rest = [c for c in figures.columns if c not in (doc, caption)]
+    # sizes compare before orders: the greatest size, then the least order
+    best = F.min_by(F.struct(*rest), F.struct((-F.col(size)).alias("s"), F.col(order).alias("o")))
+    kept = figures.groupBy(doc, caption).agg(best.alias("_b")).select(doc, caption, *(F.col("_b")[c].alias(c) for c in rest))
+    return kept.select(*figures.columns).withColumn("figure_number", F.row_number().over(Window.partitionBy(doc).orderBy("page", caption)))
 
 
 def enrich_captions(figures: DataFrame, sections: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -83,16 +91,70 @@ def full_text(sections: dict[str, Column]) -> Column:
     return F.concat_ws("\n\n", *(F.nullif(F.trim(sections[s]), F.lit("")) for s in SECTION_ORDER if s in sections))
 
 
+_TEI = "{http://www.tei-c.org/ns/1.0}"
+#: What a TEI document holds: metadata, sections in order (with their head), and captions of figures.
+TEI = "struct<title:string,doi:string,abstract:string,sections:array<struct<ord:int,head:string,text:string>>,captions:array<string>,error:string>"
+
+
+def _said(e) -> str:
+    """All text of an element with single blanks."""
+    return " ".join("".join(e.itertext()).split()) if e is not None else ""
+
+
+def read_tei(xml: str | None) -> dict:
+    """The parts of one TEI document. Sections are the divisions directly below the body that have paragraphs, with
+    their paragraphs apart; the abstract isn't one of them. Malformed XML gives an error and nothing else."""
+    import xml.etree.ElementTree as ET
+
+    none = {"title": None, "doi": None, "abstract": None, "sections": [], "captions": [], "error": None}
+    try:
+        root = ET.fromstring((xml or "").encode("utf-8"))
+    except ET.ParseError as e:
+        return none | {"error": str(e)}
+    t = _TEI if root.tag.startswith(_TEI) else ""
+
+    def first(path: str):
+        return root.find(f".//{t}teiHeader//{path}")
+
+    sections = []
+    for division in root.findall(f".//{t}body/{t}div"):
+        said = [x for x in map(_said, division.findall(f"{t}p")) if x]
+        if said:
+            sections.append({"ord": len(sections) + 1, "head": _said(division.find(f"{t}head")) or None, "text": "\n\n".join(said)})
+    captions = [c for f in root.iter(f"{t}figure") if (c := f"{_said(f.find(f'{t}head'))} {_said(f.find(f'{t}figDesc'))}".strip())]
+    about = {"title": _said(first(f"{t}title[@level='a']")), "doi": _said(first(f"{t}idno[@type='DOI']")), "abstract": _said(first(f"{t}abstract"))}
+    return none | {k: v or None for k, v in about.items()} | {"sections": sections, "captions": captions}
+
+
+def tei(df: DataFrame, xml: str, out: str = "tei") -> DataFrame:
+    """Adds the parts of TEI documents (see TEI): each is parsed once, in Arrow batches."""
+
+    @F.pandas_udf(TEI)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([read_tei(x if isinstance(x, str) else None) for x in s], columns=["title", "doi", "abstract", "sections", "captions", "error"])
+
+    return df.withColumn(out, run.asNondeterministic()(F.col(xml)))
+
+
 def tei_sections(df: DataFrame, xml: str, *keep: str) -> DataFrame:
     """(keep..., ord, head, section, text) of the divisions of TEI documents."""
-    x = F.col(xml)
-    n = F.xpath_int(x, F.lit("count(//body/div)"))
-    rows = df.select(*keep, x.alias("_x"), n.alias("_n")).where("_n > 0").withColumn("ord", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    head = F.expr("array_join(xpath(_x, '//body/div/head/text()'), '\u0001')")
-    heads = F.split(head, "\u0001")
-    cut = F.expr("regexp_extract_all(_x, '(?s)<div[^>]*>(.*?)</div>', 1)")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.get(cut, F.col("ord") - 1), r"(?s)<head[^>]*>.*?</head>", ""), "<[^>]+>", " "), r"\s+", " "))
-    return rows.select(*keep, "ord", F.get(heads, F.col("ord") - 1).alias("head"), plain.alias("text")).withColumn("section", classify_heading(F.col("head")))
+    rows = tei(df, xml, "_tei").select(*keep, F.explode("_tei.sections").alias("_s")).select(*keep, "_s.*")
+    return rows.withColumn("section", classify_heading(F.col("head")))
+
+
+def sections_by_class(sections: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., section, text): the sections of a class in their order; those of no class with their heads."""
+    labelled = F.when((F.col("section") == "other") & F.col("head").isNotNull(), F.concat(F.lit("["), "head", F.lit("]\n"), "text")).otherwise(F.col("text"))
+    lists = sections.groupBy(*keep, "section").agg(F.array_sort(F.collect_list(F.struct("ord", labelled.alias("text")))).alias("x"))  # one document's
+    return lists.select(*keep, "section", F.array_join(F.transform("x", lambda y: y["text"]), "\n\n").alias("text"))
+
+
+def is_tei(status: Column, body: Column) -> Column:
+    """Whether a service's answer is a TEI document: full or partial content that starts as one (a page that says the
+    service is waking up doesn't)."""
+    s = F.trim(body)
+    return F.coalesce(status.isin(200, 206) & (s.startswith("<?xml") | F.substring(s, 1, 200).contains("<TEI ")), F.lit(False))
 
 
 def table_text(headers: Column, rows: Column) -> Column:

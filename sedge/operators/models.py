@@ -3,33 +3,49 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.missing import meaningful
 from sedge.functions.numbers import parse_float
+from sedge.functions.splits import split_name
+from sedge.operators import prompts, targets
+from sedge.operators.evaluation import regression_metrics
+from sedge.operators.profile import leaks_target, rare_features
 
 MAX_CATEGORIES = 50
 
 
 def numeric_columns(df: DataFrame, columns: list[str], share: float = 0.9) -> list[str]:
-    """Columns of which at least that share of the given values are numbers; one pass."""
-    row = df.agg(*(F.try_divide(F.count(parse_float(F.col(c))).cast("double"), F.count(meaningful(F.col(c)))).alias(c) for c in columns)).first()
-    return [c for c in columns if row[c] is not None and row[c] >= share]
+    """Columns that hold a number in at least that share of all rows, missing ones counted; one pass."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    row = df.agg(*((F.count(parse_float(F.col(c))) / n).alias(c) for c in columns)).first()
+    return [c for c in columns if row[c] >= share]
+
+
+def safe_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that are there and don't tell the target, each once, in their order."""
+    return [c for c in dict.fromkeys(columns) if c in df.columns and c not in targets.TARGET_COLUMNS.values() and not leaks_target(c)]
+
+
+def feature_columns(df: DataFrame, representation: str = "core_rare", id_column: str = "row_id") -> list[str]:
+    """The features of a representation: the core columns, the secondary ones, and those of the rows' rare features."""
+    if representation not in ("core", "core_secondary", "core_rare", "hierarchical"):
+        raise ValueError(f"unknown feature representation: {representation}")
+    columns = list(prompts.PRIMARY_COLUMNS)
+    if representation in ("core_secondary", "hierarchical"):
+        columns += prompts.SECONDARY_COLUMNS
+    if representation in ("core_rare", "hierarchical"):
+        rare = rare_features(df, id_column, [c for c, t in df.dtypes if t == "string"], prompts.LISTED_COLUMNS)
+        columns += sorted(r["column_name"] for r in rare.select("column_name").distinct().collect())  # at most the table's columns
+    return safe_columns(df, columns)
 
 
 def prepare(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Numbers with the exact median for missing ones, categories with "missing"; rare categories become "other"."""
-    out = df.withColumns({c: parse_float(F.col(c)) for c in numeric} | {c: F.coalesce(meaningful(F.col(c)), F.lit("missing")) for c in categorical})
-    if numeric:
-        medians = out.agg(*(F.percentile(c, 0.5).alias(c) for c in numeric)).first()
-        out = out.fillna({c: medians[c] if medians[c] is not None else 0.0 for c in numeric})
-    for c in categorical:
-        top = [r[c] for r in out.groupBy(c).count().orderBy(F.desc("count"), c).limit(MAX_CATEGORIES - 1).collect()]
-        out = out.withColumn(c, F.when(F.col(c).isin(top), F.col(c)).otherwise("other"))
-    return out
+    """Numbers as doubles, null where there is none, and categories with "missing": row by row, nothing is learned."""
+    return df.withColumns({c: parse_float(F.col(c)) for c in numeric} | {c: F.coalesce(meaningful(F.col(c)), F.lit("missing")) for c in categorical})
 
 
 def ridge(target: str, alpha: float, n: int, deviation: float) -> LinearRegression:
@@ -37,14 +53,44 @@ def ridge(target: str, alpha: float, n: int, deviation: float) -> LinearRegressi
     return LinearRegression(labelCol=target, elasticNetParam=0.0, standardization=False, solver="normal", regParam=alpha * deviation / n)
 
 
-def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str, model: str = "ridge", alpha: float = 1.0, trees: int = 200, depth: int = 24) -> PipelineModel:
-    """A pipeline fitted on prepared rows: ridge (one-hot), random_forest or gradient_boosting (ordinal)."""
+def _frequent(df: DataFrame, categorical: list[str]) -> dict[str, list[str]]:
+    """The MAX_CATEGORIES - 1 most frequent values of each column."""
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical))).alias("x")).select("x.*")
+    counts = cells.groupBy("c", "v").agg(F.count("*").alias("n"))
+    return {c: [r["v"] for r in counts.where(F.col("c") == c).orderBy(F.desc("n"), "v").limit(MAX_CATEGORIES - 1).collect()] for c in categorical}
+
+
+class Fitted:
+    """A pipeline with the frequent values that were learned with it."""
+
+    def __init__(self, frequent: dict[str, list[str]], pipeline: PipelineModel):
+        self.frequent, self.pipeline = frequent, pipeline
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(_grouped(df, self.frequent))
+
+
+def _grouped(df: DataFrame, frequent: dict[str, list[str]]) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c).isin(top), F.col(c)).otherwise("other") for c, top in frequent.items()})
+
+
+def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str, model: str = "ridge", alpha: float = 1.0, trees: int = 200, depth: int = 24) -> Fitted:
+    """A pipeline fitted on prepared training rows, with all that it learns from them: medians, scales, categories.
+
+    ridge takes categories one-hot, the frequent ones by themselves; random_forest and gradient_boosting as ordinals.
+    A column without any number in the training rows is left out.
+    """
+    given = df.agg(*(F.count(c).alias(c) for c in numeric)).first() if numeric else {}
+    numeric = [c for c in numeric if given[c]]
+    frequent = _frequent(df, categorical) if categorical else {}
+    df = _grouped(df, frequent)
     stages = [StringIndexer(inputCols=categorical, outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep")] if categorical else []
     inputs = [f"{c}_i" for c in categorical]
     if model == "ridge" and categorical:
         stages.append(OneHotEncoder(inputCols=inputs, outputCols=[f"{c}_h" for c in categorical]))
         inputs = [f"{c}_h" for c in categorical]
-    stages += [VectorAssembler(inputCols=numeric, outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_s", withMean=True)] if numeric else []
+    filled = [f"{c}_f" for c in numeric]
+    stages += [Imputer(strategy="median", relativeError=1e-6, inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_s", withMean=True)] if numeric else []
     stages.append(VectorAssembler(inputCols=(["_s"] if numeric else []) + inputs, outputCol="features"))
     if model == "ridge":
         row = df.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("d")).first()
@@ -55,4 +101,37 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str,
         stages.append(GBTRegressor(labelCol=target, maxIter=trees, stepSize=0.05, maxDepth=min(depth, 4), subsamplingRate=0.85, maxBins=128, seed=17))
     else:
         raise ValueError(f"unknown model: {model}")
-    return Pipeline(stages=stages).fit(df)
+    return Fitted(frequent, Pipeline(stages=stages).fit(df))
+
+
+def _split(df: DataFrame, split_key: str, train: float, validation: float, seed: int) -> DataFrame:
+    """Rows with targets within their limits, and their split by key; rows without a key are left out."""
+    rows = targets.valid_rows(df, max_error=None)
+    return rows.withColumn("split", split_name(meaningful(F.col(split_key)), train, validation, seed)).where("split IS NOT NULL")
+
+
+def run_rows(df: DataFrame, split_key: str = "Ref_DOI_number", train: float = 0.8, validation: float = 0.1, seed: int = 17) -> DataFrame:
+    """(rows_total, rows_used, train_rows, test_rows): what a baseline is fitted and tested on."""
+    s = _split(df, split_key, train, validation, seed).agg(F.count_if(F.col("split").isin("train", "test")).alias("rows_used"), F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"))
+    return df.agg(F.count("*").alias("rows_total")).join(s).select("rows_total", "rows_used", "train_rows", "test_rows")  # one row each
+
+
+def baseline(df: DataFrame, representation: str = "core_rare", model: str = "ridge", split_key: str = "Ref_DOI_number", id_column: str = "row_id", seed: int = 17, **more) -> tuple[dict, DataFrame]:
+    """The summary of a run, and (field, n, mae, rmse, r2) of its four targets on the test rows.
+
+    Everything that is learned is learned from the training rows; which columns are numeric is told by them too.
+    """
+    columns = feature_columns(targets.valid_rows(df, max_error=None), representation, id_column)
+    rows = _split(df, split_key, 0.8, 0.1, seed)
+    train = rows.where("split = 'train'")
+    numeric = numeric_columns(train, columns)
+    categorical = [c for c in columns if c not in numeric]
+    prepared = prepare(rows, numeric, categorical)
+    test, metrics = prepared.where("split = 'test'"), None
+    for field in targets.FIELDS:
+        fitted = fit(prepared.where("split = 'train'"), numeric, categorical, field, model, **more)
+        own = regression_metrics(fitted.transform(test).select(F.lit(field).alias("field"), F.col(field).alias("truth"), F.col("prediction").alias("pred")))
+        metrics = own if metrics is None else metrics.unionByName(own)
+    counts = run_rows(df, split_key, seed=seed).first().asDict()
+    summary = {"model": model, "representation": representation, "split_key": split_key, "feature_count": len(columns), "feature_columns": columns, **counts}
+    return summary, metrics

@@ -57,6 +57,8 @@ def rare_features(df: DataFrame, id_column: str, columns: list[str], used: tuple
     AQE's choice as a broadcast; a window over one row's own cells ranks them.
     """
     columns = [c for c in columns if not leaks(c) and c not in used]
+    if not columns:
+        return df.select(id_column, F.lit(0).alias("position"), F.lit("").alias("column_name"), F.lit("").alias("value")).where("false")
     counts = value_counts(df, columns)
     stats = counts.join(nonempty_counts(counts).select("column_name", "nonempty"), "column_name")
     found = cells(df, columns, id_column).join(stats, ["column_name", "value"]).where(is_rare(F.lit(df.count()), coverage, frequency))

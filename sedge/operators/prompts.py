@@ -25,6 +25,8 @@ SECONDARY_COLUMNS = (
     "HTL_thickness_list", "HTL_additives_concentrations", "HTL_deposition_procedure", "HTL_deposition_solvents", "HTL_deposition_solvents_mixing_ratios", "HTL_deposition_thermal_annealing_temperature", "HTL_deposition_thermal_annealing_time", "Backcontact_deposition_procedure",
     "JV_light_masked_cell", "JV_light_mask_area", "JV_scan_speed", "JV_scan_delay_time", "JV_preconditioning_protocol",
 )
+#: Columns that are never rare features.
+LISTED_COLUMNS = (*PRIMARY_COLUMNS, *SECONDARY_COLUMNS)
 SECTIONS = {
     "Device": ("Cell_", "Module_"), "Substrate": ("Substrate_",), "ETL": ("ETL_",), "Perovskite absorber": ("Perovskite_",), "HTL": ("HTL_",), "Back contact": ("Backcontact_",),
     "Additional front layer": ("Add_lay_front",), "Additional back layer": ("Add_lay_back",), "Encapsulation": ("Encapsulation",), "JV measurement": ("JV_",),

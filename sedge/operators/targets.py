@@ -14,6 +14,8 @@ BIN_EDGES = {"pce": (0.0, 5.0, 10.0, 15.0, 20.0, 25.0), "voc": (0.0, 0.6, 0.8, 1
 LIMITS = {"pce": (0.0, 35.0), "voc": (0.0, 2.0), "jsc": (0.0, 35.0), "ff": (0.0, 1.0)}
 PROCESS_COLUMNS = ("Perovskite_deposition_procedure", "Perovskite_deposition_solvents", "Perovskite_deposition_thermal_annealing_temperature", "Perovskite_deposition_thermal_annealing_time", "ETL_stack_sequence", "HTL_stack_sequence", "Backcontact_stack_sequence")
 FIELDS = tuple(TARGET_COLUMNS)
+#: All columns that targets are made from.
+USED_COLUMNS = (*TARGET_COLUMNS.values(), *PROCESS_COLUMNS, "Cell_architecture", "Cell_stack_sequence", "Perovskite_composition_short_form", "Perovskite_composition_long_form")
 #: The sentences of a justification.
 SENTENCES = {
     "architecture": "The device architecture is {}.",
@@ -47,10 +49,15 @@ def _own_error() -> Column:
     return consistency_error(*(F.col(f) for f in FIELDS))
 
 
+def valid_targets(max_error: float | None = 5.0) -> Column:
+    """Whether all targets (with_targets) are given, within their limits and, unless max_error is None, consistent."""
+    good = within_limits({f: F.col(f) for f in FIELDS})
+    return good if max_error is None else good & (_own_error() <= max_error)
+
+
 def valid_rows(df: DataFrame, max_error: float | None = 5.0) -> DataFrame:
-    """Rows with all targets within their limits and, unless max_error is None, consistent."""
-    out = with_targets(df, drop_missing=True).where(within_limits({f: F.col(f) for f in FIELDS}))
-    return out if max_error is None else out.where(_own_error() <= max_error)
+    """The rows with valid targets."""
+    return with_targets(df, drop_missing=True).where(valid_targets(max_error))
 
 
 def bin_labels(field: str) -> list[str]:

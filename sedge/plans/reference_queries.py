@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from sedge.functions.jsons import parse_object
 from sedge.functions.missing import MISSING_TOKENS, meaningful
 from sedge.functions.numbers import parse_float
-from sedge.functions.splits import split_name
+from sedge.functions.splits import split_name, stable_bucket
 from sedge.operators import attention as att
 from sedge.operators import evaluation as ev
-from sedge.operators import grounding, ingest, models, profile, prompts, records, retrieval, review, sequences, targets, voting
+from sedge.operators import dataset, grounding, ingest, models, profile, prompts, records, retrieval, review, sequences, targets, voting
 from sedge.plans import sqltext as q
 from sedge.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-SYSTEM = "Answer with JSON that follows the requested schema for the described cell."
 #: The string columns of a device row, in file order.
 DEVICE_COLUMNS = [
     "Ref_ID", "Ref_DOI_number", "Ref_lead_author", "Ref_journal", "source", "Cell_architecture", "Cell_stack_sequence", "Cell_area_measured", "Perovskite_composition_short_form", "Perovskite_composition_long_form", "Perovskite_composition_a_ions", "Perovskite_composition_a_ions_coefficients",
@@ -45,19 +44,24 @@ def split_by_source(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(split_name(F.col("source"), 0.8, 0.1, 17).alias("split"), "lang").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH k AS (SELECT DISTINCT o_custkey, {q.split('CAST(o_custkey AS VARCHAR)')} AS split FROM orders), s AS (SELECT o_custkey, count(DISTINCT split) AS n FROM k GROUP BY 1)
-SELECT split, count(*) AS n_keys, count_if(n > 1) AS n_shared FROM k JOIN s USING (o_custkey) GROUP BY split""")
-def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "orders").select("o_custkey", split_name(F.col("o_custkey").cast("string"), 0.8, 0.1, 17).alias("split")).distinct()
-    s = k.groupBy("o_custkey").agg(F.countDistinct("split").alias("n"))
-    return k.join(s, "o_custkey").groupBy("split").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_shared"))
+@query(f"SELECT o_custkey, round({q.bucket('CAST(o_custkey AS VARCHAR)', 5)}, 9) AS bucket, CASE WHEN {q.bucket('CAST(o_custkey AS VARCHAR)', 5)} < 0.5 THEN 'train' WHEN {q.bucket('CAST(o_custkey AS VARCHAR)', 5)} < 0.75 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY ALL")
+def split_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each key's bucket and split under another seed and other ratios, over rows that repeat keys."""
+    key = F.col("o_custkey").cast("string")
+    return table(spark, d, "orders").groupBy("o_custkey", F.round(stable_bucket(key, 5), 9).alias("bucket"), split_name(key, 0.5, 0.25, 5).alias("split")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH v AS ({q.VALID}), k AS (SELECT coalesce({q.given('Ref_DOI_number')}, {q.given('Ref_ID')}) AS key FROM v)
-SELECT coalesce({q.split('key')}, 'none') AS split, count(*) AS n_written FROM k WHERE key IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH v AS ({q.VALID}), k AS (SELECT {q.given('Ref_DOI_number')} AS key FROM v)
+SELECT {q.split('key')} AS split, count(*) AS n_written FROM k WHERE key IS NOT NULL GROUP BY ALL""")
 def dataset_splits(spark: SparkSession, d: str) -> DataFrame:
-    v = targets.valid_rows(table(spark, d, "devices")).withColumn("key", F.coalesce(meaningful(F.col("Ref_DOI_number")), meaningful(F.col("Ref_ID")))).where("key IS NOT NULL")
-    return v.groupBy(split_name(F.col("key"), 0.8, 0.1, 17).alias("split")).agg(F.count("*").alias("n_written"))
+    v = dataset.marked(table(spark, d, "devices"), dataset.Config()).where("_split IS NOT NULL")
+    return v.groupBy(F.col("_split").alias("split")).agg(F.count("*").alias("n_written"))
+
+
+@query(f"""WITH v AS (SELECT coalesce({q.given('split_key')}, {q.given('Ref_DOI_number')}) AS key, coalesce({q.limits()} AND {q.ERROR} <= 5.0, false) AS good FROM ({q.TARGETS})), s AS (SELECT CASE WHEN good AND key IS NOT NULL THEN {q.split('key')} END AS split FROM v)
+SELECT count(*) AS rows_read, count_if(split IS NULL) AS rows_skipped, count(split) AS rows_written, count_if(split = 'train') AS train, count_if(split = 'validation') AS validation, count_if(split = 'test') AS test FROM s""")
+def build_summary(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.summary(table(spark, d, "devices"), dataset.Config(split_key="split_key"))
 
 
 # --- profile and rare features --------------------------------------------------------------------------------------
@@ -140,11 +144,13 @@ def prompt_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", prompts.hierarchical_prompt(t).alias("prompt"))
 
 
-@query()
+_SAID = "to_json({'prediction': {%s}})" % ", ".join([f"'{f}_bin': {q.binned(f, f)}" for f in targets.FIELDS] + [f"'{f}': round({f}, 4)" for f in targets.FIELDS])
+
+
+@query(f"""SELECT row_id, {q.split('key')} AS split, key AS split_key, '{dataset.SYSTEM}' AS system, {_CORE} AS user, {_SAID} AS assistant FROM (SELECT *, {q.given('Ref_DOI_number')} AS key FROM ({q.VALID})) WHERE key IS NOT NULL""")
 def chat_dataset(spark: SparkSession, d: str) -> DataFrame:
-    v = targets.valid_rows(table(spark, d, "devices")).withColumn("key", F.coalesce(meaningful(F.col("Ref_DOI_number")), meaningful(F.col("Ref_ID"))))
-    answer = F.to_json(targets.target_struct())
-    return v.select("row_id", split_name(F.col("key"), 0.8, 0.1, 17).alias("split"), prompts.messages(SYSTEM, prompts.core_prompt(v), answer).alias("messages"), "key")
+    e = dataset.examples(table(spark, d, "devices"), "row_id", dataset.Config(representation="core", schema="performance_only"))
+    return e.select("row_id", "split", "metadata.split_key", *(F.element_at("messages", i).getField("content").alias(n) for i, n in enumerate(("system", "user", "assistant"), 1)))
 
 
 # --- targets --------------------------------------------------------------------------------------------------------
@@ -243,13 +249,8 @@ def physical_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     """The checks of the assistants' answers in the chat examples."""
-    t = table(spark, d, "chat_examples")
-    answer = parse_object(sequences.first_of(F.col("messages"), "assistant"))
-    t = t.select("example_id", answer["prediction"].alias("p"))
-    values = {f: parse_float(F.try_element_at("p", F.lit(f))) for f in targets.FIELDS}
-    labels = {f: F.try_element_at("p", F.lit(f"{f}_bin")) for f in targets.FIELDS}
-    has = {f: F.coalesce(F.map_contains_key("p", f"{f}_bin"), F.lit(False)) for f in targets.FIELDS}
-    return t.select("example_id", ev.verification(values, labels, has, F.col("p").isNotNull()).alias("check"))
+    t = table(spark, d, "chat_examples").select("example_id", sequences.first_of(F.col("messages"), "assistant").alias("prediction_text"), F.lit(None).cast("string").alias("ground_truth_text"))
+    return ev.parsed_predictions(t, "example_id").select("example_id", "check")
 
 
 _ANSWER = "SELECT example_id, (list_filter(messages, lambda m: m.role = 'assistant')[1].content)::JSON AS j FROM chat_examples"
@@ -267,12 +268,23 @@ _CHECKS = f"SELECT example_id, ok, {', '.join(f'list_filter([{x}], lambda v: v I
 {', '.join(f"array_to_string({n}, ',') AS {n}" for n in _BAD)} FROM ({_CHECKS})""")
 def verify_predictions(spark: SparkSession, d: str) -> DataFrame:
     c = _checked(spark, d).select("example_id", "check.*")
-    return c.select("example_id", "physically_inconsistent", "schema_valid", F.round("pce_consistency_error", 6).alias("error"), *(F.array_join(n, ",").alias(n) for n in _BAD))
+    return c.select("example_id", "physically_inconsistent", "schema_valid", F.round("pce_consistency_error", 6).alias("error"), *(F.array_join(F.transform(n, lambda x: x["field"]), ",").alias(n) for n in ev.VIOLATIONS), F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
+_EACH = " UNION ALL ".join(f"SELECT '{v}' AS kind, unnest({v}) AS field FROM c" for v in ev.VIOLATIONS)
 
 
-@query(f"SELECT field, count(*) AS n FROM (SELECT unnest(invalid_bin_labels) AS field FROM ({_CHECKS})) GROUP BY field")
+@query(f"WITH c AS ({_CHECKS}) SELECT kind, field, count(*) AS n FROM ({_EACH}) GROUP BY ALL")
 def violation_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ev.violation_counts(_checked(spark, d), "invalid_bin_labels")
+    return ev.violation_counts(_checked(spark, d))
+
+
+@query(" UNION ALL ".join(f"SELECT row_id, '{f}' AS field, {f} AS value, {targets.LIMITS[f][0]} AS low, {targets.LIMITS[f][1]} AS high FROM ({q.TARGETS}) WHERE {f} < {targets.LIMITS[f][0]} OR {f} > {targets.LIMITS[f][1]}" for f in targets.FIELDS))
+def range_violations(spark: SparkSession, d: str) -> DataFrame:
+    t = targets.with_targets(table(spark, d, "devices"))
+    none = {f: F.lit(None).cast("string") for f in targets.FIELDS}
+    check = ev.verification({f: F.col(f) for f in targets.FIELDS}, none, {f: F.lit(False) for f in targets.FIELDS}, F.lit(True))
+    return ev.violations(t.select("row_id", check.alias("check")), "range_violations", "row_id")
 
 
 _WRONG = "len(range_violations) > 0 OR len(invalid_bin_labels) > 0 OR len(bin_mismatches) > 0 OR coalesce(error > 5, false)"
@@ -290,14 +302,101 @@ def flat_metrics(spark: SparkSession, d: str) -> DataFrame:
     return ev.flatten_metrics(row.select(F.struct("*").alias("checks")))
 
 
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction records of the held-out examples: as prediction the answer of the first training example of their paper."""
+    t = table(spark, d, "chat_examples").select("example_id", "split", F.col("metadata.split_key").alias("k"), sequences.first_of(F.col("messages"), "assistant").alias("answer"))
+    known = t.where("split = 'train' AND k IS NOT NULL").groupBy("k").agg(F.min_by("answer", "example_id").alias("prediction_text"))
+    return t.where("split <> 'train'").join(known, "k", "left").select("example_id", F.col("answer").alias("ground_truth_text"), "prediction_text")
+
+
+_PREDICTED = f"""t AS (SELECT example_id, split, metadata.split_key AS k, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS answer FROM chat_examples), b AS (SELECT k, arg_min(answer, example_id) AS prediction FROM t WHERE split = 'train' AND k IS NOT NULL GROUP BY k),
+j AS (SELECT example_id, answer::JSON AS tj, prediction::JSON AS pj FROM t LEFT JOIN b USING (k) WHERE split <> 'train'),
+r AS (SELECT example_id, tj IS NOT NULL AS t_json, pj IS NOT NULL AS p_json, coalesce(json_type(pj -> 'prediction') = 'OBJECT', false) AS ok, {', '.join(f"{q.number(f"({x}j -> 'prediction' ->> '{f}')")} AS {x}_{f}" for x in "tp" for f in targets.FIELDS)}, {', '.join(f"pj -> 'prediction' ->> '{f}_bin' AS {f}_bin" for f in targets.FIELDS)} FROM j),
+v AS (SELECT *, CASE WHEN ok THEN abs(p_pce - p_voc * p_jsc * p_ff) END AS error FROM r)"""
+
+
+def _document_sql() -> str:
+    """The document's metrics as columns of one row, turned into rows."""
+    both = {f: f"t_{f} IS NOT NULL AND p_{f} IS NOT NULL" for f in targets.FIELDS}
+    groups = dict(zip(ev.SUBGROUPS, ("t_pce < 5", "t_pce >= 5 AND t_pce < 15", "t_pce >= 15")))
+    labels = {f: ", ".join(map(repr, targets.bin_labels(f))) for f in targets.FIELDS}
+    n, out, few = "count(*)", {}, {}
+
+    def rate(part: str, whole: str = n) -> str:
+        return f"count_if({part}) / nullif({whole}, 0)"
+
+    def errors(at: str, f: str, where: str = "true") -> None:
+        w = f"FILTER (WHERE {both[f]} AND {where})"
+        out[f"{at}.field_metrics.{f}.count"] = f"count(*) {w}"
+        out[f"{at}.field_metrics.{f}.mae"] = f"avg(abs(p_{f} - t_{f})) {w}"
+        out[f"{at}.field_metrics.{f}.rmse"] = f"sqrt(avg((p_{f} - t_{f}) ^ 2) {w})"
+        out[f"{at}.field_metrics.{f}.r2"] = f"CASE WHEN min(t_{f}) {w} < max(t_{f}) {w} THEN 1 - sum((p_{f} - t_{f}) ^ 2) {w} / (var_pop(t_{f}) {w} * count(*) {w}) END"
+        same = f"{q.binned(f, f't_{f}')} = {q.binned(f, f'p_{f}')}"
+        out[f"{at}.bin_accuracy.{f}.count"] = f"count(*) {w}"
+        out[f"{at}.bin_accuracy.{f}.accuracy"] = f"count_if({same}) {w} / nullif(count(*) {w}, 0)"
+
+    out |= {"rows": n, "json_validity_rate": rate("p_json"), "ground_truth_validity_rate": rate("t_json")}
+    for f in targets.FIELDS:
+        for name, part in (("predicted_count", f"p_{f} IS NOT NULL"), ("truth_count", f"t_{f} IS NOT NULL"), ("comparable_count", both[f])):
+            out[f"field_validity.{f}.{name}"] = f"count_if({part})"
+        for name, part in (("prediction_validity_rate", f"p_{f} IS NOT NULL"), ("truth_validity_rate", f"t_{f} IS NOT NULL"), ("comparable_rate", both[f])):
+            out[f"field_validity.{f}.{name}"] = rate(part)
+        out[f"missing_prediction_rate.{f}"] = rate(f"p_{f} IS NULL")
+        errors("", f)
+        for a in targets.bin_labels(f):
+            for b in targets.bin_labels(f):
+                out[f"bin_confusion.{f}.{a}.{b}"] = f"count_if({q.binned(f, f't_{f}')} = '{a}' AND {q.binned(f, f'p_{f}')} = '{b}')"
+        for g, where in groups.items():
+            errors(f"pce_subgroups.{g}", f, where)
+        few[f"range_violations.{f}"] = f"ok AND (p_{f} < {targets.LIMITS[f][0]} OR p_{f} > {targets.LIMITS[f][1]})"
+        few[f"invalid_bin_labels.{f}_bin"] = f"ok AND {f}_bin NOT IN ({labels[f]})"
+        few[f"bin_mismatches.{f}_bin"] = f"ok AND {f}_bin IN ({labels[f]}) AND {f}_bin <> {q.binned(f, f'p_{f}')}"
+    for g, where in groups.items():
+        out[f"pce_subgroups.{g}.rows"] = f"count_if({where})"
+    wrong = " OR ".join(f"coalesce({x}, false)" for x in (*few.values(), "error > 5"))
+    at = "physics_verification"
+    out |= {f"{at}.physically_inconsistent_count": f"count_if(NOT ok OR {wrong})", f"{at}.physically_inconsistent_rate": rate(f"NOT ok OR {wrong}")}
+    invalid = " OR ".join(f"p_{f} IS NULL" for f in targets.FIELDS)
+    out |= {f"{at}.schema_invalid_count": f"count_if(NOT ok OR {invalid})", f"{at}.schema_invalid_rate": rate(f"NOT ok OR {invalid}")}
+    for name, x in (("count", "count(error)"), ("mae", "avg(error)"), ("max", "max(error)")):
+        out[f"{at}.pce_consistency_{name}"] = out[f"physical_consistency.{name}"] = x
+    columns = ", ".join(f'round(CAST({x} AS DOUBLE), 6) AS "{k.lstrip(".")}"' for k, x in out.items())
+    counts = ", ".join(f'CAST(nullif(count_if({x}), 0) AS DOUBLE) AS "{at}.{k}"' for k, x in few.items())
+    names = ", ".join(f'"{k.lstrip(".")}"' for k in out)
+    return f"""WITH {_PREDICTED} SELECT metric, value FROM (SELECT {columns} FROM v) UNPIVOT INCLUDE NULLS (value FOR metric IN ({names}))
+UNION ALL SELECT metric, value FROM (UNPIVOT (SELECT {counts} FROM v) ON COLUMNS(*) INTO NAME metric VALUE value)"""
+
+
+@query(_document_sql())
+def metrics_document(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ev.metrics_table(spark, ev.compute_metrics(_predictions(spark, d))), "value")
+
+
+_OWN_LABELS = " UNION ALL ".join(f"""SELECT example_id, '{f}_bin' AS field, {f}_bin AS value, {q.binned(f, f't_{f}')} AS expected FROM v WHERE {f}_bin IN ({', '.join(map(repr, targets.bin_labels(f)))}) AND {f}_bin <> {q.binned(f, f't_{f}')}""" for f in targets.FIELDS)
+
+
+@query(f"WITH {_PREDICTED} {_OWN_LABELS}")
+def bin_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the baseline that don't fit the recorded numbers."""
+    rows = _predictions(spark, d).select("example_id", parse_object(F.col("ground_truth_text"))["prediction"].alias("t"), parse_object(F.col("prediction_text"))["prediction"].alias("p"))
+    values = {f: parse_float(F.try_element_at("t", F.lit(f))) for f in targets.FIELDS}
+    labels = {f: F.try_element_at("p", F.lit(f"{f}_bin")) for f in targets.FIELDS}
+    check = ev.verification(values, labels, {f: labels[f].isNotNull() for f in targets.FIELDS}, F.lit(True))
+    return ev.violations(rows.select("example_id", check.alias("check")), "bin_mismatches", "example_id")
+
+
 @query("SELECT example_id, '<|system|>' || chr(10) || messages[1].content || chr(10) || '<|user|>' || chr(10) || messages[2].content || chr(10) || '<|assistant|>' || chr(10) AS prompt, messages[3].content AS answer FROM chat_examples")
 def chat_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chat_examples").select("example_id", sequences.sft_prompt(F.col("messages")).alias("prompt"), sequences.first_of(F.col("messages"), "assistant").alias("answer"))
 
 
-@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+_TEXT = "CASE WHEN event_id % 4 = 0 THEN 'So: ' || props || ' as asked.' WHEN event_id % 4 = 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN event_id % 4 = 2 THEN '[' || event_id || ']' ELSE props END"
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 2 THEN (props::JSON ->> 'k')::BIGINT END AS k FROM events")
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    """The objects of answers that are plain, fenced, within prose or no object."""
+    return table(spark, d, "events").select("event_id", parse_object(F.expr(_TEXT.replace("chr(10)", "char(10)")), "struct<k:bigint>")["k"].alias("k"))
 
 
 # --- retrieval and grounding ----------------------------------------------------------------------------------------
@@ -351,10 +450,11 @@ def grounding_score(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(grounding.grounding_score(_leaf_table(spark, d), "record_id"), "grounding_score")
 
 
-@query("""SELECT record_id, strpos(lower(key_findings), lower(material)) - 1 AS norm_start FROM extractions WHERE strpos(lower(key_findings), lower(material)) > 0""")
+@query(f"""WITH t AS (SELECT doc_id, text, substr(text, 11, 40) AS source FROM documents WHERE regexp_full_match(text, '[\x20-\x7E\n]{{{{60,}}}}')) SELECT doc_id, strpos(lower(text), lower(trim(source))) - 1 AS norm_start, strpos(lower(text), lower(trim(source))) - 1 + length(trim(source)) AS norm_end FROM t WHERE length(trim(source)) >= 20 AND NOT starts_with(trim(source), 'Table')""".replace("{{", "{").replace("}}", "}"))
 def exact_span(spark: SparkSession, d: str) -> DataFrame:
-    at = F.instr(F.lower("key_findings"), F.lower("material"))
-    return table(spark, d, "extractions").where(at > 0).select("record_id", (at - 1).cast("bigint").alias("norm_start"))
+    """Where a piece of a document stands in it, by the operator that grounds values."""
+    t = table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x20-\x7E\n]{60,}\z")).select("doc_id", "text", F.substring("text", 11, 40).alias("source"))
+    return grounding.ground(t, "source", "text").where("norm_start IS NOT NULL").select("doc_id", F.col("norm_start").cast("bigint").alias("norm_start"), F.col("norm_end").cast("bigint").alias("norm_end"))
 
 
 @query()
@@ -364,8 +464,8 @@ def nfkc_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_ground(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "extractions").select("record_id", "title", F.concat_ws(" ", "title", "key_findings").alias("text"))
-    return grounding.ground(t, "title", "text").select("record_id", "grounded", "norm_start", "norm_end")
+    """Titles looked for in what their record found: few stand there, so most are searched by windows."""
+    return grounding.ground(table(spark, d, "extractions").select("record_id", "title", "key_findings"), "title", "key_findings").select("record_id", "grounded", "norm_start", "norm_end")
 
 
 # --- votes and corrections ------------------------------------------------------------------------------------------
@@ -442,7 +542,7 @@ def attention_local(spark: SparkSession, d: str) -> DataFrame:
     return _attended(att.links_local(x, 25), x)
 
 
-_RANDOM = " OR ".join(f"k.pos = (q.pos * {att.RANDOM_A} + {o} * {att.RANDOM_B}) % 500" for o in range(1, 9))
+_RANDOM = " OR ".join(f"k.pos = (q.pos * {att.RANDOM_A} + {o} * {att.RANDOM_B}) % (SELECT max(vec_id) + 1 FROM embeddings)" for o in range(1, 9))
 
 
 @query(_attention_sql(f"abs(k.pos - q.pos) <= 25 OR k.pos < 20 OR q.pos < 20 OR {_RANDOM}"))
@@ -467,7 +567,7 @@ def attention_masked(spark: SparkSession, d: str) -> DataFrame:
 @query(_attention_sql("true"))
 def attention_blocked(spark: SparkSession, d: str) -> DataFrame:
     x = _x(spark, d)
-    return att.attend_blocked(att.links_all(x), x, SIZE, 64).withColumn("value", F.round("value", 4))
+    return att.attend_blocked(x, x, SIZE, 64).withColumn("value", F.round("value", 4))
 
 
 @query(f"""WITH x AS ({_X}), s AS (SELECT q.b, q.h, q.pos AS qpos, q.vec AS q, k.vec, list_dot_product(q.vec, k.vec) / 4.0 AS s FROM x q JOIN x k ON q.b = k.b AND q.h = k.h), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY b, h, qpos)) AS e FROM s),
@@ -479,11 +579,31 @@ def attention_co(spark: SparkSession, d: str) -> DataFrame:
     return att.co_attend(x, x, x, SIZE).withColumn("value", F.round("value", 4))
 
 
-@query("SELECT label AS b, vec_id AS pos, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+@query("SELECT label AS b, vec_id AS pos, unnest(range(len(embedding)))::INT AS i, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
 def heads_round_trip(spark: SparkSession, d: str) -> DataFrame:
     x = _x(spark, d).select("b", "h", F.col("pos").alias("qpos"), F.posexplode("vec").alias("d", "value"))
-    m = att.merge_heads(x, SIZE)
-    return m.select("b", "pos", F.size("vec").cast("bigint").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+    return att.merge_heads(x, SIZE).select("b", "pos", F.posexplode("vec").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+_PADDED_X = f"SELECT *, pos % 10 <> 9 AND b <> 0 AS valid FROM ({_X})"
+
+
+@query(f"""WITH x AS ({_PADDED_X}), s AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, k.valid, max(k.valid::INT) OVER (PARTITION BY q.b, q.h, q.pos) AS held, list_dot_product(q.vec, k.vec) / 4.0 AS s FROM x q JOIN x k ON q.b = k.b AND q.h = k.h),
+m AS (SELECT b, h, qpos, vec, CASE WHEN held = 1 THEN s ELSE 0 END AS s FROM s WHERE valid OR held = 0), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY b, h, qpos)) AS e FROM m)
+SELECT b, h, qpos, d::INT AS d, round(sum(e * vec[d + 1]) / sum(e), 4) AS value FROM e, (SELECT unnest(range({SIZE})) AS d) GROUP BY ALL""")
+def attention_padded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth position and all of batch 0 are padding: there each query gets the average."""
+    x = _x(spark, d)
+    return _attended(att.masked(att.links_all(x), x.where("pos % 10 <> 9 AND b <> 0").select("b", "pos").distinct()), x)
+
+
+@query(f"""WITH x AS ({_PADDED_X}), z AS (SELECT b, h, pos, vec AS q, CASE WHEN valid THEN vec ELSE list_transform(vec, lambda v: 0.0) END AS k FROM x),
+f AS (SELECT b, h, pos, k AS vec, list_transform(q, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE exp(v) END) AS q, list_transform(k, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE exp(v) END) AS f FROM z),
+s AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, list_dot_product(q.q, k.f) AS w FROM f q JOIN f k ON q.b = k.b AND q.h = k.h)
+SELECT b, h, qpos, d::INT AS d, round(sum(w * vec[d + 1]) / sum(w), 4) AS value FROM s, (SELECT unnest(range({SIZE})) AS d) GROUP BY ALL""")
+def attention_linear_padded(spark: SparkSession, d: str) -> DataFrame:
+    x = _x(spark, d)
+    return att.attend_linear(x, valid=x.where("pos % 10 <> 9 AND b <> 0").select("b", "pos").distinct()).withColumn("value", F.round("value", 4))
 
 
 # --- sequences ------------------------------------------------------------------------------------------------------
@@ -506,10 +626,18 @@ def completion_only(spark: SparkSession, d: str) -> DataFrame:
     return t.select("example_id", *(F.array_join(F.col(f"s.{n}").cast("array<string>"), " ").alias(n) for n in ("input_ids", "labels")))
 
 
-@query(f"""WITH t AS (SELECT source, example_id, {_A} AS a FROM chat_examples) SELECT example_id, array_to_string(list_resize(a, max(len(a)) OVER (PARTITION BY source), 0), ' ') AS padded FROM t""")
+@query(f"""WITH t AS (SELECT example_id, {_A} AS a, row_number() OVER (ORDER BY example_id) - 1 AS i FROM chat_examples), b AS (SELECT *, i // 32 AS batch FROM t)
+SELECT example_id, i AS index, batch, array_to_string(list_resize(a, max(len(a)) OVER (PARTITION BY batch), 0), ' ') AS padded FROM b""")
 def padded_batches(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "chat_examples").select("source", "example_id", _ids(sequences.first_of(F.col("messages"), "assistant")).alias("a"))
-    return sequences.padded(t, "source", "a", 0).select("example_id", F.array_join(F.col("padded").cast("array<string>"), " ").alias("padded"))
+    t = table(spark, d, "chat_examples").select("example_id", _ids(sequences.first_of(F.col("messages"), "assistant")).alias("a"))
+    p = sequences.padded(sequences.batches(t, ["example_id"], 32), "batch", "a", 0)
+    return p.select("example_id", "index", "batch", F.array_join(F.col("padded").cast("array<string>"), " ").alias("padded"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS index FROM events QUALIFY index < 100")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The row limit of a run: the first hundred in a stated order."""
+    return sequences.first_rows(table(spark, d, "events"), [F.desc("ts"), "event_id"], 100).select("event_id", "index")
 
 
 @query("""WITH t AS (SELECT l_returnflag, l_discount AS l, lead(l_linenumber) OVER w AS n, lead(l_tax) OVER w AS t FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
@@ -611,15 +739,25 @@ def normalised_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ridge_baseline(spark: SparkSession, d: str) -> DataFrame:
-    v = targets.valid_rows(table(spark, d, "devices"), max_error=None).withColumn("split", split_name(F.coalesce(meaningful(F.col("Ref_DOI_number")), F.col("Ref_ID")), 0.8, 0.1, 17))
-    numeric, categorical = ["Perovskite_band_gap", "Perovskite_thickness", "Cell_area_measured"], ["Cell_architecture", "Perovskite_deposition_procedure"]
-    rows = models.prepare(v, numeric, categorical)
-    model = models.fit(rows.where("split = 'train'"), numeric, categorical, "pce")
-    out = model.transform(rows.where("split = 'test'")).select(F.lit("pce").alias("field"), F.col("pce").alias("truth"), F.col("prediction").alias("pred"))
-    return ev.regression_metrics(out)
+    """(field, n, mae, rmse, r2) of the four targets on the held-out papers."""
+    _, metrics = models.baseline(table(spark, d, "devices"), "core")
+    return metrics
+
+
+@query(f"""WITH v AS (SELECT {q.given('Ref_DOI_number')} AS key FROM ({q.TARGETS}) WHERE {q.limits()}), s AS (SELECT {q.split('key')} AS split FROM v WHERE key IS NOT NULL)
+SELECT (SELECT count(*) FROM devices) AS rows_total, count_if(split IN ('train', 'test')) AS rows_used, count_if(split = 'train') AS train_rows, count_if(split = 'test') AS test_rows FROM s""")
+def baseline_rows(spark: SparkSession, d: str) -> DataFrame:
+    return models.run_rows(table(spark, d, "devices"))
+
+
+@query(f"{_RARE_SQL} SELECT DISTINCT column_name FROM f WHERE position <= 60 AND column_name NOT LIKE 'Ref%'")
+def rare_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that rare features come from: those that a regression adds to the core ones."""
+    t = table(spark, d, "devices")
+    return profile.rare_features(t, "row_id", DEVICE_COLUMNS, _USED).select("column_name").distinct()
 
 
-@query(f"SELECT column_name FROM (SELECT column_name, count({q.number('value')}) / nullif(count(*), 0) AS share FROM ({_CELLS}) GROUP BY column_name) WHERE share >= 0.9")
+@query(f"SELECT column_name FROM (SELECT column_name, count({q.number('value')}) / (SELECT count(*) FROM devices) AS share FROM ({_CELLS}) GROUP BY column_name) WHERE share >= 0.9")
 def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "devices")
     found = models.numeric_columns(t, DEVICE_COLUMNS)

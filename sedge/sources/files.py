@@ -13,6 +13,39 @@ from pyspark.sql import functions as F
 CHAT = "messages array<struct<role:string,content:string>>, metadata struct<split_key:string,input_representation:string,output_schema:string>"
 
 
+_ANSWER = "struct<prediction:map<string,string>,confidence:string,justification:array<string>>"
+#: A prediction record; its checks aren't read again.
+PREDICTIONS = f"index long, metadata struct<split_key:string,input_representation:string,output_schema:string>, prompt_text string, ground_truth_text string, ground_truth_json {_ANSWER}, prediction_text string, prediction_json {_ANSWER}"
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The prediction records of JSON lines."""
+    return read_jsonl(spark, path, PREDICTIONS)
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """JSON lines with keys in order and other characters escaped, a file a task."""
+    plain = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+
+    @F.pandas_udf("string")
+    def escaped(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: json.dumps(json.loads(x), sort_keys=True))
+
+    df.select(escaped(plain).alias("value")).write.mode("overwrite").text(path)
+
+
+def evaluate_predictions(spark: SparkSession, path: str, json_path: str | None = None, csv_path: str | None = None) -> dict:
+    """The metrics of the prediction records of a file, written as one JSON document and as a flat table where asked."""
+    from sedge.operators.evaluation import compute_metrics, metrics_table
+
+    document = compute_metrics(read_predictions(spark, path))
+    if json_path:
+        write_json(document, json_path)
+    if csv_path:
+        write_metrics(metrics_table(spark, document), csv_path)
+    return document
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A device CSV: header, UTF-8 with or without a mark, quoted line breaks, every value a string ("" if empty)."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")

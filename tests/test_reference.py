@@ -220,9 +220,18 @@ def test_ingest(spark):
     assert [(r["caption"], r["region_top"]) for r in ingest.uncovered_captions(blocks, found).collect()] == [("Fig. 2: B", 0.0)]
     sections = spark.createDataFrame([(1, 1, 0, "short"), (1, 1, 1, "Figure 1. A cell with a much longer caption than before")], "doc_id int, number int, ord int, caption string")
     assert ingest.enrich_captions(found, sections).first()["caption"].endswith("than before")
-    xml = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>Experimental</head><p>Films <b>were</b> cast.</p></div><div><head>Results</head><p>Good.</p></div></body></text></TEI>'
-    t = ingest.tei_sections(spark.createDataFrame([(1, xml)], "id int, xml string"), "xml", "id").orderBy("ord").collect()
-    assert [(r["section"], r["text"]) for r in t] == [("experimental", "Films were cast."), ("results", "Good.")]
+    xml = """<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title level="a">A <i>cell</i></title><idno type="DOI"> 10.0000/x </idno><abstract><div><p>Abstract words.</p></div></abstract></teiHeader><text><body>
+<div><head>Experimental</head><p>Films <b>were</b> cast.</p><p>Then heated.</p><div><head>Results</head><p>nested</p></div></div><div><p>No head here.</p></div><div><head>Results</head><p>Good.</p></div><div><head>Thanks</head></div>
+<figure><head>Figure 1.</head><figDesc>A cell.</figDesc></figure></body></text></TEI>"""
+    docs = spark.createDataFrame([(1, xml), (2, "<html>waking up"), (3, None), (4, xml.replace(' xmlns="http://www.tei-c.org/ns/1.0"', ""))], "id int, xml string")
+    t = ingest.tei_sections(docs, "xml", "id").where("id IN (1, 4)").orderBy("id", "ord").collect()
+    want = [("experimental", "Experimental", "Films were cast.\n\nThen heated."), ("other", None, "No head here."), ("results", "Results", "Good.")]
+    assert [(r["section"], r["head"], r["text"]) for r in t] == want * 2
+    parts = {r["id"]: r["tei"] for r in ingest.tei(docs, "xml").collect()}
+    assert (parts[1]["title"], parts[1]["doi"], parts[1]["abstract"], parts[1]["captions"]) == ("A cell", "10.0000/x", "Abstract words.", ["Figure 1. A cell."])
+    assert parts[2]["error"] and parts[3]["error"] and not parts[2]["sections"]
+    accepted = docs.select("id", ingest.is_tei(F.lit(200), F.col("xml")).alias("a"), ingest.is_tei(F.lit(503), F.col("xml")).alias("b")).orderBy("id").collect()
+    assert [r["a"] for r in accepted] == [True, False, False, True] and not any(r["b"] for r in accepted)
 
 
 def test_records(spark):
@@ -232,6 +241,50 @@ def test_records(spark):
     assert got[0]["is_perovskite_synthesis"] is False and got[2]["title"] == "T" and got[2]["process_conditions"]["temperature"] == "100 C" and len(got[2]["precursors"]) == 1 and got[0]["precursors"] == []
 
 
+def test_a_baseline_learns_from_training_rows_only(spark):
+    from sedge.operators import models as mm
+
+    rows = [(i, f"10.0000/{i % 60}", str(1.2 + (i % 7) / 10) if i % 11 else None, ("nip", "pin", None)[i % 3], "12", "1.0", "20", "0.6") for i in range(240)] + [(900, None, "1.5", "nip", "12", "1.0", "20", "0.6")]
+    df = spark.createDataFrame(rows, "row_id int, Ref_DOI_number string, Perovskite_band_gap string, Cell_architecture string, JV_default_PCE string, JV_default_Voc string, JV_default_Jsc string, JV_default_FF string")
+    summary, metrics = mm.baseline(df, "core")
+    assert summary["feature_columns"] == ["Cell_architecture", "Perovskite_band_gap"] and summary["rows_total"] == 241 and summary["rows_used"] == summary["train_rows"] + summary["test_rows"] <= 240
+    assert {r["field"]: r["n"] for r in metrics.collect()} == dict.fromkeys(targets.FIELDS, summary["test_rows"])
+    prepared = mm.prepare(targets.with_targets(df), ["Perovskite_band_gap"], ["Cell_architecture"])
+    fitted = mm.fit(prepared.where("row_id < 100"), ["Perovskite_band_gap"], ["Cell_architecture"], "pce")
+    assert set(fitted.frequent["Cell_architecture"]) == {"nip", "pin", "missing"}
+    assert mm.numeric_columns(df, ["Perovskite_band_gap", "JV_default_PCE"]) == ["Perovskite_band_gap", "JV_default_PCE"] and mm.numeric_columns(df.withColumn("x", F.when(F.col("row_id") < 200, "1")), ["x"]) == []
+
+
+def test_attention_with_padding(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6, 4))
+    x = attention.split_heads(spark.createDataFrame([(b, i, [float(y) for y in r]) for b in (0, 1) for i, r in enumerate(v)], "b int, i int, e array<double>"), "b", "i", "e", 1, 4)
+    valid = x.where("b = 0 AND pos < 4").select("b", "pos")
+    got = attention.attend(attention.masked(attention.links_all(x), valid), x, 4).collect()
+    assert len(got) == 2 * 6 * 4
+    out = np.zeros((2, 6, 4))
+    for r in got:
+        out[r["b"], r["qpos"], r["d"]] = r["value"]
+    s = v @ v[:4].T / 2
+    w = np.exp(s - s.max(1, keepdims=True))
+    np.testing.assert_allclose(out[0], w @ v[:4] / w.sum(1, keepdims=True), atol=1e-9)
+    np.testing.assert_allclose(out[1], np.repeat(v.mean(0, keepdims=True), 6, 0), atol=1e-9)
+    phi = lambda a: np.where(a > 0, a + 1, np.exp(a))
+    k = v * (np.arange(6) < 4)[:, None]
+    want = (phi(v) @ (phi(k).T @ k)) / (phi(v) @ phi(k).sum(0))[:, None]
+    lin = np.zeros((6, 4))
+    for r in attention.attend_linear(x.where("b = 0"), valid=valid).collect():
+        lin[r["qpos"], r["d"]] = r["value"]
+    np.testing.assert_allclose(lin, want, atol=1e-9)
+    for causal in (False, True):
+        a, b = ({(r["qpos"], r["d"]): r["value"] for r in y.where("b = 0").collect()} for y in (attention.attend_blocked(x, x, 4, 4, causal), attention.attend(attention.links_all(x, causal), x, 4)))
+        assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
+    attention.check_shape(x, 4)
+    for bad in (x.unionByName(x), x.withColumn("vec", F.slice("vec", 1, 3))):
+        with pytest.raises(ValueError):
+            attention.check_shape(bad, 4)
+
+
 def test_ridge_matches_closed_form(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 2))
