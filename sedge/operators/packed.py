@@ -111,6 +111,33 @@ def _cut(cell: str, spans: list[tuple[int, int]]) -> list[str]:
     return out
 
 
+class _Values(dict):
+    """The value of each piece of text seen, None for a missing one; emptied when it has grown large."""
+
+    def __missing__(self, raw: str) -> str | None:
+        if len(self) > 200_000:
+            self.clear()
+        item = unquote(raw)
+        self[raw] = item = None if item.lower() in MISSING_TOKENS else item
+        return item
+
+
+_VALUES = _Values()
+
+
+class _Scores(dict):
+    """What a function gave for the pieces seen; emptied when it has grown large."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, raw: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        self[raw] = s = self.function(raw)
+        return s
+
+
 class Model:
     """Value and delimiter frequencies of one field."""
 
@@ -118,7 +145,7 @@ class Model:
         self.values, self.total = values, (sum(values.values()) if total is None else total) + 1.0
         weight = sum(kinds.values()) + 1.0
         self.kinds = {k: math.log((kinds.get(k, 0.0) + 0.02 * PRIOR[k]) / weight) for k in (*KINDS, "")}
-        self.memo: dict[str, float] = {}
+        self.scores = _Scores(self._score)
         self.longer: dict[str, dict[str, set[int]]] = {}
         self._index(values)
 
@@ -132,31 +159,17 @@ class Model:
                         start = min(item.index(c) for c in kind)
                         self.longer.setdefault(kind, {}).setdefault(item[:start].strip(), set()).add(n)
 
-    def learn(self, values: dict[str, float]) -> None:
-        """More known values, of the total that is already counted."""
-        new = {k: w for k, w in values.items() if k not in self.values}
-        self.values |= new
-        for k in new:
-            self.memo.pop(k, None)
-        self._index(new)
-
     def known(self, raw: str) -> bool:
         return self.values.get(unquote(raw), 0.0) > 1.0
 
-    def score(self, raw: str) -> float:
+    def _score(self, raw: str) -> float:
         """Log probability of one value; one occurrence is left out, as the cell itself may have brought it."""
-        s = self.memo.get(raw)
-        if s is None:
-            item = unquote(raw)
-            if item.lower() in MISSING_TOKENS:
-                s = math.log(0.02)
-            else:
-                # a value drawn from the known ones, or spelt out by characters; neither chance depends on the column's size
-                known, spelt = max(0.0, self.values.get(item, 0.0) - 1.0) / self.total, math.log(0.05) - 1.8 * len(item)
-                s = math.log(known + math.exp(max(spelt, -700.0))) if known else spelt
-            if len(self.memo) < 200_000:
-                self.memo[raw] = s
-        return s
+        item = _VALUES[raw]
+        if item is None:
+            return math.log(0.02)
+        # a value drawn from the known ones, or spelt out by characters; neither chance depends on the column's size
+        known, spelt = max(0.0, self.values.get(item, 0.0) - 1.0) / self.total, math.log(0.05) - 1.8 * len(item)
+        return math.log(known + math.exp(max(spelt, -700.0))) if known else spelt
 
     def best(self, cell: str, kind: str, spans: list[tuple[int, int]], least: float = -math.inf) -> tuple[float, list[str]]:
         """Viterbi over the delimiters of one kind: the likeliest values and their log probability.
@@ -168,9 +181,9 @@ class Model:
         longer = self.longer.get(kind)
         starts = {i: ns for i, c in enumerate(cuts[:-1]) if (ns := longer.get(c.strip()))} if longer else {}
         if not starts:  # one path only
-            total, memo = 0.0, self.memo
+            total, scores = 0.0, self.scores
             for c in cuts:
-                total += s if (s := memo.get(c)) is not None else self.score(c)
+                total += scores[c]
                 if total < least:
                     return -math.inf, cuts
             return total, cuts
@@ -178,11 +191,11 @@ class Model:
         n = len(cuts)
         top, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for i in range(n):
-            if (s := top[i] + self.score(cuts[i])) > top[i + 1]:
+            if (s := top[i] + self.scores[cuts[i]]) > top[i + 1]:
                 top[i + 1], back[i + 1] = s, i
             for inside in starts.get(i, ()):
                 j = i + inside + 1
-                if j <= n and self.known(raw := cell[begin[i] : end[j - 1]]) and (s := top[i] + self.score(raw) - 4.0 * inside) > top[j]:
+                if j <= n and self.known(raw := cell[begin[i] : end[j - 1]]) and (s := top[i] + self.scores[raw] - 4.0 * inside) > top[j]:
                     top[j], back[j] = s, i
         out, j = [], n
         while j:
@@ -192,7 +205,7 @@ class Model:
 
     def splits(self, cell: str, within: float = 20.0) -> list[tuple[float, str, list[str]]]:
         """(log probability, kind, values) of every kind that fits, "" being no list, if at most `within` below the best."""
-        top = self.kinds[""] + self.score(cell)
+        top = self.kinds[""] + self.scores[cell]
         out = [(top, "", [cell])]
         for kind, spans in lattice(cell).items():
             s, cuts = self.best(cell, kind, spans, top - within - self.kinds[kind])
@@ -216,7 +229,9 @@ class Model:
 
 def _expected(cells: Iterator[tuple[str, str, Model | None]]) -> dict[tuple[str, str, str], float]:
     """E-step: expected counts of values (what = 'v') and delimiter kinds ('k') over (field, cell, model)."""
-    sums: dict[tuple[str, str, str], float] = defaultdict(float)
+    kinds: dict[tuple[str, str], float] = defaultdict(float)
+    values: dict[str, dict[str, float]] = {}
+    known = _VALUES
     for field, cell, model in cells:
         if model is None:
             # before anything is known: kinds by prior, the more of its delimiters a cell has the likelier
@@ -225,17 +240,19 @@ def _expected(cells: Iterator[tuple[str, str, Model | None]]) -> dict[tuple[str,
             scored = model.splits(cell)
             m = max(s for s, _, _ in scored)
             weights = [(math.exp(s - m), k, c) for s, k, c in scored if s > m - 20]
-        total = sum(w for w, _, _ in weights)
+        total = sum([w for w, _, _ in weights])
+        own = values.get(field)
+        if own is None:
+            own = values[field] = defaultdict(float)
         for w, kind, cuts in weights:
-            w = w / total
+            w /= total
             if w < 1e-6:
                 continue
-            sums[field, "k", kind] += w
+            kinds[field, kind] += w
             for c in cuts:
-                item = unquote(c)
-                if item.lower() not in MISSING_TOKENS:
-                    sums[field, "v", item] += w
-    return sums
+                if (item := known[c]) is not None:
+                    own[item] += w
+    return {(f, "k", k): w for (f, k), w in kinds.items()} | {(f, "v", v): w for f, own in values.items() for v, w in own.items()}
 
 
 _SUMS = "field_name string, what string, item string, w double"
