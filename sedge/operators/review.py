@@ -24,9 +24,10 @@ def record_text(fields: dict[str, Column], precursors: Column) -> Column:
 
 def parse_critique(raw: Column) -> Column:
     """The JSON of an answer, else a critique of unknown quality with the start of the answer as its summary."""
-    s = F.trim(F.regexp_replace(raw, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
-    s = F.regexp_replace(F.regexp_replace(s, r"(?m)^```(?:json)?\s*", ""), r"(?m)```\s*$", "")
+    s = F.trim(F.regexp_replace(raw, r"[\p{Cntrl}&&[^\t\n\r]]", ""))
+    # what stands between the first and the last brace; fences and prose around it don't matter
     inner = F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))
+    s = F.trim(F.regexp_replace(s, r"```[a-z]*", ""))
     none = F.array().cast("array<struct<field:string,correct_value:string>>")
     default = F.struct(none.alias("wrong_section_fields"), F.array().cast("array<string>").alias("missing_fields"), F.array().cast("array<struct<name:string>>").alias("product_as_precursor"), F.lit("unknown").alias("overall_quality"), F.substring(s, 1, 300).alias("summary"))
     return F.when(F.try_parse_json(inner).isNotNull(), F.from_json(inner, CRITIQUE)).otherwise(default.cast(CRITIQUE))
@@ -82,3 +83,41 @@ def probe(leaf: DataFrame, questions: DataFrame, clients: list[Callable[[str], s
     q = leaf.where("value IS NOT NULL").join(questions, "path").withColumn("_prompt", F.concat_ws("\n\n", "context", "question"))
     a = ask(q, "_prompt", clients).withColumn("answered", F.col("answer").isNotNull())
     return probe_stability(a.withColumn("matches", answers_match(F.col("answer"), F.col("value"))), [id_column, "path"])
+
+
+#: Two questions a field that is often taken from the wrong section.
+PROBES = {
+    "process_conditions.temperature": ("Which temperature was the film or material heated to? Give the number and its unit.", "How hot was the sample kept in the thermal step of the procedure?"),
+    "process_conditions.annealing": ("How was the film annealed after deposition: temperature and time?", "Which thermal treatment followed deposition, and how long did it take?"),
+    "process_conditions.duration": ("How long did the main step of synthesis or annealing take?", "Which processing time is given for the key step?"),
+    "process_conditions.atmosphere": ("Under which gas or atmosphere was the work done?", "Was the step done in an inert gas, and in which?"),
+    "material": ("Which perovskite was made? Give its formula.", "What is the formula of the main material?"),
+    "precursors": ("Which precursors was the perovskite made from?", "Which salts or reagents does the procedure name?"),
+}
+PROBE = "An excerpt of a paper:\n\n{}\n\n{}\n\nAnswer in one short sentence from the excerpt only, or with NOT FOUND."
+REVIEW = "Check a record against the paper it was taken from.\n\nRecord:\n{}\n\nPaper:\n{}\n\nName wrong and missing fields and products that are listed as precursors, as JSON."
+
+
+def filled(template: str, *parts: Column) -> Column:
+    """The template with a column in each pair of braces."""
+    texts = [F.lit(x) for x in template.split("{}")]
+    return F.concat(*(c for pair in zip(texts, [*parts, F.lit("")]) for c in pair))
+
+
+def verify_probes(leaf: DataFrame, clients: list[Callable[[str], str]], id_column: str, questions: dict[str, tuple[str, ...]] = PROBES) -> tuple[DataFrame, DataFrame]:
+    """(id, path, stability, stable) of leaves (id, path, value, context), and (id, n_probed, n_unstable).
+
+    Every question about a leaf is asked; a leaf is told stable or not where all its questions were answered.
+    """
+    rows = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(q).alias("question")) for p, qs in questions.items() for q in qs))
+    asked = leaf.where("value IS NOT NULL AND trim(value) <> ''").withColumn("_q", F.explode(F.filter(rows, lambda x: x["path"] == F.col("path")))).withColumn("_prompt", filled(PROBE, F.col("context"), F.col("_q.question")))
+    answered = ask(asked, "_prompt", clients).withColumn("answered", F.col("answer").isNotNull())
+    found = probe_stability(answered.withColumn("matches", answers_match(F.col("answer"), F.col("value"))), [id_column, "path"], 2).where("stability IS NOT NULL")
+    return found, found.groupBy(id_column).agg(F.count("*").alias("n_probed"), F.count_if(F.col("stability") < 0.5).alias("n_unstable"))
+
+
+def review(records: DataFrame, record: str, text: str, clients: list[Callable[[str], str]]) -> DataFrame:
+    """Adds critique and its counts to records (their text form) with the texts they were taken from."""
+    asked = ask(records.withColumn("_prompt", filled(REVIEW, F.coalesce(record, F.lit("")), F.coalesce(text, F.lit("")))), "_prompt", clients)
+    out = asked.withColumn("critique", parse_critique(F.coalesce("answer", F.lit(""))))
+    return out.withColumn("counts", critique_counts(F.col("critique"))).drop("_prompt", "answer")

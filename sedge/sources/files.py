@@ -168,3 +168,56 @@ def commit_id(folder: str = ".") -> str | None:
         return subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, check=True, timeout=30).stdout.strip()
     except (OSError, subprocess.SubprocessError):
         return None
+
+
+def data_version(file: str) -> str | None:
+    """The hash that a data-version file (YAML, outs with md5) records, null where there is none."""
+    import yaml
+
+    try:
+        outs = (yaml.safe_load(Path(file).read_text(encoding="utf-8")) or {}).get("outs") or []
+    except (OSError, yaml.YAMLError, AttributeError):
+        return None
+    return next((str(o["md5"]) for o in outs if isinstance(o, dict) and o.get("md5")), None)
+
+
+def read_config(path: str) -> dict:
+    """A YAML configuration; an empty file is empty."""
+    import yaml
+
+    return yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+
+
+def split_paths(folder: str, prefix: str) -> dict[str, str]:
+    """Where the splits of a dataset are."""
+    return {s: str(Path(folder) / f"{prefix}.{s}.jsonl") for s in ("train", "validation", "test")}
+
+
+def process_role(environment: dict[str, str]) -> dict:
+    """Rank, number and whether this is the main one of several processes, as their launcher tells it."""
+    rank, size = int(environment.get("RANK", "0")), int(environment.get("WORLD_SIZE", "1"))
+    return {"rank": rank, "world_size": size, "main": rank == 0, "distributed": size > 1}
+
+
+def extract_by_cascade(df: DataFrame, key: str, content: str, parsers: list[tuple[str, Callable[[bytes], dict | None]]]) -> DataFrame:
+    """(key, parser, text) of documents by the first of several parsers, in their order, that gives a text; the last
+    error where none does."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, raw in zip(pdf[key], pdf[content]):
+                row = (k, "failed: no parser", None)
+                for name, parser in parsers if raw is not None else ():
+                    try:
+                        got = parser(bytes(raw))
+                        if got and got.get("text"):
+                            row = (k, name, got["text"])
+                            break
+                    except Exception as e:  # the next parser is tried
+                        row = (k, f"failed: {type(e).__name__}", None)
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=[key, "parser", "text"])
+
+    return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, parser string, text string")

@@ -45,7 +45,7 @@ def test_query_equals_its_sql(spark, sql, name):
     got = e.queries()[name](spark, DATA).toPandas()
     twin = e.oracle_sql().get(name)
     if twin is None:
-        assert len(got.columns) > 0
+        assert len(got) > 0 and not got.isna().all(axis=None)
         return
     want = sql.sql(twin).df()
     columns = sorted(got.columns)

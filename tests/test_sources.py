@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sedge.sources import tables
 from sedge.sources import files
 from sedge.streaming.events import split_stream, windowed_error
 
@@ -64,3 +65,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q = split_stream(stream, "ts").writeStream.format("memory").queryName("s").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination(120)
     assert spark.table("s").groupBy("split").count().collect()
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    class Context:
+        def __init__(self, master, named):
+            self.master, self.named = master, named
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.named} if self.named else {}
+
+    class Session:
+        def __init__(self, *args):
+            self.sparkContext, self.conf = Context(*args), {}
+
+    assert tables.checkpoint_folder(Session("spark://host:7077", "hdfs://shared/c")) == "hdfs://shared/c"
+    assert "sedge-checkpoint-" in tables.checkpoint_folder(Session("local[4]", None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            tables.checkpoint_folder(Session(master, None))
