@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="sedge-checkpoint-")
 
 
+#: Rows of a side that is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A side of a join to be broadcast where it has few rows, which are counted first, and to be merged beyond.
+
+    For what is already cut: the size that Spark takes for it is an estimate from what it was made of.
+    """
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint.
 
