@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.canon import distance
+from sedge.llm.canon import distance_within
 from sedge.sources.tables import cut
 
 #: Right and misread characters of words, in lower case.
@@ -41,11 +41,16 @@ _FLOAT = re.compile(r"(?i)^(?:figure|fig\.?|table|scheme)\s")
 _DIGITISH = re.compile(r"(?<![^\W\d_])[\dOolI|SQ]*\d[\dOolI|SQ]*(?![^\W\d_])")
 
 
+#: A line with a page number alone has "page" and "of" or six misread digits, no more letters.
+_FEW_LETTERS = re.compile(r"[\W_\d]*(?:[^\W\d_][\W_\d]*){0,8}\Z")
+_AROUND_NUMBER = re.compile(r"[\s\-–—−\[\]()|.~*•]+")
+
+
 def page_number(line: str) -> int | None:
     """The number of a line that holds a page number and nothing else."""
-    if not _HAS_DIGIT.search(line):
+    if not _FEW_LETTERS.match(line) or not _HAS_DIGIT.search(line):
         return None
-    s = re.sub(r"[\s\-–—−\[\]()|.~*•]+", "", line.replace("p.", "p").replace("P.", "p")).lower()
+    s = _AROUND_NUMBER.sub("", line.replace("p.", "p").replace("P.", "p")).lower()
     m = _NUMBER_LINE.match(s.replace("p", "p.", 1) if s.startswith("p") and not s.startswith("pa") and not s.startswith("pg") else s)
     if m and len(m.group(1)) <= 6:
         return int(m.group(1))
@@ -163,20 +168,20 @@ def edges(lines: list[str]) -> tuple[list[int], set[int], dict[int, bool]]:
     return real, found, counted
 
 
-def alike(a: str, b: str) -> bool:
-    """Whether two skeletons are the same but for misread characters."""
+def alike(a: str, b: str, x: frozenset[str] | None = None, y: frozenset[str] | None = None) -> bool:
+    """Whether two skeletons (with their words x and y) are the same but for misread characters."""
     if a == b:
         return True
     most = max(1, len(a) // 10)
     if abs(len(a) - len(b)) > most or min(len(a), len(b)) < 5:
         return False
-    x, y = set(a.split()), set(b.split())
+    x, y = frozenset(a.split()) if x is None else x, frozenset(b.split()) if y is None else y
     if len(x) > 2 and 2 * len(x & y) < len(x):
         return False
     # one edit changes the count of two characters at most
     if sum(abs(a.count(c) - b.count(c)) for c in set(a + b)) > 2 * most:
         return False
-    return distance(a, b) <= most
+    return distance_within(a, b, most) <= most
 
 
 def edge_lines(text: str) -> list[tuple[int, str, bool, bool]]:
@@ -201,6 +206,7 @@ def edge_lines(text: str) -> list[tuple[int, str, bool, bool]]:
     sizes: dict[int, list[str]] = defaultdict(list)
     for key in by_key:
         sizes[len(key)].append(key)
+    words = {key: frozenset(key.split()) for key in by_key}
 
     def elsewhere(p: int, places: list[int]) -> bool:
         return any(near[q] != near[p] and abs(q - p) > NEAR for q in places)
@@ -210,7 +216,7 @@ def edge_lines(text: str) -> list[tuple[int, str, bool, bool]]:
         if elsewhere(p, by_key[key]):
             return True
         most = max(1, len(key) // 10)
-        return any(other != key and elsewhere(p, by_key[other]) and alike(key, other) for n in range(len(key) - most, len(key) + most + 1) for other in sizes.get(n, ()))
+        return any(other != key and alike(key, other, words[key], words[other]) and elsewhere(p, by_key[other]) for n in range(len(key) - most, len(key) + most + 1) for other in sizes.get(n, ()))
 
     same = {p: again(p) for p in near}
     out = [(i, "", True, True) for i in alone]
@@ -258,27 +264,38 @@ def broken(line: str) -> str | None:
     return part.lower() if part and part[0].isalnum() or part[:1] in "@†" else None
 
 
-def read_lines(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]:
-    """Of body lines (unit, text): (unit, first part, second part) of broken words, and (unit, word) of the others."""
-    parts, words, rest = [], [], -1  # rest: the line that starts with the rest of a broken word
-    for k, (unit, line) in enumerate(lines):
-        tokens = line.split()
-        if k == rest:
-            tokens = tokens[1:]
-        left = broken(line) if tokens else None
-        if left is not None:
-            after = k + 1
-            while after < len(lines) and (not lines[after][1].strip() or _FLOAT.match(lines[after][1])):
-                after += 1
-            follows = lines[after][1].split() if after < len(lines) else []
-            right = follows[0].strip(AROUND).lower() if follows else ""
-            if right and follows[0].lstrip(AROUND)[:1] == right[:1] and any(c.isalpha() for c in right) and right not in ("and", "or", "to"):
-                parts.append((unit, left, right))
-                tokens, rest = tokens[:-1], after
-        for t in tokens:
-            if (w := _WORDS[t]) is not None:
-                words.append((unit, w))
-    return parts, words
+class Found:
+    """What a paper says: units by word, by (first, second) part of a broken word and by number. A unit is twice the
+    number of a line or cell, and one more in tables."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, list[int]] = defaultdict(list)
+        self.parts: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.numbers: dict[str, list[int]] = defaultdict(list)
+
+    def read_lines(self, lines: list[tuple[int, str]], sample_labels: bool = True) -> None:
+        """Words and broken words of body lines (unit, text); a letter with a number is left out without sample_labels."""
+        rest, words, known = -1, self.words, _WORDS  # rest: the line that starts with the rest of a broken word
+        for k, (unit, line) in enumerate(lines):
+            tokens = line.split()
+            if k == rest:
+                tokens = tokens[1:]
+            left = broken(line) if tokens else None
+            if left is not None:
+                after = k + 1
+                while after < len(lines) and (not lines[after][1].strip() or _FLOAT.match(lines[after][1])):
+                    after += 1
+                follows = lines[after][1].split() if after < len(lines) else []
+                right = follows[0].strip(AROUND).lower() if follows else ""
+                if right and follows[0].lstrip(AROUND)[:1] == right[:1] and any(c.isalpha() for c in right) and right not in ("and", "or", "to"):
+                    self.parts[left, right].append(unit)
+                    tokens, rest = tokens[:-1], after
+            for t in tokens:
+                if (w := known[t]) is not None and (sample_labels or not _LABEL.fullmatch(w)):
+                    words[w].append(unit)
+
+
+_LABEL = re.compile(r"[a-z|]\d+")
 
 
 def number_of(cell: str, numeric_column: bool) -> str | None:
@@ -296,14 +313,11 @@ def _clean_number(c: str | None) -> bool:
     return bool(c) and re.fullmatch(r"\s*[+-]?\d+(?:\.\d+)?\s*", c) is not None
 
 
-def read_paper(text: str | None, tables: list | None, away: set[int]) -> Iterator[tuple[str, int, str, str, str]]:
-    """(place, unit, what, a, b): what is "part" (first, second), "word" (word, "") or "number" (number, "")."""
+def read_paper(text: str | None, tables: list | None, away: set[int]) -> Found:
+    found = Found()
     if text:
-        body = [(i, x) for i, x in enumerate(text.split("\n")) if i not in away]
-        parts, words = read_lines(body)
-        yield from (("text", u, "part", a, b) for u, a, b in parts)
-        yield from (("text", u, "word", w, "") for u, w in words)
-    unit = 0
+        found.read_lines([(2 * i, x) for i, x in enumerate(text.split("\n")) if i not in away])
+    unit = 1
     for t in tables or []:
         rows = (t or {}).get("rows") or []
         width = max((len(r or []) for r in rows), default=0)
@@ -315,26 +329,23 @@ def read_paper(text: str | None, tables: list | None, away: set[int]) -> Iterato
             for k, cell in enumerate(r or []):
                 if cell:
                     if (n := number_of(cell, numeric[k])) is not None:
-                        yield ("tables", unit, "number", n, "")
+                        found.numbers[n].append(unit)
                     elif not _clean_number(cell):
-                        parts, words = read_lines([(unit, x) for x in cell.split("\n")])
-                        yield from (("tables", u, "part", a, b) for u, a, b in parts)
-                        # a letter with a number is a sample's label
-                        yield from (("tables", u, "word", w, "") for u, w in words if not re.fullmatch(r"[a-z|]\d+", w))
-                unit += 1
+                        found.read_lines([(unit, x) for x in cell.split("\n")], sample_labels=False)
+                unit += 2
+    return found
 
 
 def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(paper_id, what, a, b, at): what read_paper() gives, each once a paper; at has its units, twice the number and
-    one more in tables."""
+    """(paper_id, what, a, b, at): what read_paper() gives, each once a paper with its units."""
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()))
     for batch in batches:
         rows = []
         for key, text, tables, away in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            found: dict[tuple[str, str, str], list[int]] = {}
-            for place, unit, what, a, b in read_paper(text, tables, set(away or ())):
-                found.setdefault((what, a, b), []).append(2 * unit + (place == "tables"))
-            rows += [(key, *k, at) for k, at in found.items()]
+            found = read_paper(text, tables, set(away or ()))
+            rows += [(key, "word", w, "", at) for w, at in found.words.items()]
+            rows += [(key, "part", a, b, at) for (a, b), at in found.parts.items()]
+            rows += [(key, "number", n, "", at) for n, at in found.numbers.items()]
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["paper_id", "what", "a", "b", "at"])
 
