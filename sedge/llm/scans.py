@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.canon import distance_within
-from sedge.sources.tables import cut
+from sedge.sources.tables import cut, small
 
 #: Right and misread characters of words, in lower case.
 CONFUSIONS = (
@@ -396,9 +396,9 @@ def repairs(papers: DataFrame) -> DataFrame:
     lexicon = cut(_lexicon(words, shapes))
     fixes = cut(lexicon.where("right <> word").select("word", "right"))
     found = [
-        words.join(fixes, "word").select("paper_id", "at", F.lit("ocr").alias("kind"), F.col("right").alias("fixed")),
+        words.join(small(fixes), "word").select("paper_id", "at", F.lit("ocr").alias("kind"), F.col("right").alias("fixed")),
         reads.where("what = 'number'").select("paper_id", "at", F.lit("ocr").alias("kind"), F.col("a").alias("fixed")),
-        parts.join(joined(shapes, lexicon), ["a", "b"]).select("paper_id", "at", F.lit("hyphen").alias("kind"), "fixed"),
+        parts.join(small(cut(joined(shapes, lexicon))), ["a", "b"]).select("paper_id", "at", F.lit("hyphen").alias("kind"), "fixed"),
     ]
     lines = reduce(DataFrame.unionByName, found).select("paper_id", F.explode("at").alias("_u"), "kind", "fixed")
     lines = lines.select("paper_id", F.when(F.col("_u") % 2 == 1, "tables").otherwise("text").alias("place"), F.shiftright("_u", 1).alias("unit_no"), "kind", "fixed")
