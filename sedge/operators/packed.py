@@ -111,6 +111,25 @@ def _cut(cell: str, spans: list[tuple[int, int]]) -> list[str]:
     return out
 
 
+_EITHER = re.compile("[|;]")
+
+
+def readings(cell: str) -> dict[str, list[str]]:
+    """For each kind of delimiter that occurs outside quotes, the pieces between its delimiters."""
+    if any(q in cell for q in _OPEN):
+        return {k: _cut(cell, s) for k, s in lattice(cell).items()}
+    out: dict[str, list[str]] = {}
+    for k in KINDS[:-1]:
+        if k == "|;":
+            if "|" in out and ";" in out:
+                out[k] = _EITHER.split(cell)
+        elif k in cell:
+            out[k] = cell.split(k)
+    if " " in cell and len(cuts := [x for x in cell.strip().split(" ") if x]) > 1:
+        out[" "] = cuts
+    return out
+
+
 class _Values(dict):
     """The value of each piece of text seen, None for a missing one; emptied when it has grown large."""
 
@@ -171,35 +190,35 @@ class Model:
         known, spelt = max(0.0, self.values.get(item, 0.0) - 1.0) / self.total, math.log(0.05) - 1.8 * len(item)
         return math.log(known + math.exp(max(spelt, -700.0))) if known else spelt
 
-    def best(self, cell: str, kind: str, spans: list[tuple[int, int]], least: float = -math.inf) -> tuple[float, list[str]]:
-        """Viterbi over the delimiters of one kind: the likeliest values and their log probability.
+    def best(self, cell: str, kind: str, cuts: list[str], least: float = -math.inf) -> tuple[float, list[str]]:
+        """Viterbi over the pieces between the delimiters of one kind: the likeliest values and their log probability.
 
         A value with delimiters inside is an edge of the lattice where the column knows it. Scores only fall along a
         path, so one path that falls below `least` is given up (-inf).
         """
-        cuts = _cut(cell, spans)
-        longer = self.longer.get(kind)
+        longer, scores = self.longer.get(kind), self.scores
         starts = {i: ns for i, c in enumerate(cuts[:-1]) if (ns := longer.get(c.strip()))} if longer else {}
         if not starts:  # one path only
-            total, scores = 0.0, self.scores
+            total = 0.0
             for c in cuts:
                 total += scores[c]
                 if total < least:
                     return -math.inf, cuts
             return total, cuts
-        begin, end = [0, *(e for _, e in spans)], [*(s for s, _ in spans), len(cell)]
-        n = len(cuts)
+        begin, n = [0], len(cuts)
+        for c in cuts:  # a delimiter is one character
+            begin.append(begin[-1] + len(c) + 1)
         top, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for i in range(n):
-            if (s := top[i] + self.scores[cuts[i]]) > top[i + 1]:
+            if (s := top[i] + scores[cuts[i]]) > top[i + 1]:
                 top[i + 1], back[i + 1] = s, i
             for inside in starts.get(i, ()):
                 j = i + inside + 1
-                if j <= n and self.known(raw := cell[begin[i] : end[j - 1]]) and (s := top[i] + self.scores[raw] - 4.0 * inside) > top[j]:
+                if j <= n and self.known(raw := cell[begin[i] : begin[j] - 1]) and (s := top[i] + scores[raw] - 4.0 * inside) > top[j]:
                     top[j], back[j] = s, i
         out, j = [], n
         while j:
-            out.append(cell[begin[back[j]] : end[j - 1]])
+            out.append(cell[begin[back[j]] : begin[j] - 1])
             j = back[j]
         return top[-1], out[::-1]
 
@@ -207,8 +226,8 @@ class Model:
         """(log probability, kind, values) of every kind that fits, "" being no list, if at most `within` below the best."""
         top = self.kinds[""] + self.scores[cell]
         out = [(top, "", [cell])]
-        for kind, spans in lattice(cell).items():
-            s, cuts = self.best(cell, kind, spans, top - within - self.kinds[kind])
+        for kind, cuts in readings(cell).items():
+            s, cuts = self.best(cell, kind, cuts, top - within - self.kinds[kind])
             s += self.kinds[kind]
             if s >= top - within:
                 out.append((s, kind, cuts))
@@ -235,7 +254,7 @@ def _expected(cells: Iterator[tuple[str, str, Model | None]]) -> dict[tuple[str,
     for field, cell, model in cells:
         if model is None:
             # before anything is known: kinds by prior, the more of its delimiters a cell has the likelier
-            weights = [(PRIOR[""] * 0.3, "", [cell])] + [(PRIOR[k] * (1 + len(s)), k, _cut(cell, s)) for k, s in lattice(cell).items()]
+            weights = [(PRIOR[""] * 0.3, "", [cell])] + [(PRIOR[k] * len(cuts), k, cuts) for k, cuts in readings(cell).items()]
         else:
             scored = model.splits(cell)
             m = max(s for s, _, _ in scored)

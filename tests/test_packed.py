@@ -1,6 +1,9 @@
 import pytest
 
-from sedge.operators.packed import Model, atoms, split_packed, unquote
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sedge.operators.packed import Model, _cut, atoms, lattice, readings, split_packed, unquote
 
 CELLS = {
     1: "SLG | ITO | TiO2-c | Perovskite | Au", 2: "SLG|ITO|TiO2-c|Perovskite|Au", 3: "SLG, ITO, TiO2-c, Perovskite, Au", 4: "SLG;ITO; TiO2-c |Perovskite|Au", 5: 'SLG,ITO,"LiF, 1 nm",Perovskite,Au', 6: "SLG | ITO | LiF, 1 nm | Perovskite | Au",
@@ -76,3 +79,10 @@ def test_the_size_of_the_column_does_not_decide(spark):
 def test_a_path_below_the_best_is_given_up():
     m = Model({"a": 50.0, "b": 50.0}, {";": 90.0, "": 10.0})
     assert m.split("a; b") == ["a", " b"] and m.items("a;;b") == ([1, 3], ["a", "b"]) and m.items(None) == ([], [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text('ab|;, >\t"', max_size=14))
+def test_pieces_are_those_of_the_lattice(cell):
+    got, want = readings(cell), {k: _cut(cell, s) for k, s in lattice(cell).items()}
+    assert {k: [unquote(x) for x in v] for k, v in got.items()} == {k: [unquote(x) for x in v] for k, v in want.items()}
