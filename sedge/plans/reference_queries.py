@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.functions.jsons import parse_object
@@ -11,8 +11,9 @@ from sedge.functions.numbers import parse_float
 from sedge.functions.splits import split_name, stable_bucket
 from sedge.operators import attention as att
 from sedge.operators import evaluation as ev
-from sedge.operators import dataset, grounding, ingest, models, profile, prompts, records, retrieval, review, sequences, targets, voting
+from sedge.operators import dataset, grounding, ingest, models, profile, prompts, records, retrieval, review, sequences, targets, trees, voting
 from sedge.plans import sqltext as q
+from sedge.sources import files
 from sedge.sources.tables import table
 
 QUERIES: dict = {}
@@ -764,6 +765,136 @@ def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in found], "column_name string")
 
 
+# --- pieces of the pipelines ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT row_id, pce, voc, jsc, ff FROM ({q.TARGETS}) WHERE {q.limits()}")
+def regression_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with targets within their limits, whatever their consistency."""
+    return targets.valid_rows(table(spark, d, "devices"), max_error=None).select("row_id", *targets.FIELDS)
+
+
+_SAFE = [c for c in (*prompts.PRIMARY_COLUMNS, *prompts.SECONDARY_COLUMNS) if c in DEVICE_COLUMNS and not c.startswith("JV_default_")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(_SAFE)) + ") t(column_name, place)")
+def regression_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The features of a regression without rare ones."""
+    return spark.createDataFrame([(c, i) for i, c in enumerate(models.feature_columns(table(spark, d, "devices"), "core_secondary"))], "column_name string, place int")
+
+
+@query(f"""WITH n AS (SELECT column_name, count(*) AS nonempty, count(DISTINCT value) AS n_distinct FROM ({_CELLS}) GROUP BY 1) SELECT c.column_name, coalesce(nonempty, 0) AS nonempty, coalesce(n_distinct, 0) AS n_distinct FROM (SELECT unnest(['Cell_architecture', 'split_key', 'Module', 'Ref_ID']) AS column_name) c LEFT JOIN n USING (column_name)""")
+def listed_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A profile of the columns that are asked for, those without any value too."""
+    t = table(spark, d, "devices")
+    return profile.nonempty_counts(profile.value_counts(t, DEVICE_COLUMNS), ["Cell_architecture", "split_key", "Module", "Ref_ID"])
+
+
+_RAW_SQL = """CASE record_id % 5 WHEN 0 THEN '{"filename": "f", "is_perovskite_synthesis": false}' WHEN 1 THEN '{"error": "timeout"}' WHEN 2 THEN '{"raw_output": "..."}' WHEN 3 THEN '{"raw_output": "...", "title": "t"}' ELSE '{"title": {"value": "t", "source": "s"}}' END"""
+
+
+@query("SELECT record_id, CASE record_id % 5 WHEN 0 THEN 'not_perovskite' WHEN 1 THEN 'extraction_failed' WHEN 2 THEN 'extraction_failed' END AS reason, record_id % 5 > 2 AS complete, CASE WHEN record_id % 5 > 2 THEN 't' END AS title FROM extractions")
+def record_status(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records of all kinds: minimal, failed, and full with plain and sourced values."""
+    t = table(spark, d, "extractions").select("record_id", records.normalise(F.expr(_RAW_SQL), F.col("source_file")).alias("r"))
+    return t.select("record_id", F.col("r._meta.reason").alias("reason"), F.col("r._meta.extraction_complete").alias("complete"), "r.title")
+
+
+_PIECES = "SELECT doc_id, doc_id % 50 AS paper, 1 + doc_id % 3 AS number, coalesce(title, '') AS caption FROM documents"
+
+
+@query(f"""WITH p AS ({_PIECES}), b AS (SELECT paper, number, arg_max(caption, doc_id) AS longer FROM p GROUP BY ALL), f AS (SELECT paper, doc_id, 'Figure ' || number || '. ' || substr(caption, 1, 10) AS caption, number FROM p)
+SELECT f.paper, doc_id, CASE WHEN length(longer) > length(caption) + 20 THEN longer ELSE caption END AS caption FROM f LEFT JOIN b USING (paper, number)""")
+def enriched_captions(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("paper"), (1 + F.col("doc_id") % 3).cast("int").alias("number"), F.coalesce("title", F.lit("")).alias("caption"))
+    figures = p.select("paper", "doc_id", F.concat(F.lit("Figure "), F.col("number").cast("string"), F.lit(". "), F.substring("caption", 1, 10)).alias("caption"))
+    return ingest.enrich_captions(figures, p.select("paper", "number", F.col("doc_id").alias("ord"), "caption"), "paper").select("paper", "doc_id", "caption")
+
+
+@query("SELECT record_id, concat_ws(chr(10) || chr(10), nullif(trim(title), ''), nullif(trim(synthesis_method), ''), nullif(trim(key_findings), ''), nullif(trim(substrate), '')) AS text FROM extractions")
+def full_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sections in their canonical order, blank ones left out."""
+    sections = {"other": F.col("substrate"), "results": F.col("key_findings"), "abstract": F.col("title"), "experimental": F.col("synthesis_method")}
+    return table(spark, d, "extractions").select("record_id", ingest.full_text(sections).alias("text"))
+
+
+_CRITIQUE_SQL = """CASE record_id % 4 WHEN 0 THEN '```json' || chr(10) || '{"wrong_section_fields": [{"field": "substrate", "correct_value": "glass"}, {"field": "", "correct_value": "x"}], "missing_fields": ["material", "substrate"], "overall_quality": "poor", "summary": "s"}' || chr(10) || '```' WHEN 1 THEN 'See: {"missing_fields": [], "product_as_precursor": [{"name": "MAPbI3"}], "overall_quality": "good"} - done' WHEN 2 THEN 'no answer' ELSE '{broken' END"""
+
+
+@query("SELECT record_id, CASE record_id % 4 WHEN 0 THEN 'poor' WHEN 1 THEN 'good' ELSE 'unknown' END AS quality, CASE WHEN record_id % 4 = 0 THEN 2 ELSE 0 END AS wrong, CASE WHEN record_id % 4 = 0 THEN 2 ELSE 0 END AS missing, CASE WHEN record_id % 4 = 1 THEN 1 ELSE 0 END AS products FROM extractions")
+def critiques(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a reviewer, fenced, within prose, without and with broken JSON."""
+    t = table(spark, d, "extractions").select("record_id", review.parse_critique(F.expr(_CRITIQUE_SQL.replace("chr(10)", "char(10)"))).alias("c"))
+    n = review.critique_counts(F.col("c"))
+    return t.select("record_id", F.col("c.overall_quality").alias("quality"), n["wrong_section_fields"].alias("wrong"), n["missing_fields"].alias("missing"), n["product_as_precursor"].alias("products"))
+
+
+@query("SELECT record_id, 'substrate' AS path, 'glass' AS correction FROM extractions WHERE record_id % 4 = 0")
+def critique_corrections(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "extractions").select("record_id", review.parse_critique(F.expr(_CRITIQUE_SQL.replace("chr(10)", "char(10)"))).alias("critique"))
+    return review.corrections(t, "record_id")
+
+
+@query("SELECT CAST(sum(p_size) AS BIGINT) AS total, CAST(sum(p_size) FILTER (WHERE p_size > 25) AS BIGINT) AS trainable, round(100.0 * sum(p_size) FILTER (WHERE p_size > 25) / sum(p_size), 6) AS percent FROM part")
+def parameter_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("n"), (F.col("p_size") > 25).alias("trainable"))
+    return _rounded(files.parameter_totals(t), "percent")
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """Records as JSON trees of sourced leaves."""
+    t = table(spark, d, "extractions")
+
+    def leaf(c: str) -> Column:
+        return F.struct(F.col(c).alias("value"), F.substring("key_findings", 1, 30).alias("source"))
+
+    precursors = F.transform("precursors", lambda p: F.struct(p["name"].alias("name"), p["concentration"].alias("source")))
+    tree = F.struct(leaf("title").alias("title"), leaf("material").alias("material"), F.struct(leaf("process_conditions.temperature").alias("temperature")).alias("process_conditions"), precursors.alias("precursors"))
+    return t.select("record_id", "key_findings", F.to_json(tree, {"ignoreNullFields": "false"}).alias("record"))
+
+
+_TREE = """SELECT record_id, 'title' AS path, title AS value, substr(key_findings, 1, 30) AS source FROM extractions UNION ALL SELECT record_id, 'material', material, substr(key_findings, 1, 30) FROM extractions
+UNION ALL SELECT record_id, 'process_conditions.temperature', process_conditions.temperature, substr(key_findings, 1, 30) FROM extractions
+UNION ALL SELECT record_id, 'precursors.' || i, NULL, p.concentration FROM (SELECT record_id, unnest(precursors) AS p, unnest(range(len(precursors))) AS i FROM extractions)"""
+
+
+@query(_TREE)
+def tree_leaves(spark: SparkSession, d: str) -> DataFrame:
+    t = _tree(spark, d).select("record_id", F.explode(trees.leaf_rows(F.col("record"))).alias("x"))
+    return t.select("record_id", "x.path", "x.value", "x.source")
+
+
+_TOLD = "CASE WHEN trim(coalesce(source, '')) = '' THEN 'false' WHEN starts_with(trim(source), 'Table') THEN 'table' WHEN length(trim(source)) < 20 THEN NULL WHEN path LIKE 'precursors.%' THEN 'false' ELSE 'true' END"
+
+
+@query(f"""WITH t AS (SELECT record_id, value, {_TOLD} AS told FROM ({_TREE})), c AS (SELECT record_id, count_if(value IS NOT NULL AND value <> '') AS non_null, count_if(value IS NOT NULL AND value <> '' AND told IN ('true', 'table')) AS grounded, count_if(told IS NULL) AS unverifiable FROM t GROUP BY 1)
+SELECT *, CASE WHEN non_null <> unverifiable THEN round(grounded / (non_null - unverifiable), 3) ELSE 0 END AS score FROM c""")
+def tree_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Grounding of whole records in what they found: counts and score with precursors that have no value of their own."""
+    t = _tree(spark, d).select("record_id", trees.tree_counts(trees.ground_tree(F.col("record"), F.col("key_findings"))).alias("c"))
+    return t.select("record_id", "c.*", trees.tree_score(F.col("c")).alias("score"))
+
+
+@query("SELECT record_id, upper(substrate) AS value, material FROM extractions")
+def set_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """A leaf that the record lacks, written and read again, with one that it has."""
+    t = table(spark, d, "extractions").select("record_id", F.upper("substrate").alias("s")).join(_tree(spark, d), "record_id")
+    change = F.array(F.struct(F.lit("substrate.main").alias("path"), F.to_json(F.struct(F.col("s").alias("value")), {"ignoreNullFields": "false"}).alias("json")))
+    out = t.select("record_id", trees.set_leaves(F.col("record"), change).alias("r"))
+    return out.select("record_id", F.get_json_object("r", "$.substrate.main.value").alias("value"), F.get_json_object("r", "$.material.value").alias("material"))
+
+
+_NUMBER = "-?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?"
+
+
+@query(f"""WITH a AS (SELECT example_id, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS a FROM chat_examples), s AS (SELECT example_id, f, strpos(a, '"' || f || '":') - 1 AS s, regexp_extract(a, '"' || f || '":\\s*{_NUMBER}') AS t FROM a, (SELECT unnest(['pce', 'ff']) AS f))
+SELECT example_id, f AS field, CAST(s AS INTEGER) AS start, CAST(s + length(t) AS INTEGER) AS "end" FROM s WHERE t <> ''""".replace("\\\\", "\\"))
+def answer_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where two numbers of the answers stand, from the key to the end of the value."""
+    t = table(spark, d, "chat_examples").select("example_id", sequences.first_of(F.col("messages"), "assistant").alias("a"))
+    return t.select("example_id", F.explode(sequences.spans(F.col("a"), "pce", "ff")).alias("x")).select("example_id", "x.*")
+
+
 # --- relational staples of the star schema --------------------------------------------------------------------------
 
 
