@@ -668,13 +668,13 @@ def record_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extractions").select("record_id", review.record_text({f: F.col(f) for f in _FIELDS}, F.col("precursors")).alias("record"))
 
 
-_HEADING = "regexp_matches(line, '^[A-Z0-9][^.]{2,60}$')"
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in ingest.HEADINGS) + " ELSE 'other' END"
 
 
-@query(f"SELECT section, count(*) AS n FROM (SELECT {_CLASS} AS section FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM parsed_papers) WHERE {_HEADING}) GROUP BY ALL")
+@query(f"SELECT {_CLASS} AS section, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM parsed_papers) GROUP BY ALL")
 def section_classes(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "parsed_papers").select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[A-Z0-9][^.]{2,60}$"))
+    """Every line of the papers classified as if it were a heading."""
+    lines = table(spark, d, "parsed_papers").select(F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy(ingest.classify_heading(F.col("line")).alias("section")).agg(F.count("*").alias("n"))
 
 

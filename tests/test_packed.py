@@ -1,5 +1,6 @@
-import pytest
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -86,3 +87,16 @@ def test_a_path_below_the_best_is_given_up():
 def test_pieces_are_those_of_the_lattice(cell):
     got, want = readings(cell), {k: _cut(cell, s) for k, s in lattice(cell).items()}
     assert {k: [unquote(x) for x in v] for k, v in got.items()} == {k: [unquote(x) for x in v] for k, v in want.items()}
+
+
+def test_lists_come_back_as_they_were_packed(spark):
+    rng = random.Random(11)
+    values = ["SLG", "ITO", "FTO", "TiO2-c", "TiO2-mp", "SnO2", "Perovskite", "Spiro-MeOTAD", "PTAA", "Au", "Ag", "Carbon", "PET", "ZnO", "SiO2|SiN mesh", "LiF, 1 nm", 'Carbon "low T"', "NiO/Au"]
+    packed = []
+    for _ in range(400):
+        items = [rng.choice(values) for _ in range(rng.randint(2, 7))]
+        kind = rng.choice([" | ", "|", "; ", ";", ", ", " → ", " > "])
+        mark = kind.strip()
+        packed.append((kind.join('"' + x.replace('"', '""') + '"' if mark in x or '"' in x or rng.random() < 0.05 else x for x in items), items))
+    got = _split(spark, [c for c, _ in packed])
+    assert sum(got.get(k) == list(enumerate(items, 1)) for k, (_, items) in enumerate(packed)) >= 398

@@ -1,6 +1,8 @@
 from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sedge.operators.units import CELSIUS, LENGTH, MINUTE, TEMPERATURE, TIME, common_quantities, convert, parse_quantity, parse_unit
 
@@ -44,3 +46,26 @@ def test_common_quantities_defines_every_case(spark):
     got = sorted((r["table_name"], r["rec_id"], r["common_value"]) for r in common_quantities(devices, ex, units).collect())
     assert got == [("devices", 1, 600), ("devices", 3, 30), ("devices", 3, 30), ("extractions", 1, 9985)]
     assert common_quantities(devices.limit(0), ex.limit(0), units.limit(0)).count() == 0
+
+
+#: Written forms with what a number in them is in seconds or kelvin.
+TIMES = {"s": 1, "sec": 1, " seconds": 1, " min": 60, "min.": 60, " minutes": 60, "h": 3600, " hrs": 3600, " hours": 3600, " days": 86400, " ms": Fraction(1, 1000)}
+KELVINS = {" K": (1, 0), " kelvin": (1, 0), " °C": (1, Fraction("273.15")), "°C": (1, Fraction("273.15")), " deg C": (1, Fraction("273.15")), " °F": (Fraction(5, 9), Fraction("459.67") * Fraction(5, 9)), " degrees Fahrenheit": (Fraction(5, 9), Fraction("459.67") * Fraction(5, 9))}
+
+
+def _half_up(x):
+    return (2 * x.numerator + x.denominator) // (2 * x.denominator)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.decimals(0, 5000, places=2), st.sampled_from(sorted(TIMES)), st.sampled_from(["{}", "ca. {}", "~{}", "annealed for {} in air", "approx. {}"]), st.booleans())
+def test_written_times_come_back(value, unit, around, comma):
+    said = str(value).replace(".", ",") if comma else str(value)
+    assert convert(around.format(said + unit), None, None, TIME, MINUTE, SECONDS) == _half_up(Fraction(value) * TIMES[unit])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.decimals(0, 2000, places=1), st.sampled_from(sorted(KELVINS)), st.sampled_from(["{}", "about {}", "heated to {} in nitrogen"]))
+def test_written_temperatures_come_back(value, unit, around):
+    scale, offset = KELVINS[unit]
+    assert convert(around.format(f"{value}{unit}"), None, None, TEMPERATURE, CELSIUS, CENTI) == _half_up((Fraction(value) * scale + offset - Fraction("273.15")) * 100)
