@@ -34,7 +34,9 @@ SHARE, RUNS = 0.5, 0.35
 #: Words that a stretch may be longer than its passage (an inserted sentence).
 SLACK = 40
 #: Words of passages that tasks receive; beyond, fingerprints are joined by shuffle.
-MAX_SENT = 1_000_000
+MAX_SENT = 200_000
+#: Equal pairs of fingerprints that are looked at together.
+MOST_HITS = 3_000_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 2_000_000
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -122,13 +124,11 @@ class Passages:
         low[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.low = low
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into hashes, index into the passages' fingerprints) of all equal pairs."""
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(indexes of the hashes that a passage has, the first equal fingerprint of each, how many are equal)."""
         maybe = np.flatnonzero(self.low[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, hashes[maybe], "left"), np.searchsorted(self.hashes, hashes[maybe], "right")
-        n = hi - lo
-        base = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else n
-        return np.repeat(maybe, n), base + np.arange(int(n.sum()))
+        return maybe, lo, hi - lo
 
     def mask(self, item: int) -> dict[int, int]:
         if item not in self.masks:
@@ -181,7 +181,12 @@ def matches(texts: pa.Array, passages: Passages) -> list[tuple[int, int]]:
     pos, hashes = fingerprints(words, rows)
     if not len(pos) or not len(passages.hashes):
         return []
-    i, j = passages.hits(hashes)
+    maybe, lo, n = passages.found(hashes)
+    if n.sum() > MOST_HITS and len(texts) > 1:  # half of the texts at a time
+        half = len(texts) // 2
+        return matches(texts[:half], passages) + [(half + r, it) for r, it in matches(texts[half:], passages)]
+    base = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else n
+    i, j = np.repeat(maybe, n), base + np.arange(int(n.sum()))  # all equal pairs
     if not len(i):
         return []
     at, item, start = passages.runs(words, rows, pos[i], passages.item[j], passages.at[j])

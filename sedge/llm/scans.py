@@ -133,16 +133,21 @@ def edges(lines: list[str]) -> tuple[list[int], set[int], dict[int, bool]]:
     real = [i for i, x in enumerate(lines) if x.strip()]
     alone = [(i, n) for i in real if (n := page_number(lines[i])) is not None]
     found: set[int] = set()
-    chain: list[tuple[int, int]] = []
-    # page numbers count up by one; the longest such chain is taken
-    best: list[tuple[int, int]] = []
-    ends: dict[int, list[tuple[int, int]]] = {}
+    # page numbers count up by one; the longest such chain is taken, each link with its length and the link before
+    ends: dict[int, tuple] = {}
+    last: tuple | None = None
     for i, n in alone:
-        chain = [*ends.get(n - 1, []), (i, n)]
-        if len(chain) > len(ends.get(n, [])):
-            ends[n] = chain
-        if len(chain) > len(best):
-            best = chain
+        before = ends.get(n - 1)
+        link = (before[0] + 1 if before else 1, i, n, before)
+        if n not in ends or link[0] > ends[n][0]:
+            ends[n] = link
+        if last is None or link[0] > last[0]:
+            last = link
+    best: list[tuple[int, int]] = []
+    while last:
+        best.append(last[1:3])
+        last = last[3]
+    best.reverse()
     if len(best) >= 2:
         found = {i for i, _ in best}
         low, high = best[0][1], best[-1][1]
@@ -204,19 +209,28 @@ def edge_lines(text: str) -> list[tuple[int, str, bool, bool]]:
     for p, key in keys.items():
         by_key[key].append(p)
     sizes: dict[int, list[str]] = defaultdict(list)
-    for key in by_key:
-        sizes[len(key)].append(key)
     words = {key: frozenset(key.split()) for key in by_key}
+    having: dict[str, list[str]] = defaultdict(list)
+    for key, own in words.items():
+        sizes[len(key)].append(key)
+        for w in own:
+            having[w].append(key)
 
     def elsewhere(p: int, places: list[int]) -> bool:
         return any(near[q] != near[p] and abs(q - p) > NEAR for q in places)
 
+    def candidates(key: str) -> Iterator[str]:
+        """Keys that may be alike: of more than two words half must be shared, so one of any larger half is."""
+        own = words[key]
+        if len(own) <= 2:
+            most = max(1, len(key) // 10)
+            return (other for n in range(len(key) - most, len(key) + most + 1) for other in sizes.get(n, ()))
+        rare = sorted(own, key=lambda w: (len(having[w]), w))[: len(own) // 2 + 1]
+        return iter({other: None for w in rare for other in having[w]})
+
     def again(p: int) -> bool:
         key = keys[p]
-        if elsewhere(p, by_key[key]):
-            return True
-        most = max(1, len(key) // 10)
-        return any(other != key and alike(key, other, words[key], words[other]) and elsewhere(p, by_key[other]) for n in range(len(key) - most, len(key) + most + 1) for other in sizes.get(n, ()))
+        return elsewhere(p, by_key[key]) or any(other != key and alike(key, other, words[key], words[other]) and elsewhere(p, by_key[other]) for other in candidates(key))
 
     same = {p: again(p) for p in near}
     out = [(i, "", True, True) for i in alone]

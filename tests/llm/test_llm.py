@@ -467,6 +467,16 @@ def test_matches_lose_nothing_against_brute_force():
     assert missed == 0 and found > 40
 
 
+def test_many_hits_are_looked_at_in_halves(monkeypatch):
+    rng = random.Random(8)
+    items = [" ".join(_text(rng, 40)) for _ in range(4)]
+    texts = pa.array([items[k % 4] if k % 3 else " ".join(_text(rng, 50)) for k in range(23)])
+    own = leakage.Passages(list(range(4)), items)
+    whole = leakage.matches(texts, own)
+    monkeypatch.setattr(leakage, "MOST_HITS", 5)
+    assert leakage.matches(texts, own) == whole and len(whole) == 15
+
+
 @pytest.mark.parametrize("n", [4, 8, 10, 16, 50, 120])
 def test_whole_passages_and_one_changed_word_in_six(n):
     rng = random.Random(n)
