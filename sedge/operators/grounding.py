@@ -121,9 +121,13 @@ def ground(df: DataFrame, source: str, text: str) -> DataFrame:
     return quick.unionByName(slow).drop("_kind", "_at")
 
 
-def leaves(records: DataFrame, *keep: str | Column) -> DataFrame:
-    """(keep..., path, value) of the weighted fields of normalised records; precursors as the number of them."""
-    rows = F.array(*(F.struct(F.lit(p).alias("path"), (F.nullif(F.size("precursors"), F.lit(0)).cast("string") if p == "precursors" else F.col(p)).alias("value")) for p in WEIGHTS))
+def leaves(records: DataFrame, *keep: str | Column, each_precursor: bool = False) -> DataFrame:
+    """(keep..., path, value) of the weighted fields of normalised records; precursors as the number of them or, with
+    each_precursor, as a row each with its name, else its concentration."""
+    rows = F.array(*(F.struct(F.lit(p).alias("path"), (F.nullif(F.size("precursors"), F.lit(0)).cast("string") if p == "precursors" else F.col(p)).alias("value")) for p in WEIGHTS if p != "precursors" or not each_precursor))
+    if each_precursor:
+        own = F.transform(F.coalesce("precursors", F.array()), lambda p: F.struct(F.lit("precursors").alias("path"), F.coalesce(p["name"], p["concentration"]).alias("value")))
+        rows = F.concat(rows, own)
     out = records.select(*keep, F.explode(rows).alias("x"))
     return out.select(*(c for c in out.columns if c != "x"), "x.path", "x.value")
 
@@ -132,19 +136,31 @@ def _weight(path: Column) -> Column:
     return F.element_at(F.create_map(*(x for p, w in WEIGHTS.items() for x in (F.lit(p), F.lit(w)))), path)
 
 
-def record_scores(leaf: DataFrame, id_column: str) -> DataFrame:
-    """Scores from (id, path, value, grounded): completeness of the needed fields, the critical ones missing,
-    precision of grounding among given fields, and the weighted score (half weight where not grounded)."""
-    given = F.col("value").isNotNull() & ~F.col("value").isin("", "[]")
+def record_scores(leaf: DataFrame, id_column: str, synthesis: str | None = None) -> DataFrame:
+    """Scores from (id, path, value, grounded) with a row a precursor: completeness of the needed fields and the
+    critical ones missing, precision of grounding, and the weighted score (half weight where not grounded).
+
+    Precision is over given values that can be told; each given precursor counts as one, and only as grounded where its
+    source stands in the text. Completeness is null and nothing missing where the column `synthesis` isn't true. One
+    aggregation.
+    """
+    given = F.coalesce(~F.col("value").isin("", "[]"), F.lit(False))
     sure = F.coalesce(F.col("grounded").isin("true", "table"), F.lit(False))
-    needed = F.col("path").isin(*CRITICAL, *IMPORTANT)
-    w = _weight(F.col("path"))
+    one = F.col("path") == "precursors"
+    told = given & (one | F.col("grounded").isNotNull())
+    good = given & F.when(one, F.coalesce(F.col("grounded") == "true", F.lit(False))).otherwise(sure)
+    needed = [p for p in (*CRITICAL, *IMPORTANT) if p != "precursors"]
+    any_given, any_sure = F.coalesce(F.max(given & one), F.lit(False)), F.coalesce(F.max(sure & one), F.lit(False))
+    present = F.count_if(given & F.col("path").isin(needed)) + any_given.cast("int")
+    earned = F.sum(F.when(given & ~one, _weight(F.col("path")) * F.when(sure, 1.0).otherwise(0.5)).otherwise(0.0)) + F.when(any_given, WEIGHTS["precursors"] * F.when(any_sure, 1.0).otherwise(0.5)).otherwise(0.0)
     order = F.array(*map(F.lit, CRITICAL))
+    counts = F.coalesce(F.max(F.col(synthesis)), F.lit(False)) if synthesis else F.lit(True)
+    lacking = F.array_join(F.filter(order, lambda p: ~F.array_contains(F.collect_set(F.when(given, F.col("path"))), p)), ",")
     return leaf.groupBy(id_column).agg(
-        F.avg(F.when(needed, given.cast("double"))).alias("completeness"),
-        F.array_join(F.filter(order, lambda p: F.array_contains(F.collect_list(F.when(~given, F.col("path"))), p)), ",").alias("missing_critical"),
-        F.try_divide(F.count_if(given & sure).cast("double"), F.count_if(given)).alias("grounding_precision"),
-        F.try_divide(F.sum(w * F.when(given & sure, 1.0).when(given, 0.5).otherwise(0.0)), F.sum(w)).alias("weighted_score"),
+        F.when(counts, present / (len(needed) + 1)).alias("completeness"),
+        F.when(counts, lacking).otherwise("").alias("missing_critical"),
+        F.coalesce(F.try_divide(F.count_if(good).cast("double"), F.count_if(told)), F.lit(0.0)).alias("grounding_precision"),
+        (earned / sum(WEIGHTS.values())).alias("weighted_score"),
     )
 
 

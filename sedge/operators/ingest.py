@@ -16,7 +16,7 @@ HEADINGS = (
     ("conclusion", r"\b(conclu\w*|summary|outlook|perspective)"),
 )
 CAPTION = r"^\s*fig(?:ure)?\.?\s*\d+[a-zA-Z]?\s*(?:[\.:\|–—\n]|\s{2,}|$)"
-SEARCH, MIN_WIDTH, MIN_HEIGHT, LONGER = 150, 200, 200, 20
+SEARCH, MIN_WIDTH, MIN_HEIGHT, MIN_REGION, LONGER = 150, 200, 200, 50.0, 20
 SECTION_ORDER = ("abstract", "introduction", "experimental", "results", "conclusion", "other")
 
 
@@ -47,24 +47,29 @@ def document_text(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def captions_below(images: DataFrame, blocks: DataFrame, doc: str = "doc_id", search: int = SEARCH) -> DataFrame:
-    """Images (doc, page, image_no, width, height, y1) with the first caption below them within reach.
+    """Large images (doc, page, image_no, width, height, y1) with the text below them within reach: the first caption,
+    where there is none the first block, else nothing.
 
     A range join by buckets of the search distance: each image meets the blocks of two buckets, by equality.
     """
-    big = images.where((F.col("width") >= MIN_WIDTH) & (F.col("height") >= MIN_HEIGHT)).withColumn("_bucket", F.explode(F.array(F.floor(F.col("y1") / search), F.floor(F.col("y1") / search) + 1)))
-    text = blocks.where(is_caption(F.col("text"))).select(doc, "page", F.col("y0").alias("caption_y"), F.trim("text").alias("caption"), F.floor(F.col("y0") / search).alias("_bucket"))
+    large = images.where((F.col("width") >= MIN_WIDTH) & (F.col("height") >= MIN_HEIGHT))
+    big = large.withColumn("_bucket", F.explode(F.array(F.floor(F.col("y1") / search), F.floor(F.col("y1") / search) + 1)))
+    text = blocks.select(doc, "page", F.col("y0").alias("caption_y"), F.trim("text").alias("caption"), (~is_caption(F.col("text"))).alias("_other"), F.floor(F.col("y0") / search).alias("_bucket"))
     met = big.join(text, [doc, "page", "_bucket"]).where((F.col("caption_y") > F.col("y1")) & (F.col("caption_y") < F.col("y1") + search))
     keys = [c for c in images.columns]
-    return met.groupBy(*keys).agg(F.min(F.struct("caption_y", "caption")).alias("c")).select(*keys, "c.caption")
+    best = met.groupBy(*keys).agg(F.min(F.struct("_other", "caption_y", "caption")).alias("c"))
+    return large.join(best, keys, "left").select(*keys, F.coalesce("c.caption", F.lit("")).alias("caption"))
 
 
-def uncovered_captions(blocks: DataFrame, found: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Captions of a page that no image on it has, with the lowest block bottom above them."""
+def uncovered_captions(blocks: DataFrame, found: DataFrame, doc: str = "doc_id", least: float = MIN_REGION) -> DataFrame:
+    """Captions of a page that no image on it has, with the top of the region above them: just below the lowest block
+    that ends above, or below the page's edge. Regions under `least` in height are left out."""
     caps = blocks.where(is_caption(F.col("text"))).select(doc, "page", F.col("y0").alias("caption_y"), F.trim("text").alias("caption"))
     caps = caps.join(found.select(doc, "page", "caption").distinct(), [doc, "page", "caption"], "left_anti")
     above = blocks.select(doc, "page", F.col("y1").alias("bottom"))
-    top = F.max(F.when(F.col("bottom") < F.col("caption_y") - 5, F.col("bottom") + 2))
-    return caps.join(above, [doc, "page"], "left").groupBy(doc, "page", "caption", "caption_y").agg(F.coalesce(top, F.lit(0.0)).alias("region_top"))
+    bottom = F.max(F.when(F.col("bottom") < F.col("caption_y") - 5, F.col("bottom")))
+    tops = caps.join(above, [doc, "page"], "left").groupBy(doc, "page", "caption", "caption_y").agg((F.coalesce(bottom, F.lit(0.0)) + 2).alias("region_top"))
+    return tops.where(F.col("caption_y") - F.col("region_top") >= least)
 
 
 def largest_by_caption(figures: DataFrame, doc: str, caption: str, size: str, order: str) -> DataFrame:

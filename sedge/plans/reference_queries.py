@@ -427,10 +427,10 @@ _LEAVES = " UNION ALL ".join(f"SELECT record_id, '{p}' AS path, {'nullif(len(pre
 _LEAF = f"SELECT record_id, path, value, CASE WHEN value IS NULL THEN 'false' WHEN path LIKE 'characterization.%' THEN 'table' WHEN contains(lower(f), lower(value)) THEN 'true' WHEN length(value) < 3 THEN NULL ELSE 'false' END AS grounded FROM ({_LEAVES})"
 
 
-def _leaf_table(spark: SparkSession, d: str) -> DataFrame:
-    t = grounding.leaves(table(spark, d, "extractions"), "record_id", F.col("key_findings").alias("f"))
+def _leaf_table(spark: SparkSession, d: str, *keep: str, each_precursor: bool = False) -> DataFrame:
+    t = grounding.leaves(table(spark, d, "extractions"), "record_id", F.col("key_findings").alias("f"), *keep, each_precursor=each_precursor)
     g = F.when(F.col("value").isNull(), "false").when(F.col("path").startswith("characterization."), "table").when(F.coalesce(F.contains(F.lower("f"), F.lower("value")), F.lit(False)), "true").when(F.length("value") < 3, None).otherwise("false")
-    return t.select("record_id", "path", "value", g.alias("grounded"))
+    return t.select("record_id", *keep, "path", "value", g.alias("grounded"))
 
 
 _W = "CASE path " + " ".join(f"WHEN '{p}' THEN {w}" for p, w in grounding.WEIGHTS.items()) + " END"
@@ -439,11 +439,19 @@ _SURE = "coalesce(grounded IN ('true', 'table'), false)"
 _NEEDED = ", ".join(repr(p) for p in {**grounding.CRITICAL, **grounding.IMPORTANT})
 
 
-@query(f"""SELECT record_id, round(avg({_GIVEN}::INT) FILTER (WHERE path IN ({_NEEDED})), 6) AS completeness,
-coalesce(string_agg(path, ',' ORDER BY list_position([{', '.join(repr(p) for p in grounding.CRITICAL)}], path)) FILTER (WHERE NOT {_GIVEN} AND path IN ({', '.join(repr(p) for p in grounding.CRITICAL)})), '') AS missing_critical,
-round(count_if({_GIVEN} AND {_SURE}) / nullif(count_if({_GIVEN}), 0), 6) AS grounding_precision, round(sum({_W} * CASE WHEN {_GIVEN} AND {_SURE} THEN 1.0 WHEN {_GIVEN} THEN 0.5 ELSE 0 END) / sum({_W}), 6) AS weighted_score FROM ({_LEAF}) GROUP BY record_id""")
+_EACH_LEAF = f"""SELECT record_id, path, value, grounded FROM ({_LEAF}) WHERE path <> 'precursors' UNION ALL SELECT record_id, 'precursors', v, CASE WHEN v IS NULL THEN 'false' WHEN contains(lower(f), lower(v)) THEN 'true' WHEN length(v) < 3 THEN NULL ELSE 'false' END
+FROM (SELECT record_id, key_findings AS f, unnest(list_transform(precursors, lambda p: coalesce(p.name, p.concentration))) AS v FROM extractions)"""
+_ONE = "path = 'precursors'"
+_CRITICAL = ", ".join(map(repr, grounding.CRITICAL))
+
+
+@query(f"""WITH l AS (SELECT *, coalesce(value NOT IN ('', '[]'), false) AS given, {_SURE} AS sure FROM ({_EACH_LEAF})), s AS (SELECT record_id, coalesce(is_perovskite_synthesis, false) AS counts FROM extractions),
+r AS (SELECT record_id, any_value(counts) AS counts, count_if(given AND NOT {_ONE} AND path IN ({_NEEDED})) + coalesce(max((given AND {_ONE})::INT), 0) AS present, list(DISTINCT path) FILTER (WHERE given) AS has, count_if(given AND ({_ONE} OR grounded IS NOT NULL)) AS told,
+count_if(given AND CASE WHEN {_ONE} THEN coalesce(grounded = 'true', false) ELSE sure END) AS good, sum(CASE WHEN given AND NOT {_ONE} THEN {_W} * CASE WHEN sure THEN 1 ELSE 0.5 END ELSE 0 END) + 3.0 * CASE WHEN max((given AND {_ONE})::INT) = 1 THEN CASE WHEN max((sure AND {_ONE})::INT) = 1 THEN 1 ELSE 0.5 END ELSE 0 END AS earned FROM l JOIN s USING (record_id) GROUP BY record_id)
+SELECT record_id, CASE WHEN counts THEN round(present / 9, 6) END AS completeness, CASE WHEN counts THEN array_to_string(list_filter([{_CRITICAL}], lambda p: NOT coalesce(list_contains(has, p), false)), ',') ELSE '' END AS missing_critical, round(coalesce(good / nullif(told, 0), 0), 6) AS grounding_precision, round(earned / {sum(grounding.WEIGHTS.values())}, 6) AS weighted_score FROM r""")
 def record_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(grounding.record_scores(_leaf_table(spark, d), "record_id"), "completeness", "grounding_precision", "weighted_score")
+    leaf = _leaf_table(spark, d, "is_perovskite_synthesis", each_precursor=True)
+    return _rounded(grounding.record_scores(leaf, "record_id", "is_perovskite_synthesis"), "completeness", "grounding_precision", "weighted_score")
 
 
 @query(f"""SELECT record_id, count_if(grounded = 'true') AS grounded_fields, count(value) AS total_fields, round(coalesce(count_if(grounded = 'true') / nullif(count(value) - count_if(value IS NOT NULL AND grounded IS NULL), 0), 0), 6) AS grounding_score FROM ({_LEAF}) GROUP BY record_id""")
@@ -703,8 +711,8 @@ def _images(b: DataFrame) -> DataFrame:
 
 
 _IS_CAPTION = "regexp_matches({0}, '(?i)^\\s*fig(ure)?\\.?\\s*[0-9]+[a-z]?\\s*([.:|–—]|\\s\\s|$)')"
-_FOUND = f"""SELECT i.doc_id, i.page, i.image_no, i.width, i.height, i.y1, trim(c.text) AS caption FROM ({_IMAGES}) i JOIN b c ON c.doc_id = i.doc_id AND c.page = i.page AND {_IS_CAPTION.format('c.text')} AND c.y0 > i.y1 AND c.y0 < i.y1 + 150 AND i.width >= 200 AND i.height >= 200
-QUALIFY row_number() OVER (PARTITION BY i.doc_id, i.page, i.image_no ORDER BY c.y0) = 1"""
+_FOUND = f"""SELECT i.doc_id, i.page, i.image_no, i.width, i.height, i.y1, coalesce(trim(c.text), '') AS caption FROM ({_IMAGES}) i LEFT JOIN b c ON c.doc_id = i.doc_id AND c.page = i.page AND c.y0 > i.y1 AND c.y0 < i.y1 + 150 WHERE i.width >= 200 AND i.height >= 200
+QUALIFY row_number() OVER (PARTITION BY i.doc_id, i.page, i.image_no ORDER BY coalesce({_IS_CAPTION.format('c.text')}, false) DESC, c.y0, trim(c.text)) = 1"""
 
 
 @query(f"WITH b AS ({_BLOCKS}) {_FOUND}")
@@ -713,11 +721,11 @@ def caption_range_join(spark: SparkSession, d: str) -> DataFrame:
     return ingest.captions_below(_images(b), b)
 
 
-@query(f"""WITH b AS ({_BLOCKS}), f AS ({_FOUND}), c AS (SELECT doc_id, page, y0 AS caption_y, trim(text) AS caption FROM b WHERE {_IS_CAPTION.format('text')}) SELECT c.doc_id, c.page, c.caption, c.caption_y, coalesce(max(b.y1 + 2) FILTER (WHERE b.y1 < c.caption_y - 5), 0) AS region_top
-FROM c ANTI JOIN f USING (doc_id, page, caption) JOIN b ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY ALL""")
+@query(f"""WITH b AS ({_BLOCKS}), f AS ({_FOUND}), c AS (SELECT doc_id, page, y0 AS caption_y, trim(text) AS caption FROM b WHERE {_IS_CAPTION.format('text')}) SELECT c.doc_id, c.page, c.caption, c.caption_y, coalesce(max(b.y1) FILTER (WHERE b.y1 < c.caption_y - 5), 0) + 2 AS region_top
+FROM c ANTI JOIN f USING (doc_id, page, caption) JOIN b ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY ALL HAVING c.caption_y - region_top >= 5""")
 def uncovered_captions(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
-    return ingest.uncovered_captions(b, ingest.captions_below(_images(b), b))
+    return ingest.uncovered_captions(b, ingest.captions_below(_images(b), b), least=5.0)  # lines stand close here
 
 
 @query("""WITH f AS (SELECT doc_id, source, coalesce(section, 'none') AS caption, coalesce(n_chars, 0) AS size, 1 AS page FROM documents), k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source, caption ORDER BY size DESC, doc_id) = 1)

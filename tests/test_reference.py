@@ -127,6 +127,17 @@ def test_grounding(spark):
     assert kinds == {("annealed at 100 °C for ten", "true"), ("Table 2: PCE", "table"), ("short", None), ("", "false"), (None, "false"), ("the film was annealed", "true"), ("wholly unrelated words are here", "false")}
 
 
+def test_scores_of_records(spark):
+    rows = [(1, True, "material", "MAPbI3", "true"), (1, True, "substrate", "glass", None), (1, True, "synthesis_method", None, "false"), (1, True, "precursors", "PbI2", "true"), (1, True, "precursors", "MAI", "table"), (1, True, "precursors", None, None), (2, False, "material", "x", "table"), (3, True, "substrate", "[]", "true")]
+    df = spark.createDataFrame(rows, "id int, s boolean, path string, value string, grounded string")
+    got = {r["id"]: r for r in grounding.record_scores(df, "id", "s").collect()}
+    total = sum(grounding.WEIGHTS.values())
+    assert got[1]["completeness"] == 3 / 9 and got[1]["missing_critical"] == "synthesis_method,process_conditions.temperature"
+    assert math.isclose(got[1]["grounding_precision"], 2 / 3) and math.isclose(got[1]["weighted_score"], (3.0 + 0.5 + 3.0) / total)
+    assert got[2]["completeness"] is None and got[2]["missing_critical"] == "" and got[2]["grounding_precision"] == 1.0
+    assert got[3]["grounding_precision"] == 0.0 and got[3]["weighted_score"] == 0.0
+
+
 def test_votes(spark):
     runs = spark.createDataFrame([(1, 0, "A"), (1, 1, "b"), (1, 2, " B "), (2, 0, None), (2, 1, "x"), (3, 0, "p"), (3, 1, "q"), (4, 0, None)], "doc int, run int, value string")
     got = {r["doc"]: (r["value"], r["votes"]) for r in voting.majority(runs, ["doc"]).collect()}
@@ -216,8 +227,8 @@ def test_ingest(spark):
     assert ingest.document_text(ingest.page_text(blocks)).first()["text"].startswith("[Page 1]\nleft top\nleft low\nFigure 1. A cell\nright top\n\n[Page 2]")
     images = spark.createDataFrame([(1, 1, 1, 300, 300, 100.0), (1, 1, 2, 100, 300, 100.0), (1, 2, 1, 300, 300, 100.0)], "doc_id int, page int, image_no int, width int, height int, y1 double")
     found = ingest.captions_below(images, blocks)
-    assert [(r["page"], r["image_no"], r["caption"]) for r in found.collect()] == [(1, 1, "Figure 1. A cell")]
-    assert [(r["caption"], r["region_top"]) for r in ingest.uncovered_captions(blocks, found).collect()] == [("Fig. 2: B", 0.0)]
+    assert [(r["page"], r["image_no"], r["caption"]) for r in found.collect()] == [(1, 1, "Figure 1. A cell"), (2, 1, "")]
+    assert [(r["caption"], r["region_top"]) for r in ingest.uncovered_captions(blocks, found).collect()] == [("Fig. 2: B", 2.0)]
     sections = spark.createDataFrame([(1, 1, 0, "short"), (1, 1, 1, "Figure 1. A cell with a much longer caption than before")], "doc_id int, number int, ord int, caption string")
     assert ingest.enrich_captions(found, sections).first()["caption"].endswith("than before")
     xml = """<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title level="a">A <i>cell</i></title><idno type="DOI"> 10.0000/x </idno><abstract><div><p>Abstract words.</p></div></abstract></teiHeader><text><body>
