@@ -101,6 +101,14 @@ def _phi(x: Column) -> Column:
     return F.when(x > 0, x + 1).otherwise(F.exp(x))
 
 
+def masked_pairs(links: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Links that a mask of pairs allows: allowed (b, qpos, kpos) for every head or (b, h, qpos, kpos). A query none of
+    whose links is allowed keeps them all with the same weight."""
+    keys = [c for c in ("b", "h", "qpos", "kpos") if c in allowed.columns]
+    met = links.join(allowed.select(*keys, F.lit(True).alias("_valid")), keys, "left").withColumn("_valid", F.coalesce("_valid", F.lit(False)))
+    return _kept(met)
+
+
 def attend_linear(x: DataFrame, eps: float = 1e-6, valid: DataFrame | None = None) -> DataFrame:
     """(b, h, qpos, d, value) with the feature map elu + 1: keys and values are summed before queries meet them.
 
@@ -128,9 +136,14 @@ def merge_heads(attended: DataFrame, size: int) -> DataFrame:
 
 def masked(links: DataFrame, valid: DataFrame) -> DataFrame:
     """Links to keys that are no padding: valid (b, pos). A query all of whose links are padding keeps them all with the
-    same weight, as its vector is taken as zero: its result is the average of the values it is linked to."""
+    same weight."""
     v = valid.select("b", F.col("pos").alias("kpos"), F.lit(True).alias("_valid"))
-    met = links.join(v, ["b", "kpos"], "left").withColumn("_valid", F.coalesce("_valid", F.lit(False)))
+    return _kept(links.join(v, ["b", "kpos"], "left").withColumn("_valid", F.coalesce("_valid", F.lit(False))))
+
+
+def _kept(met: DataFrame) -> DataFrame:
+    """Links that are _valid; of a query without any all of them, its vector zero, so that its result is the average of
+    the values it is linked to."""
     some = met.groupBy("b", "h", "qpos").agg(F.max("_valid").alias("_some"))
     kept = met.join(some, ["b", "h", "qpos"]).where(F.col("_valid") | ~F.col("_some"))
     return kept.withColumn("q", F.when(F.col("_some"), F.col("q")).otherwise(F.transform("q", lambda x: F.lit(0.0)))).drop("_valid", "_some")

@@ -15,11 +15,35 @@ CRITIQUE = "struct<wrong_section_fields:array<struct<field:string,correct_value:
 NO_ANSWER = "NOT FOUND"
 
 
-def record_text(fields: dict[str, Column], precursors: Column) -> Column:
-    """A record as lines "field: value" and "  precursor: name | conc: concentration"; fields without a value are left out."""
-    lines = F.array_compact(F.array(*(F.concat(F.lit(f"{n}: "), c) for n, c in fields.items())))
-    items = F.transform(F.coalesce(precursors, F.array().cast("array<struct<name:string,concentration:string>>")), lambda p: F.concat(F.lit("  precursor: "), F.coalesce(p["name"], F.lit("None")), F.lit(" | conc: "), F.coalesce(p["concentration"], F.lit("None"))))
-    return F.array_join(F.concat(lines, items), "\n")
+#: Characters of a source that are shown: of a field, and of a field within a group or a precursor.
+SHOWN, SHOWN_INSIDE = 120, 100
+
+
+def record_text(fields: dict[str, Column], precursors: Column, sources: dict[str, Column] | None = None, precursor_sources: Column | None = None) -> Column:
+    """A record as lines "field: value" and "  precursor: name | conc: concentration"; fields without a value are left out.
+
+    With `sources` each line shows the start of its source, and fields without a value come out as None;
+    `precursor_sources` is an array in the order of the precursors.
+    """
+
+    def shown(source: Column, field: str) -> Column:
+        return F.substring(F.coalesce(source, F.lit("")), 1, SHOWN_INSIDE if "." in field else SHOWN)
+
+    def line(n: str, c: Column) -> Column:
+        if sources is None:
+            return F.concat(F.lit(f"{n}: "), c)
+        return F.concat(F.lit(f"{n}: "), F.coalesce(c, F.lit("None")), F.lit(" (source: "), shown(sources.get(n, F.lit("")), n), F.lit(")"))
+
+    lines = F.array_compact(F.array(*(line(n, c) for n, c in fields.items())))
+    named = F.coalesce(precursors, F.array().cast("array<struct<name:string,concentration:string>>"))
+
+    def precursor(p: Column, i: Column) -> Column:
+        said = F.concat(F.lit("  precursor: "), F.coalesce(p["name"], F.lit("None")), F.lit(" | conc: "), F.coalesce(p["concentration"], F.lit("None")))
+        if precursor_sources is None:
+            return said
+        return F.concat(said, F.lit(" | source: "), F.substring(F.coalesce(F.get(precursor_sources, i), F.lit("")), 1, SHOWN_INSIDE))
+
+    return F.array_join(F.concat(lines, F.transform(named, precursor)), "\n")
 
 
 def parse_critique(raw: Column) -> Column:

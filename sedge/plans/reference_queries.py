@@ -606,6 +606,14 @@ def attention_padded_rows(spark: SparkSession, d: str) -> DataFrame:
     return _attended(att.masked(att.links_all(x), x.where("pos % 10 <> 9 AND b <> 0").select("b", "pos").distinct()), x)
 
 
+@query(_attention_sql("k.pos % 2 = q.pos % 2"))
+def attention_pair_mask(spark: SparkSession, d: str) -> DataFrame:
+    """A mask of pairs: even positions see even ones, odd see odd."""
+    x = _x(spark, d)
+    links = att.links_all(x)
+    return _attended(att.masked_pairs(links, links.where("pmod(qpos, 2) = pmod(kpos, 2)").select("b", "qpos", "kpos").distinct()), x)
+
+
 @query(f"""WITH x AS ({_PADDED_X}), z AS (SELECT b, h, pos, vec AS q, CASE WHEN valid THEN vec ELSE list_transform(vec, lambda v: 0.0) END AS k FROM x),
 f AS (SELECT b, h, pos, k AS vec, list_transform(q, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE exp(v) END) AS q, list_transform(k, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE exp(v) END) AS f FROM z),
 s AS (SELECT q.b, q.h, q.pos AS qpos, k.vec, list_dot_product(q.q, k.f) AS w FROM f q JOIN f k ON q.b = k.b AND q.h = k.h)
@@ -676,6 +684,16 @@ def record_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extractions").select("record_id", review.record_text({f: F.col(f) for f in _FIELDS}, F.col("precursors")).alias("record"))
 
 
+_SHOWN = ", ".join(f"'{f}: ' || coalesce({f}, 'None') || ' (source: ' || substr(coalesce(key_findings, ''), 1, {100 if '.' in f else 120}) || ')'" for f in _FIELDS)
+
+
+@query(f"SELECT record_id, array_to_string(list_concat([{_SHOWN}], list_transform(coalesce(precursors, []), lambda p: '  precursor: ' || coalesce(p.name, 'None') || ' | conc: ' || coalesce(p.concentration, 'None') || ' | source: ' || substr(coalesce(title, ''), 1, 100))), chr(10)) AS record FROM extractions")
+def record_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the starts of their sources."""
+    sources = F.transform("precursors", lambda p: F.col("title"))
+    return table(spark, d, "extractions").select("record_id", review.record_text({f: F.col(f) for f in _FIELDS}, F.col("precursors"), {f: F.col("key_findings") for f in _FIELDS}, sources).alias("record"))
+
+
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in ingest.HEADINGS) + " ELSE 'other' END"
 
 

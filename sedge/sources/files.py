@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHAT = "messages array<struct<role:string,content:string>>, metadata struct<split_key:string,input_representation:string,output_schema:string>"
@@ -46,6 +46,11 @@ def evaluate_predictions(spark: SparkSession, path: str, json_path: str | None =
     return document
 
 
+def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with the types that its values have; empty ones are null. One more pass tells the types."""
+    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', encoding="UTF-8")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A device CSV: header, UTF-8 with or without a mark, quoted line breaks, every value a string ("" if empty)."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")
@@ -59,10 +64,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CHAT, allow_empty:
     return df
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
-    """JSON lines, a folder a split; keys in order, other characters as they are."""
+def write_splits(df: DataFrame, path: str, split: str = "split") -> dict[str, int]:
+    """JSON lines, a folder a split; keys in order, other characters as they are. Returns the rows of each split,
+    counted while they are written."""
     columns = sorted(c for c in df.columns if c != split)
-    df.select(*columns, split).write.mode("overwrite").partitionBy(split).json(path)
+    names = ("train", "validation", "test")
+    seen = Observation()
+    rows = df.select(*columns, split).observe(seen, *(F.count_if(F.col(split) == s).alias(s) for s in names))
+    rows.write.mode("overwrite").partitionBy(split).json(path)
+    return {s: seen.get[s] for s in names}
 
 
 def write_metrics(flat: DataFrame, path: str) -> None:

@@ -84,3 +84,11 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             tables.checkpoint_folder(Session(master, None))
+
+
+def test_typed_csv_and_counted_writes(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('a,b,c\n1,1.5,x\n2,,"y\nz"\n')
+    assert files.read_typed_csv(spark, str(tmp_path / "d.csv")).dtypes == [("a", "int"), ("b", "double"), ("c", "string")]
+    df = spark.createDataFrame([("train", 1), ("train", 2), ("test", 3)], "split string, v int")
+    assert files.write_splits(df, str(tmp_path / "out")) == {"train": 2, "validation": 0, "test": 1}
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
