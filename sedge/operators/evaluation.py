@@ -77,14 +77,8 @@ MISMATCH = "array<struct<field:string,value:string,expected:string>>"
 VIOLATIONS = ("range_violations", "invalid_bin_labels", "bin_mismatches")
 
 
-def verification(values: dict[str, Column], labels: dict[str, Column], has_label: dict[str, Column], is_object: Column, threshold: float = 5.0) -> Column:
-    """The checks of one prediction.
-
-    Violations say what was found and what would be right: (field, value, low, high) of numbers out of their limits,
-    ("<field>_bin", value, allowed) of unknown labels and ("<field>_bin", value, expected) of labels that don't fit
-    their number. A label that is given as null is unknown, one that isn't given is skipped. Missing fields make a
-    prediction invalid as to schema, not physically inconsistent.
-    """
+def _found(values: dict[str, Column], labels: dict[str, Column], has_label: dict[str, Column], is_object: Column) -> dict[str, Column]:
+    """The lists of one prediction's violations and missing fields, and its consistency error."""
 
     def listed(items: list[Column], kind: str) -> Column:
         found = F.array_compact(F.array(*items)).cast(kind)
@@ -98,17 +92,31 @@ def verification(values: dict[str, Column], labels: dict[str, Column], has_label
     invalid = [item(has_label[f] & ~known[f], field=F.lit(f"{f}_bin"), value=labels[f], allowed=F.array(*map(F.lit, sorted(bin_labels(f))))) for f in FIELDS]
     wrong = [item(known[f] & (labels[f] != make_bin(f, values[f])), field=F.lit(f"{f}_bin"), value=labels[f], expected=make_bin(f, values[f])) for f in FIELDS]
     missing = F.array_compact(F.array(*(F.when(v.isNull(), F.lit(f)) for f, v in values.items())))
-    error = consistency_error(*(values[f] for f in FIELDS))
-    found = F.struct(
-        (is_object & (F.size(missing) == 0)).alias("schema_valid"),
-        F.when(is_object, error).alias("pce_consistency_error"),
-        listed(ranges, RANGE).alias("range_violations"),
-        listed(invalid, LABEL).alias("invalid_bin_labels"),
-        listed(wrong, MISMATCH).alias("bin_mismatches"),
-        F.when(is_object, missing).otherwise(F.array(*map(F.lit, FIELDS))).alias("missing_fields"),
-    )
+    return {
+        "pce_consistency_error": F.when(is_object, consistency_error(*(values[f] for f in FIELDS))),
+        "range_violations": listed(ranges, RANGE),
+        "invalid_bin_labels": listed(invalid, LABEL),
+        "bin_mismatches": listed(wrong, MISMATCH),
+        "missing_fields": F.when(is_object, missing).otherwise(F.array(*map(F.lit, FIELDS))),
+    }
+
+
+def _check(found: dict[str, Column], is_object: Column, threshold: float) -> Column:
     bad = sum((F.size(found[n]) for n in VIOLATIONS), F.lit(0)) > 0
-    return F.struct(F.when(is_object, bad | F.coalesce(error > threshold, F.lit(False))).otherwise(True).alias("physically_inconsistent"), *(found[n].alias(n) for n in ("schema_valid", "pce_consistency_error", *VIOLATIONS, "missing_fields")))
+    bad = F.when(is_object, bad | F.coalesce(found["pce_consistency_error"] > threshold, F.lit(False))).otherwise(True)
+    valid = is_object & (F.size(found["missing_fields"]) == 0)
+    return F.struct(bad.alias("physically_inconsistent"), valid.alias("schema_valid"), *(c.alias(n) for n, c in found.items()))
+
+
+def verification(values: dict[str, Column], labels: dict[str, Column], has_label: dict[str, Column], is_object: Column, threshold: float = 5.0) -> Column:
+    """The checks of one prediction.
+
+    Violations say what was found and what would be right: (field, value, low, high) of numbers out of their limits,
+    ("<field>_bin", value, allowed) of unknown labels and ("<field>_bin", value, expected) of labels that don't fit
+    their number. A label that is given as null is unknown, one that isn't given is skipped. Missing fields make a
+    prediction invalid as to schema, not physically inconsistent.
+    """
+    return _check(_found(values, labels, has_label, is_object), is_object, threshold)
 
 
 def payload(parsed: Column, text: Column) -> Column:
@@ -127,14 +135,16 @@ def parsed_predictions(records: DataFrame, *keep: str) -> DataFrame:
     def number(side: str, f: str) -> Column:
         return parse_float(F.try_element_at(F.col(f"{side}.prediction"), F.lit(f)))
 
+    # step by step, so that what many checks use is worked out once a row
     p = F.col("_p.prediction")
-    values = {f: number("_p", f) for f in FIELDS}
-    labels = {f: F.try_element_at(p, F.lit(f"{f}_bin")) for f in FIELDS}
-    has = {f: F.coalesce(F.map_contains_key(p, f"{f}_bin"), F.lit(False)) for f in FIELDS}
-    return rows.select(
-        *keep, F.col("_p").isNotNull().alias("p_json"), F.col("_t").isNotNull().alias("t_json"), *(c.alias(f"p_{f}") for f, c in values.items()), *(number("_t", f).alias(f"t_{f}") for f in FIELDS),
-        verification(values, labels, has, p.isNotNull()).alias("check"),
+    rows = rows.select(
+        *keep, F.col("_p").isNotNull().alias("p_json"), F.col("_t").isNotNull().alias("t_json"), p.isNotNull().alias("_ok"), *(number("_p", f).alias(f"p_{f}") for f in FIELDS), *(number("_t", f).alias(f"t_{f}") for f in FIELDS),
+        *(F.try_element_at(p, F.lit(f"{f}_bin")).alias(f"_l_{f}") for f in FIELDS), *(F.coalesce(F.map_contains_key(p, f"{f}_bin"), F.lit(False)).alias(f"_h_{f}") for f in FIELDS),
     )
+    told = [*keep, "p_json", "t_json", *(f"{x}_{f}" for x in "pt" for f in FIELDS)]
+    found = _found(*({f: F.col(f"{x}_{f}") for f in FIELDS} for x in ("p", "_l", "_h")), F.col("_ok"))
+    rows = rows.select(*told, "_ok", *(c.alias(n) for n, c in found.items()))
+    return rows.select(*told, _check({n: F.col(n) for n in found}, F.col("_ok"), 5.0).alias("check"))
 
 
 def _cells(parsed: DataFrame) -> DataFrame:
