@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 K, WINDOW = 3, 2
 #: Shared words in a row that always leave a common fingerprint.
 RUN = K + WINDOW - 1
-#: Share of the passage's words that the stretch must hold in order, and that runs of shared words must cover.
-SHARE, RUNS = 0.5, 0.35
+#: Share of the passage's words that the stretch must hold in order, and that runs of shared words must cover (half a
+#: passage with one word in six changed has 5 / 12).
+SHARE, RUNS = 0.5, 0.4
 #: Words that a stretch may be longer than its passage (an inserted sentence).
 SLACK = 40
 #: Words of passages that tasks receive; beyond, fingerprints are joined by shuffle.
