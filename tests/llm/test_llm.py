@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sedge.llm import canon, frequency, grouping, leakage, overlap, packing, scans, spam
-from sedge.sources.tables import cut
+from sedge.sources.tables import cut, cut_packed
 
 WORDS = st.text("abcd", max_size=7)
 
@@ -227,6 +228,25 @@ def test_pairs_that_lack_selective_lines_are_found(spark):
     assert len(want) > 20 and {tuple(r) for r in overlap.same_recipes(df, usual).collect()} == want
 
 
+def test_pairs_that_share_a_few_lines_are_no_candidates(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        values = [1, 2, 3] + [rng.randrange(1 << 40) for _ in range(18)]
+        rows += [(f"t{i}", list(range(21)), values, True, False), (f"e{i}", list(range(21)), values[:19] + [rng.randrange(1 << 40) for _ in range(2)], False, True)]
+    df = spark.createDataFrame(rows, "recipe string, at array<bigint>, hashes array<bigint>, train boolean, eval boolean").withColumn("id", F.xxhash64("recipe"))
+    # ranked so that the lines which all share make one group: 40,000 pairs meet
+    got = overlap._candidates(df, [0, *range(3, 9), 1, *range(9, 15), 2, *range(15, 21)]).distinct()
+    assert 200 <= got.count() < 400
+
+
+def test_packed_cut_is_compressed_and_whole(spark):
+    df = spark.range(20_000).select("id", F.array_repeat(F.col("id") % 7, 20).alias("at"))
+    out = cut_packed(df)
+    assert out.dtypes == df.dtypes and out.exceptAll(df).isEmpty() and out.count() == 20_000
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles()) < 20_000 * 20
+
+
 # --- p6
 
 
