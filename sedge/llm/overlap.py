@@ -8,7 +8,7 @@ that have more groups in common agree in one. Classes that lack too many lines f
 and the few that lack too many for these on blocks of the lines that both have. Joined classes are compared line by line,
 so no pair is lost and none is taken for its hash alone.
 
-Cases: null messages, contents and messages of fewer than MIN_LINES usual lines match nothing; a label given twice keeps
+Cases: null messages, contents and messages of fewer than FEWEST lines match nothing; a label given twice keeps
 its first value; misspelt and re-worded labels go to the nearest usual label, other rare labels stand for themselves, and where two recipes have few usual lines in common, rare ones are joined; a line that
 one side lacks says nothing; texts of any length are read whole; repeated examples come out as all their pairs across splits.
 """
@@ -70,7 +70,7 @@ def lines_of(text: str | None) -> list[tuple[str, str]]:
         return []
     marks = list(_INLINE.finditer(text)) if "=" in text else []
     lines = _LINE.findall(text) if len(marks) < MIN_LINES else []
-    if len(marks) >= MIN_LINES:
+    if len(marks) >= MIN_LINES or len(marks) >= FEWEST and len(marks) > len(lines):
         return [(a.group(1), text[a.end() : b.start() if b else len(text)]) for a, b in zip(marks, [*marks[1:], None])]
     return lines
 
@@ -124,7 +124,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(3).to_pylist():
-            if len(r := _recipe(text, names, hashes)) >= MIN_LINES:
+            if len(r := _recipe(text, names, hashes)) >= FEWEST:
                 n.update(r.keys())
                 n.update((None,))
         if len(n) > 200_000:
@@ -156,7 +156,7 @@ def _labelled(usual: list[str]):
                 lines: dict[int, int] = {}
                 for label, v in _recipe(text, names, values).items():
                     lines.setdefault(places[label], v)
-                if sum(p < len(usual) for p in lines) < MIN_LINES:
+                if len(lines) < FEWEST:
                     continue
                 ordered = sorted(lines.items())
                 keep.append(k)

@@ -247,6 +247,38 @@ def test_packed_cut_is_compressed_and_whole(spark):
     assert sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles()) < 20_000 * 20
 
 
+def _same(la, lb):
+    common = la.keys() & lb.keys()
+    other = sum(la[p] != lb[p] for p in common)
+    return other <= 2 and 2 * len(common) >= min(len(la), len(lb)) and len(common) - other >= 4
+
+
+def test_pairs_of_few_or_unusual_lines_are_found(spark):
+    rng, rare = random.Random(8), [(1 << 62) + i for i in range(30)]
+    rows = []
+    for i in range(80):
+        places = rng.sample(range(9), rng.randrange(4, 9) if i % 3 else rng.randrange(4)) + rng.sample(rare[i % 5 : i % 5 + 9], rng.randrange(2, 7))
+        whole = {p: rng.randrange(1, 90) for p in places}
+        copy = {p: v for p, v in whole.items() if rng.random() < 0.9}
+        copy |= {p: 1000 + p % 100 for p in rng.sample(list(copy), min(len(copy), rng.randrange(4)))}
+        rows += [(f"{x}{i}", sorted(r), [r[p] for p in sorted(r)], x == "t", x == "e") for x, r in (("t", whole), ("e", copy)) if len(r) >= 4]
+    lines = {r[0]: dict(zip(r[1], r[2])) for r in rows}
+    want = {(a, b) for a in lines for b in lines if a[0] == "t" and b[0] == "e" and _same(lines[a], lines[b])}
+    df = spark.createDataFrame(rows, "recipe string, at array<bigint>, hashes array<bigint>, train boolean, eval boolean")
+    assert len(want) > 20 and {tuple(r) for r in overlap.same_recipes(df, [f"line {p}" for p in range(9)]).collect()} == want
+    assert any(sum(p < 9 for p in lines[a].keys() & lines[b].keys()) == 0 for a, b in want)
+
+
+def test_recipes_of_few_or_unusual_lines_are_read(spark):
+    short = {"cell stack sequence": "SLG | FTO | Y | Au", "perovskite composition long form": "CsPbI9", "perovskite band gap": "1.77", "cell architecture": "pin"}
+    foreign = {f"own {a} of {b}": f"{a}{len(b)}.5" for a in ("glass", "oxide", "salt") for b in ("width", "origin")}
+    cases = [(1, "train", _says(short)), (2, "test", _says(dict(reversed(short.items())), "* {} : {}")), (3, "test", "; ".join(f"{a} = {b}" for a, b in short.items()))]
+    cases += [(4, "train", _says(foreign)), (5, "validation", _says(foreign | {"own salt of width": "7"})), (6, "test", _says({"own glass of width": "glass5.5", "own oxide of width": "oxide5.5"}))]
+    cases += [(1000 + k, "train" if k % 2 else "test", _says(_recipe(k))) for k in range(2, 402)]
+    df = spark.createDataFrame([(i, s, "src", [("user", t)], "x") for i, s, t in cases], "example_id bigint, split string, source string, messages array<struct<role:string,content:string>>, recipe string")
+    assert {tuple(r) for r in overlap.cross_split_pairs(df).where("example_id_a < 1000 AND example_id_b < 1000").collect()} == {(1, 2), (1, 3), (4, 5)}
+
+
 # --- p6
 
 
