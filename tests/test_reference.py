@@ -314,3 +314,16 @@ def test_tree_models_fit(devices, model):
     rows = targets.with_targets(devices).withColumn("pce", F.col("pce") + F.length("Ref_DOI_number"))
     rows = models.prepare(rows, ["Perovskite_band_gap"], ["Cell_architecture"])
     assert models.fit(rows, ["Perovskite_band_gap"], ["Cell_architecture"], "pce", model, trees=3, depth=3).transform(rows).count() == 40
+
+
+def test_what_is_learned_serves_every_target(spark):
+    rows = [(None if i % 5 == 0 else float(i), f"k{min(i % 60, 55)}", 2.0 * i, -1.0 * i) for i in range(1, 241)]
+    df = spark.createDataFrame(rows, "a double, k string, y double, z double")
+    given = sorted(r[0] for r in rows if r[0] is not None)
+    learned = models.learn(df, ["a"], ["k"])
+    assert learned.medians == {"a": given[(len(given) - 1) // 2]}
+    assert len(learned.frequent["k"]) == models.MAX_CATEGORIES - 1 and learned.frequent["k"][0] == "k55"
+    features = learned.transform(df).select("features", "y", "z").cache()
+    for y in "yz":
+        one = models.fit(df, ["a"], ["k"], y).transform(df).select("prediction").collect()
+        np.testing.assert_allclose([r[0] for r in models.regress(features, y).transform(features).select("prediction").collect()], [r[0] for r in one])
